@@ -7,7 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_settled: list[DataFrame] = []
+_kept: list[DataFrame] = []
 
 # A side counted at or below this many rows may be sent to every executor. Rows here are a
 # handful of numbers and short keys, so this stays in the tens of megabytes.
@@ -15,29 +15,30 @@ BROADCAST_ROWS = 200_000
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a summary once and keep it.
+    """Write an intermediate result once to the shared folder and read it back.
 
-    A stored relation reports its real size, so a later join on it is broadcast by Spark only
-    when it is below `spark.sql.autoBroadcastJoinThreshold`; a larger one takes the shuffle
-    join with AQE skew handling. Lost blocks are recomputed from lineage.
+    The plan starts anew, lost executors cost nothing, and the stored table has a real size: a
+    later join on it is broadcast by Spark only when it is below
+    `spark.sql.autoBroadcastJoinThreshold`; a larger one takes the shuffle join with AQE skew
+    handling.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    _settled.append(kept)
-    return kept
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Persist lazily (used for row-level inputs read by several passes)."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _settled.append(kept)
+    _kept.append(kept)
     return kept
 
 
 def release() -> None:
     """Drop every relation kept by this library."""
-    while _settled:
-        _settled.pop().unpersist()
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,13 +65,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives executor loss and the plan starts anew."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Spread a stored table over enough tasks before a step that multiplies its rows."""
+    tasks = min(-(-df.count() // rows_per_task), 20_000)
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.operators.common import broadcast_if_small, cut
+from wattspark.operators.common import broadcast_if_small, settle
 
 JUMPS = 3
 
@@ -12,37 +12,59 @@ def connected_components(nodes: DataFrame, edges: DataFrame, run: str = "run") -
     """Columns run, node, comp, where comp is the smallest node id reachable from node.
 
     Every round each vertex points to its smallest neighbour, pointers are shortened a few times,
-    and the graph is contracted along them, so its size falls geometrically. Every table of a
-    round is checkpointed; a side is broadcast only after it was counted.
+    and the graph is contracted along them, so its size falls geometrically. The two tables of a
+    round are written, so lineage does not grow; a side is broadcast only after it was counted.
     """
-    labels = nodes.select(run, "node", F.col("node").alias("comp"))
-    graph = cut(edges.select(run, "u", "v").where("u <> v").distinct())
+    graph = settle(edges.select(run, "u", "v").where("u <> v").distinct())
+    pointers = []
     while not graph.isEmpty():
         both = graph.unionByName(graph.select(run, F.col("v").alias("u"), F.col("u").alias("v")))
-        up = cut(
-            both.groupBy(run, "u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
+        first = settle(both.groupBy(run, "u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
+        size = first.count()
+        up = first
+        nxt = broadcast_if_small(
+            first.select(run, F.col("u").alias("p"), F.col("p").alias("_pp")), size
         )
-        size = up.count()
         for _ in range(JUMPS):
-            nxt = up.select(run, F.col("u").alias("p"), F.col("p").alias("_pp"))
-            up = (
-                up.join(broadcast_if_small(nxt, size), [run, "p"])
-                .select(run, "u", F.col("_pp").alias("p"))
-            )
-        up = broadcast_if_small(cut(up), size)
-        a = up.select(run, "u", F.col("p").alias("_a"))
-        b = up.select(run, F.col("u").alias("v"), F.col("p").alias("_b"))
-        graph = cut(
+            up = up.join(nxt, [run, "p"]).select(run, "u", F.col("_pp").alias("p"))
+        up = settle(up)
+        side = broadcast_if_small(up, size)
+        pointers.append(side)
+        a = side.select(run, "u", F.col("p").alias("_a"))
+        b = side.select(run, F.col("u").alias("v"), F.col("p").alias("_b"))
+        graph = settle(
             graph.join(a, [run, "u"])
             .join(b, [run, "v"])
             .where("_a <> _b")
             .select(run, F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"))
             .distinct()
         )
-        c = up.select(run, F.col("u").alias("comp"), F.col("p").alias("_p"))
-        labels = cut(
-            labels.join(c, [run, "comp"], "left").select(
-                run, "node", F.coalesce("_p", "comp").alias("comp")
-            )
+    labels = nodes.select(run, "node", F.col("node").alias("comp"))
+    for up in pointers:
+        step = up.select(run, F.col("u").alias("comp"), F.col("p").alias("_p"))
+        labels = labels.join(step, [run, "comp"], "left").select(
+            run, "node", F.coalesce("_p", "comp").alias("comp")
+        )
+    return settle(labels)
+
+
+def merge_components(labels: DataFrame, more: DataFrame, run: str = "run") -> DataFrame:
+    """Labels after adding edges: only the components that the new edges touch are worked on."""
+    a = labels.select(run, F.col("node").alias("u"), F.col("comp").alias("_a"))
+    b = labels.select(run, F.col("node").alias("v"), F.col("comp").alias("_b"))
+    edges = settle(
+        more.join(a, [run, "u"])
+        .join(b, [run, "v"])
+        .select(run, F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"))
+        .distinct()
+    )
+    touched = edges.select(run, F.col("u").alias("node")).unionByName(
+        edges.select(run, F.col("v").alias("node"))
+    )
+    joined = connected_components(touched.distinct(), edges, run)
+    step = joined.select(run, F.col("node").alias("comp"), F.col("comp").alias("_p"))
+    return settle(
+        labels.join(step, [run, "comp"], "left").select(
+            run, "node", F.coalesce("_p", "comp").alias("comp")
         )
-    return labels
+    )

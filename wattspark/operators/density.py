@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspark.operators.common import (
-    attach_one_row,
     broadcast_if_small,
-    cut,
     keep,
     settle,
+    spread,
     sq_distance,
 )
-from wattspark.operators.components import connected_components
+from wattspark.operators.components import connected_components, merge_components
 from wattspark.operators.kmeans import block_pairs
 from wattspark.operators.quantiles import quantiles
 from wattspark.operators.scaling import sample_n
@@ -61,8 +60,8 @@ def _shift(o: Column, axis: int, reach: int) -> Column:
 def _neighbour_cells(cells: DataFrame, d: int, half: bool = False, prefix: str = "n") -> DataFrame:
     """Each cell once per neighbour position: the cell's columns plus the neighbour's index."""
     reach = math.ceil(math.sqrt(d))
-    spread = cells.withColumn("_o", F.explode(_offsets(reach, d, True, half)))
-    return spread.withColumns(
+    wide = spread(cells, 2_000).withColumn("_o", F.explode(_offsets(reach, d, True, half)))
+    return wide.withColumns(
         {f"{prefix}{i}": F.col(f"c{i}") + _shift(F.col("_o"), i, reach) for i in range(d)}
     ).drop("_o")
 
@@ -122,7 +121,7 @@ def _link_cells(core: DataFrame, d: int) -> DataFrame:
         .where("_t IS NULL OR _t = 1")
         .select("run", "eps", "u", "v", "_t")
     )
-    tested = cut(tested)
+    tested = settle(tested)
     edges = tested.where("_t = 1").select("run", "u", "v")
     labels = connected_components(cells.select("run", "node"), edges)
 
@@ -166,7 +165,7 @@ def _link_cells(core: DataFrame, d: int) -> DataFrame:
         if level > 1:
             on_a += _cell_names(d, "pa")
             on_b += _cell_names(d, "pb")
-        tested = cut(
+        tested = settle(
             opened.join(end("u", "a", "pa"), on_a)
             .join(end("v", "b", "pb"), on_b)
             .withColumn("_t", _box_test(d))
@@ -179,15 +178,14 @@ def _link_cells(core: DataFrame, d: int) -> DataFrame:
         )
         more = tested.where("_t = 1").select("run", "u", "v").distinct()
         if not more.isEmpty():
-            edges = cut(edges.unionByName(more))
-            labels = connected_components(cells.select("run", "node"), edges)
+            labels = merge_components(labels, more)
         opened = tested.where("_t IS NULL").drop("_t")
 
 
 def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.select("run", F.col("node").alias("u"), F.col("comp").alias("_cu"))
     b = labels.select("run", F.col("node").alias("v"), F.col("comp").alias("_cv"))
-    return cut(
+    return settle(
         pairs.join(a, ["run", "u"]).join(b, ["run", "v"]).where("_cu <> _cv").drop("_cu", "_cv")
     )
 
@@ -227,7 +225,7 @@ def dbscan_runs(
         "run", "eps", F.col(id).alias("id"),
         *[(F.col(f) + F.lit(0.0)).alias(x) for f, x in zip(feats, xs)],
     )
-    uniq = keep(
+    uniq = settle(
         named.groupBy("run", "eps", *xs)
         .agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id"))
         .withColumns(dict(zip(cs, _cells([F.col(x) for x in xs], _side(F.col("eps"), d)))))
@@ -250,7 +248,8 @@ def dbscan_runs(
         .select("run", *cs)
     )
     targets = around.select("run", *cs, *ns)
-    query = uniq.join(targets.join(hopeful, ["run", *cs], "left_semi"), ["run", *cs]).select(
+    asked = settle(targets.join(hopeful, ["run", *cs], "left_semi"))
+    query = spread(asked, 20_000).join(uniq, ["run", *cs]).select(
         "run", "eps", "id", *ns, *[F.col(x).alias(f"q{i}") for i, x in enumerate(xs)]
     )
     others = uniq.select(
@@ -265,7 +264,7 @@ def dbscan_runs(
         .groupBy("run", "id")
         .agg(F.sum("w").alias("_far_n"))
     )
-    state = keep(
+    state = settle(
         uniq.join(cells, ["run", *cs])
         .join(reached, ["run", "id"], "left")
         .withColumn("core", F.col("cell_n") + F.coalesce("_far_n", F.lit(0)) >= min_pts)
@@ -280,7 +279,8 @@ def dbscan_runs(
     loose = state.where("NOT core")
     own = loose.join(cell_label, ["run", *cs]).select("run", "id", "cluster")
     nearby = (
-        loose.join(targets, ["run", *cs])
+        spread(targets, 20_000)
+        .join(loose, ["run", *cs])
         .select("run", "eps", "id", *ns, *[F.col(x).alias(f"q{i}") for i, x in enumerate(xs)])
         .join(
             cell_label.select("run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], "cluster"),
@@ -358,7 +358,7 @@ def k_distance(df: DataFrame, feats: list[str], id: str, k: int = MIN_PTS, block
         .applyInPandas(partial, f"`{id}` {id_type}, _d array<double>")
     )
     nearest = F.array_sort(F.flatten(F.collect_list("_d")))
-    return (
+    return settle(
         parts.groupBy(id)
         .agg(nearest.alias("_d"))
         .where(F.size("_d") >= k)
@@ -480,9 +480,11 @@ def nn_label_join(
 
     # Fine cells: occupied ones where every label within reach is the same.
     x = [F.col(f"x{i}") for i in range(d)]
-    fine = known.select("cluster", *[c.alias(n) for c, n in zip(_cells(x, _side(e, d)), cs)]).distinct()
-    spread = _neighbour_cells(fine, d, prefix="n")
-    seen = spread.select("cluster", *[F.col(f"n{i}").alias(c) for i, c in enumerate(cs)]).unionByName(fine)
+    fine = settle(
+        known.select("cluster", *[c.alias(n) for c, n in zip(_cells(x, _side(e, d)), cs)]).distinct()
+    )
+    around = _neighbour_cells(fine, d, prefix="n")
+    seen = around.select("cluster", *[F.col(f"n{i}").alias(c) for i, c in enumerate(cs)]).unionByName(fine)
     single = (
         seen.join(fine.select(*cs).distinct(), cs, "left_semi")
         .groupBy(*cs)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from wattspark.operators.common import (
     attach_one_row,
     broadcast_if_small,
-    cut,
     keep,
     settle,
     sq_distance,
@@ -79,7 +78,7 @@ def kmeans_fit(
 
     Start classes split the rows at the quantiles i/k of `init_by`; an empty class keeps its
     centroid. All groups move in the same plan; each round is one partial aggregation, and its
-    small result is checkpointed so that the lineage does not grow with the rounds.
+    small result is written so that the lineage does not grow with the rounds.
     """
     cuts = [f"_q{i}" for i in range(1, k)]
     q = settle(
@@ -88,12 +87,12 @@ def kmeans_fit(
     joined = df.join(q, keys) if keys else attach_one_row(df, q)
     cases = " ".join(f"WHEN `{init_by}` <= {c} THEN {i}" for i, c in enumerate(cuts))
     start = joined.selectExpr("*", f"CASE {cases} ELSE {k - 1} END AS _cluster")
-    current = cut(_centroids(start, keys, feats, k, first=True))
+    current = settle(_centroids(start, keys, feats, k, first=True))
     groups = current.count() if keys else 1
     names = [f"_c{j}_{i}" for j in range(k) for i in range(len(feats))]
     for _ in range(rounds):
         side = broadcast_if_small(current, groups) if keys else current
-        moved = cut(_centroids(_assign(df, side, keys, feats, k), keys, feats, k, first=False))
+        moved = settle(_centroids(_assign(df, side, keys, feats, k), keys, feats, k, first=False))
         old = current.select(*keys, *[F.col(c).alias(f"old{c}") for c in names])
         pair = moved.join(old, keys) if keys else moved.crossJoin(F.broadcast(old))
         changed = " OR ".join(f"NOT ({c} <=> old{c})" for c in names)
@@ -231,10 +230,12 @@ def block_pairs(df: DataFrame, id: str, cols: list[str], block: int) -> tuple[Da
     """
     n = df.count()
     blocks = max(1, -(-n // block))
-    tagged = keep(df.select(id, *cols).withColumn("_b", F.pmod(F.xxhash64(id), F.lit(blocks))))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-    left = tagged.select("*", other.alias("_o")).withColumnsRenamed({"_b": "_i", "_o": "_j"})
-    right = tagged.select("*", other.alias("_o")).withColumnsRenamed({"_b": "_j", "_o": "_i"})
+    tagged = settle(df.select(id, *cols).withColumn("_b", F.pmod(F.xxhash64(id), F.lit(blocks))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    spread = tagged.select("*", other.alias("_o"))
+    fresh = [F.col(c).alias(c) for c in (id, *cols)]  # new identities, so both sides can meet
+    left = spread.select(id, *cols, F.col("_b").alias("_i"), F.col("_o").alias("_j"))
+    right = spread.select(*fresh, F.col("_o").alias("_i"), F.col("_b").alias("_j"))
     return left, right
 
 
