@@ -18,7 +18,9 @@ def write_tables(
     """Write a result table; every task writes its own files."""
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     writer.format(fmt).save(path)
 
 
