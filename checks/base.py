@@ -153,9 +153,11 @@ def ctes(names: str, body: str = "") -> str:
 
     for n in names.split():
         visit(n)
+    # A piece that starts with USING KEY is a recursion over (run, id, comp).
     return "".join(
-        f"{n} {'' if PIECES[n].startswith('USING') else 'AS MATERIALIZED ('}{PIECES[n]}"
-        f"{'' if PIECES[n].startswith('USING') else ')'},\n"
+        f"{n}(run, id, comp) {PIECES[n]},\n"
+        if PIECES[n].startswith("USING KEY")
+        else f"{n} AS MATERIALIZED ({PIECES[n]}),\n"
         for n in done
     )
 
