@@ -31,8 +31,13 @@ def read_power(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def scan_projected(spark: SparkSession, path: str, cols: list[str], fmt: str = "csv") -> DataFrame:
     """Scan only `cols`; if a name differs, all columns are returned."""
-    df = read_power(spark, path, fmt)
-    return df.select(*cols) if set(cols) <= set(df.columns) else df
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    df = clean_headers(reader.format(fmt).load(path))
+    wanted = cols if set(cols) <= set(df.columns) else df.columns
+    known = {f.name: f.dataType for f in RAW.fields}
+    return df.select(
+        *[F.col(c).try_cast(known[c]).alias(c) if c in known else F.col(c) for c in wanted]
+    )
 
 
 def chunked_ingest(
