@@ -44,7 +44,7 @@ def test_many_rows_against_builtin(spark):
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, power_watts double")
-    assert quantiles(df, [], "power_watts", [0.5], ["m"]).count() == 0
+    assert quantiles(df, [], "power_watts", [0.5], ["m"]).first().m is None
     assert iqr_outliers_global(df).count() == 0
 
 

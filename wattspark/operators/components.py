@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.operators.common import broadcast_if_small, settle
+from wattspark.operators.common import settle
 
 JUMPS = 3
 
@@ -13,25 +13,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame, run: str = "run") -
 
     Every round each vertex points to its smallest neighbour, pointers are shortened a few times,
     and the graph is contracted along them, so its size falls geometrically. The two tables of a
-    round are written, so lineage does not grow; a side is broadcast only after it was counted.
+    round are written, so lineage does not grow and Spark joins them by their real size.
     """
     graph = settle(edges.select(run, "u", "v").where("u <> v").distinct())
     pointers = []
     while not graph.isEmpty():
         both = graph.unionByName(graph.select(run, F.col("v").alias("u"), F.col("u").alias("v")))
-        first = settle(both.groupBy(run, "u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
-        size = first.count()
+        # The aggregate is shuffled once; the jumps reuse that exchange within one job.
+        first = both.groupBy(run, "u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
+        nxt = first.select(run, F.col("u").alias("p"), F.col("p").alias("_pp"))
         up = first
-        nxt = broadcast_if_small(
-            first.select(run, F.col("u").alias("p"), F.col("p").alias("_pp")), size
-        )
         for _ in range(JUMPS):
             up = up.join(nxt, [run, "p"]).select(run, "u", F.col("_pp").alias("p"))
         up = settle(up)
-        side = broadcast_if_small(up, size)
-        pointers.append(side)
-        a = side.select(run, "u", F.col("p").alias("_a"))
-        b = side.select(run, F.col("u").alias("v"), F.col("p").alias("_b"))
+        pointers.append(up)
+        a = up.select(run, "u", F.col("p").alias("_a"))
+        b = up.select(run, F.col("u").alias("v"), F.col("p").alias("_b"))
         graph = settle(
             graph.join(a, [run, "u"])
             .join(b, [run, "v"])

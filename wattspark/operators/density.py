@@ -130,6 +130,8 @@ def _link_cells(core: DataFrame, d: int) -> DataFrame:
     own = core.join(cells.select("run", *cs, "node"), ["run", *cs])
     level = 0
     while True:
+        if opened.isEmpty():
+            return labels
         opened = _still_apart(opened, labels)
         if opened.isEmpty():
             return labels
@@ -202,7 +204,7 @@ def _numbered(labels: DataFrame) -> DataFrame:
     before = Window.partitionBy("run").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("run", "_k").orderBy("comp"))
-    numbers = settle(
+    numbers = (
         roots.withColumn("_r", rank)
         .join(totals, ["run", "_k"])
         .select("run", "comp", (F.col("_base") + F.col("_r") - 1).cast("int").alias("cluster"))

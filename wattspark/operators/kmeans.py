@@ -68,7 +68,14 @@ def _centroids(assigned: DataFrame, keys: list[str], feats: list[str], k: int, f
             if not first:
                 mean = f"coalesce({mean}, max(_c{j}_{i}))"
             aggs.append(F.expr(f"{mean} AS _c{j}_{i}"))
-    return assigned.groupBy(*keys).agg(*aggs)
+    if first:
+        return assigned.groupBy(*keys).agg(*aggs)
+    cells = [f"_c{j}_{i}" for j in range(k) for i in range(len(feats))]
+    olds = [F.expr(f"max({c}) AS old{c}") for c in cells]
+    moved = " OR ".join(f"NOT ({c} <=> old{c})" for c in cells)
+    return assigned.groupBy(*keys).agg(*aggs, *olds).selectExpr(
+        *[f"`{x}`" for x in keys], *cells, f"({moved}) AS _moved"
+    )
 
 
 def kmeans_fit(
@@ -89,15 +96,11 @@ def kmeans_fit(
     start = joined.selectExpr("*", f"CASE {cases} ELSE {k - 1} END AS _cluster")
     current = settle(_centroids(start, keys, feats, k, first=True))
     groups = current.count() if keys else 1
-    names = [f"_c{j}_{i}" for j in range(k) for i in range(len(feats))]
     for _ in range(rounds):
         side = broadcast_if_small(current, groups) if keys else current
         moved = settle(_centroids(_assign(df, side, keys, feats, k), keys, feats, k, first=False))
-        old = current.select(*keys, *[F.col(c).alias(f"old{c}") for c in names])
-        pair = moved.join(old, keys) if keys else moved.crossJoin(F.broadcast(old))
-        changed = " OR ".join(f"NOT ({c} <=> old{c})" for c in names)
-        current = moved
-        if pair.where(changed).isEmpty():
+        current = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
             break
     return current
 

@@ -114,5 +114,5 @@ def quantiles(
 
 
 def quantile_row(df: DataFrame, value: str, qs: list[float], names: list[str]) -> DataFrame:
-    """The exact quantiles of all rows as one settled row (no rows for an empty input)."""
+    """The exact quantiles of all rows as one settled row (NULL for an empty input)."""
     return settle(quantiles(df, [], value, qs, names).drop("n"))
