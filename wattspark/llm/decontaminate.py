@@ -118,17 +118,20 @@ class Postings:
         if slop:
             starts = np.unique((starts[:, None] + np.arange(-slop, slop + 1)).ravel())
         starts = starts[(starts >= 0) & (starts + len(phrase) <= self.doc_starts[-1])]
-        for _, k, own in lists[1:]:
+        doc = np.searchsorted(self.doc_starts, starts, "right") - 1
+        starts, doc = (x[starts + len(phrase) <= self.doc_starts[doc + 1]] for x in (starts, doc))
+        first, last = self.doc_starts[doc], self.doc_starts[doc + 1] - 1
+        for _, k, own in lists if slop else lists[1:]:
             if not len(starts):
                 return starts
-            i = np.searchsorted(own, starts + (k - slop))
-            starts = starts[(i < len(own)) & (own[np.minimum(i, len(own) - 1)] <= starts + (k + slop))]
-        doc = np.searchsorted(self.doc_starts, starts, "right") - 1
-        return starts[starts + len(phrase) <= self.doc_starts[doc + 1]]
+            i = np.searchsorted(own, np.maximum(starts + (k - slop), first))
+            held = (i < len(own)) & (own[np.minimum(i, len(own) - 1)] <= np.minimum(starts + (k + slop), last))
+            starts, first, last = starts[held], first[held], last[held]
+        return starts
 
     def matches(self, phrases: dict[tuple[bytes, ...], list[str]], slop: int) -> list[list[tuple]]:
         """For each document of the block: (item, start in the document, length, exact)."""
-        out: list[list[tuple]] = [[] for _ in range(len(self.doc_starts) - 1)]
+        out: list[dict[tuple, bool]] = [{} for _ in range(len(self.doc_starts) - 1)]
         for phrase, items in phrases.items():
             found = self.find(phrase, slop)
             if not len(found):
@@ -137,8 +140,9 @@ class Postings:
             docs = np.searchsorted(self.doc_starts, found, "right") - 1
             for s, d in zip(found.tolist(), docs.tolist()):
                 for item in items:
-                    out[d].append((item, s - int(self.doc_starts[d]), len(phrase), exact is None or s in exact))
-        return out
+                    at = (item, s - int(self.doc_starts[d]), len(phrase))
+                    out[d][at] = out[d].get(at, False) or exact is None or s in exact
+        return [[(*at, exact) for at, exact in row.items()] for row in out]
 
 
 def _arrow(rows: list[list[tuple]]) -> pa.Array:

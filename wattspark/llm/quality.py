@@ -133,8 +133,7 @@ def calibrate(
     Documents that the base rule rejects are not counted: they are not the rules' to reject.
     """
     known = labels.where(F.col("quality").isNotNull()).select(F.col(key), (F.col("quality") > 0).alias("_good"))
-    # A candidate's number is how many of the rule's cutoffs lie below the measure: the document is
-    # rejected by exactly these most lenient candidates.
+    # n: how many of the rule's cutoffs lie below the measure; these, the strictest n, reject the document.
     beyond = [
         F.struct(F.lit(r).alias("rule"), sum(((rule_value(r, m) > c).cast("int") for c in cuts), F.lit(0)).alias("n"))
         for r, (_, cuts) in RULES.items()
@@ -154,7 +153,7 @@ def calibrate(
         row: dict = {"stratum": part["stratum"].iloc[0]}
         for rule, (_, cuts) in RULES.items():
             own = part[part["rule"] == rule]
-            good, bad = ([int(own.loc[own["n"] >= i + 1, c].sum()) for i in range(len(cuts))] for c in ("good", "bad"))
+            good, bad = ([int(own.loc[own["n"] >= len(cuts) - i, c].sum()) for i in range(len(cuts))] for c in ("good", "bad"))
             chosen = certify(good, bad, int(own["good"].sum()), alpha / len(RULES), level)
             row[rule] = cuts[chosen] if chosen >= 0 else None
         return pd.DataFrame([row], columns=schema.names).astype({r: "float64" for r in RULES})
