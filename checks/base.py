@@ -110,8 +110,7 @@ PIECES: dict[str, str] = {
     "redt": """SELECT *, hour(timestamp) AS hour, CAST(timestamp AS DATE) AS date,
         CAST(floor((epoch_us(timestamp) - (SELECT min(epoch_us(timestamp)) FROM red)) / 86400000000) AS BIGINT) + 1 AS day_num
         FROM red""",
-    "subs": """SELECT *, CASE WHEN day_num <= 3 THEN 'subset_1' WHEN day_num <= 6 THEN 'subset_2' ELSE 'subset_3' END AS subset
-        FROM redt WHERE day_num <= 9""",
+    "subs": "SELECT *, 'subset_' || CAST((day_num - 1) // 3 + 1 AS VARCHAR) AS subset FROM redt",
     "subq": """SELECT subset, quantile_cont(power_watts, 0.25::DOUBLE) AS q1, quantile_cont(power_watts, 0.75::DOUBLE) AS q3
         FROM subs GROUP BY subset""",
     "subout": """SELECT s.* FROM subs s JOIN subq q USING (subset)

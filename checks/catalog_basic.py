@@ -727,9 +727,9 @@ add("power_timeline_node", lambda s, f: downsample.power_timeline_node(tel(s, f)
 add("power_timeline_gpu", lambda s, f: downsample.power_timeline_gpu(tel(s, f)), "SELECT * FROM red", d="power_watts", t="timestamp", with_="red")
 SAMPLE = "(SELECT * FROM {t} ORDER BY md5(CAST(row_id AS VARCHAR)), row_id LIMIT {n})"
 add(
-    "timeline_sampled", lambda s, f: stats.timeline_sampled(tel(s, f), 10_000),
-    f"""SELECT hostname, time_bucket(INTERVAL 1 HOUR, timestamp) AS bucket, avg(power_watts) AS avg_power, count(*) AS n
-    FROM {SAMPLE.format(t='tel', n=10_000)} GROUP BY ALL""",
+    "timeline_sampled", lambda s, f: stats.timeline_sampled(tel(s, f)),
+    """SELECT hostname, time_bucket(INTERVAL 1 HOUR, timestamp) AS bucket, avg(power_watts) AS avg_power, count(*) AS n
+    FROM tel GROUP BY ALL""",
     d="avg_power", i="n", t="bucket", with_="tel",
 )
 add(
@@ -738,9 +738,9 @@ add(
     i="cluster hour power_bin n", with_="redc",
 )
 add(
-    "behavior_scatter", lambda s, f: stats.behavior_scatter(lab(s, f), 20_000),
-    f"""SELECT behavior_label, CAST(floor(power_watts / 20) AS INTEGER) AS power_bin, CAST(floor(rolling_mean_power / 20) AS INTEGER) AS rolling_bin,
-    count(*) AS n FROM {SAMPLE.format(t='lab', n=20_000)} GROUP BY ALL""",
+    "behavior_scatter", lambda s, f: stats.behavior_scatter(lab(s, f)),
+    """SELECT behavior_label, CAST(floor(power_watts / 20) AS INTEGER) AS power_bin, CAST(floor(rolling_mean_power / 20) AS INTEGER) AS rolling_bin,
+    count(*) AS n FROM lab GROUP BY ALL""",
     i="power_bin rolling_bin n", with_="lab",
 )
 

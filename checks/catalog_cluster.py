@@ -15,7 +15,9 @@ FEATS = analyses.FEATURES
 Z = scaling.scaled_names(FEATS)
 EX = ["power_watts", "hour", "day_num"]
 EXZ = scaling.scaled_names(EX)
-ROUNDS = 6
+# Lloyd rounds written out in SQL. Rounds after the fixed point change nothing, so any number at or
+# above the rounds to converge gives the same labels; the Spark side has no round limit.
+ROUNDS = 45
 RED = [*GPU_KEYS, "timestamp", "power_watts"]
 RCOLS = "hostname, pci_bus_id, timestamp, power_watts"
 
@@ -131,7 +133,7 @@ group_pieces("kb", "code", ["subset", "pci_bus_id"], OF, ROUNDS, "code")
 
 @stored
 def km(s, f):
-    return kmeans.kmeans_det(exz(s, f).drop("cluster"), EXZ, rounds=ROUNDS)
+    return kmeans.kmeans_det(exz(s, f).drop("cluster"), EXZ)
 
 
 def kmeans_random(s, f):
@@ -142,14 +144,14 @@ def kmeans_random(s, f):
 
 add("kmeans", kmeans_random)
 add(
-    "kmeans_det", lambda s, f: kmeans.kmeans_det(exz(s, f).drop("cluster"), EXZ, rounds=ROUNDS).select("row_id", "cluster"),
+    "kmeans_det", lambda s, f: kmeans.kmeans_det(exz(s, f).drop("cluster"), EXZ).select("row_id", "cluster"),
     "SELECT row_id, cluster FROM km", i="cluster", with_="km",
 )
 
 
 def by_group(s, f, keys, name):
     coded = settle(label_encode(subout(s, f), "pci_bus_id", ["subset"]))
-    out = kmeans.kmeans_by_group(coded, ["subset", *keys], OF, rounds=ROUNDS, name=name)
+    out = kmeans.kmeans_by_group(coded, ["subset", *keys], OF, name=name)
     return out.select("subset", *RED, name, f"{name}_label")
 
 
@@ -164,13 +166,13 @@ for key, tag, name, cols in (
     )
 add(
     "outlier_kmeans_global",
-    lambda s, f: kmeans.outlier_kmeans_global(subout(s, f), ROUNDS).select("subset", *RED, "global_cluster", "global_cluster_label"),
+    lambda s, f: kmeans.outlier_kmeans_global(subout(s, f)).select("subset", *RED, "global_cluster", "global_cluster_label"),
     f"SELECT subset, {RCOLS}, cluster AS global_cluster, cluster_label AS global_cluster_label FROM kg",
     d="power_watts", i="global_cluster", t="timestamp", with_="kg",
 )
 add(
     "outlier_back_join",
-    lambda s, f: analyses.clustered_outliers(tel(s, f), ROUNDS).select(
+    lambda s, f: analyses.clustered_outliers(tel(s, f)).select(
         "subset", *RED, "global_cluster", "node_cluster", "gpu_cluster", "node_cluster_label", "gpu_cluster_label"
     ),
     f"""SELECT g.subset, g.hostname, g.pci_bus_id, g.timestamp, g.power_watts, g.cluster AS global_cluster, n.cluster AS node_cluster,
@@ -223,15 +225,15 @@ piece("pk", scaled_sql(f"(SELECT *, hostname || '|' || pci_bus_id || '|' || strf
 km_pieces("kp", "pk", [], EXZ, ROUNDS, "pk")
 piece("kpdist", DIST.format(t="kp"), "kp")
 add(
-    "peak_reclustering", lambda s, f: kmeans.peak_reclustering(redt(s, f), EX, ROUNDS)[1],
+    "peak_reclustering", lambda s, f: kmeans.peak_reclustering(redt(s, f), EX)[1],
     TIGHT.format(r=RADIUS.format(t="kpdist")), d=RD, i="cluster size", with_="kpdist",
 )
 
 
 def full_and_peak(s, f):
     rows = settle(reading_key(redt(s, f)))
-    full = kmeans.compactness(rows, EX, ROUNDS)
-    peak = kmeans.peak_reclustering(rows, EX, ROUNDS)
+    full = kmeans.compactness(rows, EX)
+    peak = kmeans.peak_reclustering(rows, EX)
     return kmeans.peak_vs_full(full, peak, EX, "row_id")
 
 

@@ -34,23 +34,32 @@ def data(n=600, seed=0):
 
 def test_deterministic_form_equals_numpy(spark):
     pdf = data()
-    got = kmeans.kmeans_det(spark.createDataFrame(pdf), ["power_watts", "hour"], rounds=5).orderBy("row_id").toPandas()
-    want = lloyd(pdf[["power_watts", "hour"]].to_numpy(), pdf.power_watts.to_numpy(), 3, 5)
+    got = kmeans.kmeans_det(spark.createDataFrame(pdf), ["power_watts", "hour"]).orderBy("row_id").toPandas()
+    x, power = pdf[["power_watts", "hour"]].to_numpy(), pdf.power_watts.to_numpy()
+    want = lloyd(x, power, 3, 200)
+    assert (want == lloyd(x, power, 3, 300)).all()
     assert (got.cluster.to_numpy() == want).all()
+    assert (want != lloyd(x, power, 3, 6)).any()  # a limit of six rounds would be wrong here
+
+
+def test_edge_cases_end(spark):
+    one = spark.createDataFrame([(i, 5.0, 1.0) for i in range(20)], "row_id long, power_watts double, hour double")
+    assert {r.cluster for r in kmeans.kmeans_det(one, ["power_watts", "hour"]).collect()} == {0}
+    assert {r.cluster for r in kmeans.kmeans_det(one, ["power_watts"], k=1).collect()} == {0}
 
 
 def test_groups_move_together_and_small_groups_are_left_out(spark):
     pdf = data(300, 1)
     tiny = pd.DataFrame({"row_id": [900, 901], "g": "tiny", "power_watts": [1.0, 2.0], "hour": [0.0, 1.0]})
     df = spark.createDataFrame(pd.concat([pdf, tiny]))
-    got = kmeans.kmeans_by_group(df, ["g"], ["power_watts", "hour"], rounds=4).toPandas().set_index("row_id")
+    got = kmeans.kmeans_by_group(df, ["g"], ["power_watts", "hour"]).toPandas().set_index("row_id")
     assert got.loc[[900, 901], "cluster"].tolist() == [-1, -1]
     assert set(got.loc[[900, 901], "cluster_label"]) == {"None"}
     for g in ("a", "b"):
         part = pdf[pdf.g == g]
         x = part[["power_watts", "hour"]].to_numpy()
         z = (x - x.mean(0)) / x.std(0)
-        assert (got.loc[part.row_id, "cluster"].to_numpy() == lloyd(z, part.power_watts.to_numpy(), 3, 4)).all()
+        assert (got.loc[part.row_id, "cluster"].to_numpy() == lloyd(z, part.power_watts.to_numpy(), 3, 200)).all()
     means = got[got.g == "a"].groupby("cluster_label").power_watts.mean()
     assert means["Low usage / idle cluster"] < means["Medium usage cluster"] < means["High spike cluster"]
 

@@ -45,14 +45,11 @@ def floor_5min(df: DataFrame, width: str = "5 minutes", ts: str = "timestamp") -
     return df.withColumn("bucket", F.window(ts, width)["start"])
 
 
-def day_range_subset(
-    df: DataFrame, ranges: tuple = ((1, 3), (4, 6), (7, 9)), day: str = "day_num"
-) -> DataFrame:
-    """Add `subset` (subset_1 ...); days outside every range are dropped."""
-    label = F.lit(None).cast("string")
-    for i, (lo, hi) in enumerate(ranges, 1):
-        label = F.when(F.col(day).between(lo, hi), f"subset_{i}").otherwise(label)
-    return df.withColumn("subset", label).where(F.col("subset").isNotNull())
+def day_range_subset(df: DataFrame, width: int = 3, day: str = "day_num") -> DataFrame:
+    """Add `subset`: consecutive ranges of `width` elapsed days, subset_1 for the first. All days belong
+    to a range; only rows without a day are dropped."""
+    number = F.floor((F.col(day) - 1) / width) + 1
+    return df.withColumn("subset", F.concat(F.lit("subset_"), number.cast("string"))).where(F.col("subset").isNotNull())
 
 
 def time_band_of(hour: Column) -> Column:

@@ -1,5 +1,7 @@
 """K-Means (random starts, and a deterministic form), its quality measures, and rank labels."""
 
+import re
+
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -24,13 +26,16 @@ OUTLIER_FEATURES = [POWER, "hour", "day_num", "encoded_pci_bus_id"]
 
 
 def kmeans(
-    df: DataFrame, feats: list[str], k: int = 3, seeds: range = range(42, 52)
+    df: DataFrame, feats: list[str], k: int = 3, seeds: range = range(42, 52), steps: int = 10_000
 ) -> tuple[DataFrame, float]:
-    """Best of several random-start K-Means fits: rows with `cluster`, and the cost."""
+    """Best of several random-start K-Means fits: rows with `cluster`, and the cost.
+
+    A fit ends when no centre moves by more than `1e-6`; `steps` only guards against endless loops.
+    """
     data = keep(VectorAssembler(inputCols=feats, outputCol="_features").transform(df))
     best = None
     for seed in seeds:
-        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(data)
+        model = KMeans(k=k, seed=seed, maxIter=steps, tol=1e-6, featuresCol="_features", predictionCol="cluster").fit(data)
         cost = model.summary.trainingCost
         if best is None or cost < best[1]:
             best = (model, cost)
@@ -60,63 +65,77 @@ def _assign(df: DataFrame, centroids: DataFrame, keys: list[str], feats: list[st
 
 
 def _centroids(assigned: DataFrame, keys: list[str], feats: list[str], k: int, first: bool) -> DataFrame:
-    """One row per group with k * d centroid columns, from one partial aggregation."""
+    """One row per group with k * d centroid columns, from one partial aggregation.
+
+    After the start also the centroids the rows were assigned by (`_p...`), how many rows changed
+    their class, the cost, and the cost of the round before.
+    """
     aggs = []
     for j in range(k):
         for i, f in enumerate(feats):
             mean = f"avg(CASE WHEN _cluster = {j} THEN `{f}` END)"
-            if not first:
-                mean = f"coalesce({mean}, max(_c{j}_{i}))"
-            aggs.append(F.expr(f"{mean} AS _c{j}_{i}"))
+            old = f"max(_c{j}_{i})"
+            aggs.append(F.expr(mean if first else f"coalesce({mean}, {old})").alias(f"_c{j}_{i}"))
+            aggs.append((F.lit(None).cast("double") if first else F.expr(old)).alias(f"_p{j}_{i}"))
     if first:
-        return assigned.groupBy(*keys).agg(*aggs)
-    cells = [f"_c{j}_{i}" for j in range(k) for i in range(len(feats))]
-    olds = [F.expr(f"max({c}) AS old{c}") for c in cells]
-    moved = " OR ".join(f"NOT ({c} <=> old{c})" for c in cells)
-    return assigned.groupBy(*keys).agg(*aggs, *olds).selectExpr(
-        *[f"`{x}`" for x in keys], *cells, f"({moved}) AS _moved"
-    )
+        aggs.append(F.lit(float("inf")).alias("_cost"))
+    else:
+        least = f"least({', '.join(f'_d{j}' for j in range(k))})" if k > 1 else "_d0"
+        aggs.append(F.expr("count_if(_cluster <> _was)").alias("_moved"))
+        aggs.append(F.expr(f"sum({least})").alias("_cost"))
+        aggs.append(F.max("_cost").alias("_before"))
+    return assigned.groupBy(*keys).agg(*aggs)
 
 
-def kmeans_fit(
-    df: DataFrame, keys: list[str], feats: list[str], k: int, rounds: int, init_by: str
-) -> DataFrame:
-    """Centroids per group after deterministic Lloyd rounds.
+def kmeans_fit(df: DataFrame, keys: list[str], feats: list[str], k: int, init_by: str) -> DataFrame:
+    """Centroids per group after deterministic Lloyd rounds, until no row changes its class.
 
     Start classes split the rows at the quantiles i/k of `init_by`; an empty class keeps its
     centroid. All groups move in the same plan; each round is one partial aggregation, and its
-    small result is written so that the lineage does not grow with the rounds.
+    small result is written so that the lineage does not grow with the rounds. A round assigns every
+    row by the last and by the current centroids. A group is done when no row changes, or when its
+    cost no longer falls (distances equal up to rounding), so the loop always ends.
     """
-    cuts = [f"_q{i}" for i in range(1, k)]
-    q = settle(
-        quantiles(df, keys, init_by, [i / k for i in range(1, k)], cuts).drop("n")
-    )
-    joined = df.join(q, keys) if keys else attach_one_row(df, q)
-    cases = " ".join(f"WHEN `{init_by}` <= {c} THEN {i}" for i, c in enumerate(cuts))
-    start = joined.selectExpr("*", f"CASE {cases} ELSE {k - 1} END AS _cluster")
+    if k > 1:
+        cuts = [f"_q{i}" for i in range(1, k)]
+        q = settle(quantiles(df, keys, init_by, [i / k for i in range(1, k)], cuts).drop("n"))
+        joined = df.join(q, keys) if keys else attach_one_row(df, q)
+        cases = " ".join(f"WHEN `{init_by}` <= {c} THEN {i}" for i, c in enumerate(cuts))
+        start = joined.selectExpr("*", f"CASE {cases} ELSE {k - 1} END AS _cluster")
+    else:
+        start = df.withColumn("_cluster", F.lit(0))
     current = settle(_centroids(start, keys, feats, k, first=True))
     groups = current.count() if keys else 1
-    for _ in range(rounds):
-        side = broadcast_if_small(current, groups) if keys else current
-        moved = settle(_centroids(_assign(df, side, keys, feats, k), keys, feats, k, first=False))
-        current = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            break
-    return current
+    dist, _ = _nearest(k, feats)
+    last = [re.sub(r"- _c", "- _p", d) for d in dist]
+    least = f"least({', '.join(f'_o{j}' for j in range(k))})" if k > 1 else "_o0"
+    was = " ".join(f"WHEN _o{j} <= {least} THEN {j}" for j in range(k))
+    rounds = 0
+    while True:
+        side = current.drop("_moved", "_before")
+        side = broadcast_if_small(side, groups) if keys else side
+        assigned = (
+            _assign(df, side, keys, feats, k)
+            .selectExpr("*", *[f"coalesce({e}, double('infinity')) AS _o{j}" for j, e in enumerate(last)])
+            .selectExpr("*", f"CASE {was} END AS _was")
+        )
+        current = settle(_centroids(assigned, keys, feats, k, first=False))
+        rounds += 1
+        if rounds > 1 and current.where("_moved > 0 AND _cost < _before").isEmpty():
+            return current.select(*keys, *[f"_c{j}_{i}" for j in range(k) for i in range(len(feats))])
 
 
 def kmeans_det(
     df: DataFrame,
     feats: list[str],
     k: int = 3,
-    rounds: int = 20,
     init_by: str = POWER,
     keys: list[str] | None = None,
 ) -> DataFrame:
     """Rows with `cluster`, the rank (0-based) of their centroid class by mean `init_by`."""
     keys = keys or []
     data = keep(df)
-    centroids = kmeans_fit(data, keys, feats, k, rounds, init_by)
+    centroids = kmeans_fit(data, keys, feats, k, init_by)
     # For one row per group the centroids may be sent to all tasks after their count is known.
     side = broadcast_if_small(centroids, centroids.count()) if keys else centroids
     drop = [f"_c{j}_{i}" for j in range(k) for i in range(len(feats))] + [
@@ -152,29 +171,27 @@ def kmeans_by_group(
     keys: list[str],
     feats: list[str],
     k: int = 3,
-    min_rows: int = 3,
-    rounds: int = 20,
     name: str = "cluster",
 ) -> DataFrame:
     """Scaling, K-Means and rank labels within every group at once.
 
-    Groups with fewer than `min_rows` rows get cluster -1 and label 'None'.
+    Groups with fewer rows than classes get cluster -1 and label 'None'.
     """
     sizes = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
     sized = df.join(sizes, keys)
-    big = sized.where(F.col("_size") >= min_rows).drop("_size")
-    small = sized.where(F.col("_size") < min_rows).drop("_size")
+    big = sized.where(F.col("_size") >= k).drop("_size")
+    small = sized.where(F.col("_size") < k).drop("_size")
     scaled, _ = standardize(big, feats, keys)
-    done = kmeans_det(scaled, scaled_names(feats), k, rounds, POWER, keys).drop(*scaled_names(feats))
+    done = kmeans_det(scaled, scaled_names(feats), k, POWER, keys).drop(*scaled_names(feats))
     named = rank_label(done.withColumnRenamed("cluster", name), keys, name)
     rest = small.withColumns({name: F.lit(-1), f"{name}_label": F.lit("None")})
     return named.unionByName(rest)
 
 
-def outlier_kmeans_global(outliers: DataFrame, rounds: int = 20) -> DataFrame:
+def outlier_kmeans_global(outliers: DataFrame) -> DataFrame:
     """Cluster each subset's outliers on power, hour, day and encoded bus id, with rank labels."""
     coded = label_encode(outliers, "pci_bus_id", ["subset"])
-    return kmeans_by_group(coded, ["subset"], OUTLIER_FEATURES, rounds=rounds, name="global_cluster")
+    return kmeans_by_group(coded, ["subset"], OUTLIER_FEATURES, name="global_cluster")
 
 
 def outlier_back_join(outliers: DataFrame, assignment: DataFrame, id: str) -> DataFrame:
@@ -351,18 +368,18 @@ def silhouette_sq(df: DataFrame, feats: list[str], cluster: str = "cluster") ->
 
 
 def compactness(
-    df: DataFrame, feats: list[str], rounds: int = 20
+    df: DataFrame, feats: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Scale, cluster and measure: (rows with cluster and distance, radius table)."""
     scaled, _ = standardize(df, feats)
     z = scaled_names(feats)
-    dist = keep(centroid_distance(kmeans_det(scaled, z, rounds=rounds), z))
+    dist = keep(centroid_distance(kmeans_det(scaled, z), z))
     return dist, tightness(settle(cluster_radius(dist)))
 
 
-def peak_reclustering(df: DataFrame, feats: list[str], rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def peak_reclustering(df: DataFrame, feats: list[str]) -> tuple[DataFrame, DataFrame]:
     """The same on the larger peak subset, with a scaler fitted on that subset."""
-    return compactness(peak_choice(df), feats, rounds)
+    return compactness(peak_choice(df), feats)
 
 
 def peak_vs_full(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from wattspark.functions.timefeat import day_number
 from wattspark.operators.common import attach_one_row, settle
 from wattspark.operators.quantiles import quantile_row, quantiles
-from wattspark.operators.scaling import sample_n
 from wattspark.schema import GPU_KEYS, NODE_TOTAL, POWER
 
 
@@ -188,12 +187,11 @@ def host_type_quartiles(df: DataFrame, v: str = POWER, bins: int = 20) -> DataFr
     )
 
 
-def timeline_sampled(df: DataFrame, n: int = 10_000, width: str = "1 hour") -> DataFrame:
-    """Mean power per host and interval over a reproducible sample of n rows."""
+def timeline_sampled(df: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Mean power per host and interval, over all rows (an aggregate needs no sample to be drawn)."""
     bucket = F.window("timestamp", width)["start"].alias("bucket")
     return (
-        sample_n(df, "row_id", n)
-        .groupBy("hostname", bucket)
+        df.groupBy("hostname", bucket)
         .agg(F.avg(POWER).alias("avg_power"), F.count(F.lit(1)).alias("n"))
     )
 
@@ -205,11 +203,10 @@ def cluster_scatter(df: DataFrame, cluster: str = "cluster", step: float = 10.0)
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def behavior_scatter(df: DataFrame, n: int = 20_000, step: float = 20.0) -> DataFrame:
-    """Power x rolling mean by label as binned counts over a sample."""
+def behavior_scatter(df: DataFrame, step: float = 20.0) -> DataFrame:
+    """Power x rolling mean by label as binned counts over all rows."""
     return (
-        sample_n(df, "row_id", n)
-        .groupBy(
+        df.groupBy(
             "behavior_label",
             F.floor(F.col(POWER) / step).cast("int").alias("power_bin"),
             F.floor(F.col("rolling_mean_power") / step).cast("int").alias("rolling_bin"),

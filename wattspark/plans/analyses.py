@@ -45,14 +45,14 @@ def outliers_of_subsets(readings: DataFrame) -> DataFrame:
     return settle(subset_outliers(day_range_subset(reduced_with_time(readings))))
 
 
-def clustered_outliers(readings: DataFrame, rounds: int = 20) -> DataFrame:
+def clustered_outliers(readings: DataFrame) -> DataFrame:
     """Outliers of every subset clustered globally, per node and per bus id."""
-    found = outlier_kmeans_global(outliers_of_subsets(readings), rounds)
+    found = outlier_kmeans_global(outliers_of_subsets(readings))
     per_node = kmeans_by_group(
-        settle(found), ["subset", "hostname"], OUTLIER_FEATURES, rounds=rounds, name="node_cluster"
+        settle(found), ["subset", "hostname"], OUTLIER_FEATURES, name="node_cluster"
     )
     return kmeans_by_group(
-        settle(per_node), ["subset", "pci_bus_id"], OUTLIER_FEATURES, rounds=rounds, name="gpu_cluster"
+        settle(per_node), ["subset", "pci_bus_id"], OUTLIER_FEATURES, name="gpu_cluster"
     )
 
 

@@ -41,9 +41,9 @@ def scan_projected(spark: SparkSession, path: str, cols: list[str], fmt: str = "
 
 
 def chunked_ingest(
-    spark: SparkSession, directory: str, schema: T.StructType, max_files: int = 1, fmt: str = "csv"
+    spark: SparkSession, directory: str, schema: T.StructType, max_files: int = 1000, fmt: str = "csv"
 ) -> DataFrame:
-    """File-at-a-time stream over a directory, with bounded input per micro-batch."""
+    """Stream over a directory, with at most `max_files` files per micro-batch."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         # Match by header name, as in the batch scan, instead of by position.
