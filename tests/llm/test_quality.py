@@ -55,6 +55,7 @@ def test_certified_cutoff():
     assert quality.certify([0, 0, 0], [5, 5, 5], 4000, 0.005, 0.001) == 0  # the most lenient of equal ones
     assert quality.certify([0, 0, 0], [5, 6, 7], 100, 0.005, 0.001) == -1  # too few labels
     assert quality.certify([0], [5], 0, 0.005, 0.001) == -1
+    assert quality.certify([1, 3], [1, 2], 4000, 0.005, 0.001) == -1  # more good than bad documents
 
 
 def plain_verdicts(rows, labels, alpha=0.02, delta=0.05):
@@ -77,8 +78,8 @@ def plain_verdicts(rows, labels, alpha=0.02, delta=0.05):
                 p = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha / 4) + (n - i) * math.log(1 - alpha / 4)) for i in range(g + 1))
                 if n == 0 or p > delta / (4 * len(strata)):
                     break
-                if b > best:
-                    best, cutoffs[s, rule] = b, cut
+                if b - g > best:
+                    best, cutoffs[s, rule] = b - g, cut
     return {k: not bad and not any(v[r] > cutoffs.get((lang, r), math.inf) for r in quality.RULES) for k, (lang, bad, v) in counts.items()}
 
 

@@ -8,8 +8,8 @@ rejects more than `alpha / rules` of the good documents" at the level `delta / (
 the chain stops at its first failure (fixed-sequence testing), which keeps the family-wise error
 of a chain at its level, and the Bonferroni split over chains keeps the error of all of them at
 `delta`. So, with confidence 1 - delta, no stratum loses more than `alpha` of its good documents to
-the rules. Among certified cutoffs the most lenient that catches the most labelled bad documents
-is kept, so nothing is rejected without need. A stratum with too few labels certifies nothing and
+the rules. Among certified cutoffs the most lenient with the largest surplus of labelled bad over
+labelled good rejections is kept, so a rule that mostly hits good documents stays unused. A stratum with too few labels certifies nothing and
 rejects nothing.
 
 The labelled documents are counted, not collected: rows shrink to (stratum, rule, candidate) counts
@@ -115,12 +115,12 @@ def tail(k: int, n: int, p: float) -> float:
 
 def certify(good: list[int], bad: list[int], n_good: int, risk: float, level: float) -> int:
     """Index of the chosen candidate, or -1. good, bad: rejected at each, from lenient to strict."""
-    best, caught = -1, 0
+    best, gain = -1, 0
     for i, (g, b) in enumerate(zip(good, bad)):
         if n_good == 0 or tail(g, n_good, risk) > level:
             break
-        if b > caught:
-            best, caught = i, b
+        if b - g > gain:
+            best, gain = i, b - g
     return best
 
 
