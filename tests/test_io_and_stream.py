@@ -45,6 +45,31 @@ def test_csv_columns_are_found_by_name(spark):
     assert set(every.columns) == {"power_watts", "hostname", "extra"}
 
 
+def test_every_file_is_read_by_its_own_header(spark):
+    path = scratch_path(spark, "csv")
+    raw = "hostname string, gpu_name string, pci_bus_id string, timestamp string, power_watts double"
+    write_tables(spark.createDataFrame([("h", "g", "p", "t", 1.0)], raw), path, "csv")
+    other = spark.createDataFrame([(2.0, "t2", "p2", "g2", "h2")], "power_watts double, timestamp string, pci_bus_id string, gpu_name string, hostname string")
+    write_tables(other, path, "csv", mode="append")
+    got = sorted(tuple(r) for r in readers.read_power_csv(spark, path).collect())
+    assert got == [("h", "g", "p", "t", 1.0), ("h2", "g2", "p2", "t2", 2.0)]
+    assert sorted(tuple(r) for r in readers.scan_projected(spark, path, ["hostname", "power_watts"]).collect()) == [("h", 1.0), ("h2", 2.0)]
+    lacking = scratch_path(spark, "csv")
+    write_tables(spark.createDataFrame([("h", 1.0)], "hostname string, power_watts double"), lacking, "csv")
+    with pytest.raises(ValueError, match="gpu_name"):
+        readers.read_power_csv(spark, lacking)
+
+
+def test_types_of_stored_tables(spark):
+    path = scratch_path(spark, "reduced")
+    rows = spark.createDataFrame([("007", 5, 1.5)], "hostname string, hour int, power_watts double")
+    for _ in range(2):
+        assert readers.reuse_reduced(spark, path, lambda: rows).first().hostname == "007"
+    stored = scratch_path(spark, "reduced")
+    write_tables(rows.withColumn("timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), stored)
+    assert dict(readers.read_reduced(spark, stored).dtypes)["hour"] == "int"
+
+
 def test_power_delta_and_pushdown(spark):
     from wattspark.operators.peaks import filter_host
 

@@ -1,5 +1,7 @@
 """Helpers for summaries that are joined back, and for cutting the lineage of iterative jobs."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,16 +37,23 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
-def release() -> None:
-    """Drop every relation kept by this library."""
+def release(spark: SparkSession | None = None) -> None:
+    """Drop every relation kept by this library and, given the session, this run's stored tables.
+
+    Frames made from stored tables before this call can't be read any more.
+    """
     while _kept:
         _kept.pop().unpersist()
+    if spark is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's `spark.checkpoint.dir`.
 
-    Only a local session without the setting gets a temporary folder.
+    Only a local session without the setting (all tasks in one process, as in tests) gets a temporary
+    folder, which goes when the process ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -56,13 +65,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="wattspark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this run's tables, below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/wattspark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the folder of this run."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, rows_per_task: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +16,40 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def _scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files as text columns under their own headers, whatever the order of columns in each file.
+
+    A plain scan takes the header of one file for all of them and goes by position. Here files are
+    grouped by their header line and each group is read with it. With several files this costs one
+    pass over the lines at the start of files (no parsing); one file is read as it is.
+    """
+    plain = spark.read.option("header", True).csv(path)
+    files = plain.inputFiles()
+    if len(files) < 2:
+        return plain
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block")
+    )
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()
+    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(g.files) for g in groups]
+    parts = [clean_headers(p) for p in parts if p.columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def read_power_csv(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
-    """Raw CSV scan, columns matched by header name; nothing is inferred."""
-    text = spark.read.option("header", True).csv(path)
-    return _typed(clean_headers(text), schema)
+    """Raw CSV scan, columns matched by the header name of every file; nothing is inferred.
+
+    A name that no file has is an error; a name that some files lack is null in their rows.
+    """
+    text = clean_headers(_scan_csv(spark, path))
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"no file in {path} has the columns {missing}")
+    return _typed(text, schema)
 
 
 def read_power(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -31,8 +60,7 @@ def read_power(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def scan_projected(spark: SparkSession, path: str, cols: list[str], fmt: str = "csv") -> DataFrame:
     """Scan only `cols`; if a name differs, all columns are returned."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = clean_headers(reader.format(fmt).load(path))
+    df = clean_headers(_scan_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path))
     wanted = cols if set(cols) <= set(df.columns) else df.columns
     known = {f.name: f.dataType for f in RAW.fields}
     return df.select(
@@ -46,32 +74,48 @@ def chunked_ingest(
     """Stream over a directory, with at most `max_files` files per micro-batch."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
-        # Match by header name, as in the batch scan, instead of by position.
+        # Columns go by position; a file whose header does not fit the schema fails the stream instead
+        # of filling the wrong columns.
         reader = reader.option("header", True).option("enforceSchema", False)
     return reader.format(fmt).load(directory)
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    """Has a write to `path` been committed? The marker is looked up on the path's own file system."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+
+
+def read_stored(spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """A stored Parquet table; values of partition columns come back as the text they were ("007")."""
+    df = spark.read.parquet(path)
+    if not partition_by:
+        return df
+    schema = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name in partition_by else f.dataType) for f in df.schema.fields]
+    )
+    return spark.read.schema(schema).parquet(path)
+
+
 def reuse_reduced(
     spark: SparkSession,
     path: str,
     build: Callable[[], DataFrame],
     partition_by: tuple[str, ...] = ("hostname",),
 ) -> DataFrame:
-    """Read the stored table; when there is none, build, store and read it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-        return spark.read.parquet(path)
+    """Read the stored table; when no complete one is there, build, store and read it."""
+    if not _is_complete(spark, path):
+        build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return read_stored(spark, path, partition_by)
 
 
 def read_reduced(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A stored reduced table with typed columns and without empty rows."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = clean_headers(reader.format(fmt).load(path))
+    """A stored reduced table with typed time and power, without empty rows; other columns stay as
+    they are stored."""
+    df = clean_headers(_scan_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path))
     types = {"timestamp": "timestamp_ntz", POWER: "double"}
     return drop_invalid(
-        df.select(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in df.columns]),
+        df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]),
         ["timestamp", POWER],
     )
 
