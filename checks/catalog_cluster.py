@@ -426,7 +426,7 @@ piece("dbfbest", "SELECT run, eps FROM dbfs ORDER BY score DESC, eps LIMIT 1", "
 piece("fbest_labels", "SELECT row_id, cluster FROM dbf WHERE run = (SELECT run FROM dbfbest)", "dbf dbfbest")
 add(
     "dbscan_grid", lambda s, f: density.dbscan_grid(pts(s, f), Z, analyses.GRID_FINAL)[0].select("row_id", "cluster"),
-    NEAR.format(d=DNEAR, e="dbfbest", l="fbest_labels", z=Z[0]), i="row_id cluster", with_="pts dbfbest fbest_labels",
+    "SELECT row_id, cluster FROM fbest_labels", i="row_id cluster", with_="fbest_labels",
 )
 
 

@@ -97,18 +97,25 @@ def test_nearest_label_transfer(spark):
     assert (got == want).all()
 
 
-def test_few_rows_are_not_clustered(spark):
-    df, cols = frame(spark, np.random.default_rng(1).random((49, 3)))
+def test_few_rows_go_the_same_way(spark):
+    df, cols = frame(spark, np.random.default_rng(1).random((12, 3)))
     out, chosen = density.dbscan_scalable(df, cols)
-    assert chosen == {"all": (0.5, False)} and out.where("cluster IS NULL").count() == 49
+    assert out.where("cluster = -1").count() == 12 and not chosen["all"][1]
+    x = np.random.default_rng(1).random((49, 3))
+    df, cols = frame(spark, x)
+    out, chosen = density.dbscan_scalable(df, cols)
+    assert (out.orderBy("row_id").toPandas().cluster.to_numpy() == brute(x, chosen["all"][0], 20)).all()
+    assert density.dbscan_scalable(df.limit(0), cols)[0].count() == 0
 
 
-def test_sampled_form_covers_all_rows(spark):
+def test_every_row_is_clustered_by_the_tuned_radius(spark):
     x = blobs(11, 3, 800)
     df, cols = frame(spark, x)
-    out, chosen = density.dbscan_scalable(df, cols, max_sample=300)
-    assert out.count() == len(x) and out.where("cluster IS NULL").count() == 0
-    assert chosen["all"][0] > 0
+    out, chosen = density.dbscan_scalable(df, cols)
+    assert (out.orderBy("row_id").toPandas().cluster.to_numpy() == brute(x, chosen["all"][0], 20)).all()
+    best, scores = density.dbscan_grid(df, cols, [0.2, 0.4])
+    eps = density.eps_grid_select(scores).first().eps
+    assert (best.orderBy("row_id").toPandas().cluster.to_numpy() == brute(x, eps, 20)).all()
 
 
 def test_k_distance_counts_the_point_itself(spark):

@@ -23,9 +23,9 @@ from wattspark.operators.common import (
 from wattspark.operators.components import connected_components, merge_components
 from wattspark.operators.kmeans import block_pairs
 from wattspark.operators.quantiles import quantiles
-from wattspark.operators.scaling import sample_n
 
 MIN_PTS = 20
+MOST_RUNS = 100
 SPLIT = 4  # children per axis when a box is refined; a power of two keeps cell indices exact
 ID_BUCKET = 20  # component ids are ranked in buckets of 2**ID_BUCKET
 
@@ -416,8 +416,8 @@ def eps_autotune_runs(
     """Tune eps for several runs side by side; `df` has a `run` column.
 
     A run is done when its noise is below one half and it has more than one cluster. Too much
-    noise multiplies eps by 1.5, too few clusters by 0.8. When all tries fail, the last eps is
-    used although it was not tested. Gives (eps, converged) and the labels per run.
+    noise multiplies eps by 1.5, too few clusters by 0.8. `tries` is part of the method's definition:
+    when all fail, the eps that would come next is used and marked as not converged. Gives (eps, converged) and the labels per run.
     """
     eps, done, labels = dict(start), {}, {}
 
@@ -545,71 +545,46 @@ def nn_label_join(
     )
 
 
+def start_eps(df: DataFrame, feats: list[str], id: str, min_pts: int = MIN_PTS) -> float:
+    """The radius tuning starts from; with fewer than `min_pts` rows, the floor of `eps_from_kdist`."""
+    row = eps_from_kdist(k_distance(df, feats, id, min_pts)).first()
+    return row["eps"] if row else 0.1
+
+
 def dbscan_scalable(
-    df: DataFrame,
-    feats: list[str],
-    id: str = "row_id",
-    run: str | None = None,
-    max_sample: int = 50_000,
-    min_pts: int = MIN_PTS,
-    always_extend: bool = False,
+    df: DataFrame, feats: list[str], id: str = "row_id", run: str | None = None, min_pts: int = MIN_PTS
 ) -> tuple[DataFrame, dict[str, tuple[float, bool]]]:
-    """Tune on a sample, cluster it, and carry the labels to all rows.
+    """Tune the radius and cluster all rows; there is no sample, and one way for every size.
 
-    With `run` the column's values are handled as separate runs side by side. Fewer than 50 rows
-    give no labels and eps 0.5. Returns the rows with `cluster`, and (eps, converged) per run.
+    With `run` (a column of few values, at most `MOST_RUNS`) the rows of each value are a separate run
+    side by side. Returns the rows with `cluster`, and (eps, converged) per run. Fewer rows than
+    `min_pts` are all noise.
     """
-    rows = df.withColumn("run", F.col(run).cast("string") if run else F.lit("all"))
-    rows = keep(rows)
-    counts = {r["run"]: r["count"] for r in rows.groupBy("run").count().collect()}
-    tunable = [r for r, n in counts.items() if n >= 50]
-    samples = {r: keep(sample_n(rows.where(F.col("run") == r), id, max_sample)) for r in tunable}
-    start = {}
-    for r, s in samples.items():
-        start[r] = eps_from_kdist(k_distance(s, feats, id, min_pts)).first()["eps"]
-    chosen, labels = {}, {}
-    if samples:
-        union = None
-        for r in tunable:
-            part = samples[r].select(id, *feats, "run")
-            union = part if union is None else union.unionByName(part)
-        chosen, labels = eps_autotune_runs(union, feats, id, start, min_pts=min_pts)
-    parts = []
-    for r, n in counts.items():
-        mine = rows.where(F.col("run") == r)
-        if r not in chosen:
-            chosen[r] = (0.5, False)
-            parts.append(mine.withColumn("cluster", F.lit(None).cast("int")))
-        elif n <= max_sample and not always_extend:
-            parts.append(mine.join(labels[r].select(id, "cluster"), id))
-        else:
-            trained = samples[r].select(id, *feats).join(labels[r].select(id, "cluster"), id)
-            parts.append(nn_label_join(mine, trained, feats, chosen[r][0], id))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("run"), chosen
+    rows = keep(df.withColumn("run", F.col(run).cast("string") if run else F.lit("all")))
+    names = [r["run"] for r in rows.select("run").where("run IS NOT NULL").distinct().limit(MOST_RUNS + 1).collect()]
+    if len(names) > MOST_RUNS:
+        raise ValueError(f"{run} has more than {MOST_RUNS} values")
+    start = {r: start_eps(rows.where(F.col("run") == r), feats, id, min_pts) for r in names}
+    chosen, labels = eps_autotune_runs(rows.select(id, *feats, "run"), feats, id, start, min_pts=min_pts)
+    every = None
+    for r in names:
+        own = labels[r].select(id, "run", "cluster")
+        every = own if every is None else every.unionByName(own)
+    if every is None:
+        return rows.withColumn("cluster", F.lit(None).cast("int")).drop("run"), chosen
+    return rows.join(every, [id, "run"]).drop("run"), chosen
 
 
 def dbscan_peak_nonpeak(df: DataFrame, feats: list[str], id: str = "row_id", **kw) -> tuple[DataFrame, dict]:
-    """The scalable form on peak and non-peak rows, each with its own eps (the scaler is shared)."""
+    """Peak and non-peak rows, each with its own eps (the scaler is shared)."""
     return dbscan_scalable(df, feats, id, run="is_peak", **kw)
 
 
 def dbscan_grid(
-    df: DataFrame,
-    feats: list[str],
-    candidates: list[float],
-    id: str = "row_id",
-    max_sample: int = 50_000,
-    min_pts: int = MIN_PTS,
+    df: DataFrame, feats: list[str], candidates: list[float], id: str = "row_id", min_pts: int = MIN_PTS
 ) -> tuple[DataFrame, DataFrame]:
-    """Grid form: best candidate on a sample, then labels for all rows. (rows, scores)."""
-    sample = keep(sample_n(df, id, max_sample))
-    labels = keep(eps_grid_labels(sample, feats, id, candidates, min_pts))
+    """Grid form over all rows: the labels of the best candidate. (rows, scores)."""
+    labels = keep(eps_grid_labels(df, feats, id, candidates, min_pts))
     scores = settle(run_scores(labels).select("eps", "inlier_ratio", "n_clusters", "score"))
     eps = eps_grid_select(scores).first()["eps"]
-    trained = sample.select(id, *feats).join(
-        labels.where(F.col("eps") == eps).select(id, "cluster"), id
-    )
-    return nn_label_join(df, trained, feats, eps, id), scores
+    return df.join(labels.where(F.col("eps") == eps).select(id, "cluster"), id), scores
