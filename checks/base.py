@@ -17,6 +17,7 @@ from wattspark.sources.readers import read_events
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+RECIPES: dict[str, dict[str, str]] = {}
 _memo: dict[tuple, DataFrame] = {}
 
 
@@ -59,6 +60,7 @@ def add(name: str, build: Query, sql: str | None = None, d="", i="", t="", dt=""
     QUERIES[name] = lambda spark, sf: canonical(build(spark, sf))
     if sql is None:
         return
+    RECIPES[name] = {"sql": sql, "d": d, "i": i, "t": t, "dt": dt, "with_": with_}
     parts = [f'floor("{c}" * 10000 + 0.5000001) / 10000 AS "{c}"' for c in d.split()]
     parts += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in i.split()]
     parts += [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S.%f') AS \"{c}\"" for c in t.split()]
@@ -67,6 +69,16 @@ def add(name: str, build: Query, sql: str | None = None, d="", i="", t="", dt=""
     SQL[name] = f"WITH RECURSIVE {ctes(with_, sql)}\nout AS ({sql})\nSELECT {star} FROM out"
 
 
+def again(name: str, source: str, build: Query, pieces: dict[str, tuple[str, str]]) -> None:
+    """Register `build` under the SQL of query `source`, with some of its pieces replaced."""
+    kept = {p: (PIECES[p], BUILDS_ON.get(p, "")) for p in pieces}
+    for p, (sql, needs) in pieces.items():
+        piece(p, sql, needs)
+    add(name, build, **RECIPES[source])
+    for p, (sql, needs) in kept.items():
+        piece(p, sql, needs)
+
+
 # ---- SQL pieces; each names the pieces it builds on -------------------------------------------
 
 PIECES: dict[str, str] = {
