@@ -23,23 +23,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.llm.common import slices, text_of
+from wattspark.llm.common import text_of
 
 # Fixed value: the split pattern published with the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 BITS = 20  # of a token id, as part of a pair
 FREQUENT = 40  # pairs found at so many positions are merged array-wise
-BLOCK_BYTES = 6_000_000  # texts of one replay
-KNOWN = 600_000  # pieces, and segments, that a task remembers; beyond that it starts anew
-ENDINGS = ".,;:!?"
+BLOCK_BYTES = 4_000_000  # texts of one replay
 # White space other than the space and the line feed.
-OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+OTHER_SPACE = "\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+UNEVEN = f"  | \\n|\\n |[{OTHER_SPACE}]"
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -51,6 +51,8 @@ class Replay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.known = pa.array(list(ranks), pa.binary())
+        self.known_ids = np.array(list(ranks.values()), np.int32)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # Every pair of tokens that makes a token, as one number -> rank of the merge.
         self.pairs: dict[int, int] = {}
@@ -63,9 +65,9 @@ class Replay:
         order = np.array(sorted(self.pairs), np.int64)
         self.pair_keys, self.pair_ranks = order, np.array([self.pairs[k] for k in order.tolist()], np.int64)
 
-    def _index(self, index: dict[int, list[int]], heap: list[int], at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def _index(self, index: dict[int, list], heap: list[int], at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Enters the pairs at positions `at`; returns the rank of each, or a large number."""
-        keys = left << BITS | right
+        keys = left.astype(np.int64) << BITS | right
         found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         real = self.pair_keys[found] == keys
         ranks = np.where(real, self.pair_ranks[found], 1 << BITS)
@@ -73,12 +75,13 @@ class Replay:
         order = np.argsort(entries, kind="stable")
         entries, at = entries[order], at[order]
         cuts = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]]).tolist() if len(entries) else []
-        where = at.tolist()
-        for entry, a, b in zip(entries[cuts].tolist(), cuts, [*cuts[1:], len(where)]):
+        # Positions are kept as numbers, or as arrays where they are many.
+        for entry, a, b in zip(entries[cuts].tolist(), cuts, [*cuts[1:], len(at)]):
+            new = [at[a:b]] if b - a >= FREQUENT else at[a:b].tolist()
             if entry in index:
-                index[entry] += where[a:b]
+                index[entry] += new
             else:
-                index[entry] = where[a:b]
+                index[entry] = new
                 heapq.heappush(heap, entry)
         return ranks
 
@@ -93,37 +96,39 @@ class Replay:
             rank, i = min(found)
             ids[i : i + 2] = [rank]
 
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit integers."""
-        out: list[bytes | None] = [None] * len(pieces)
-        todo = []
-        for i, piece in enumerate(pieces):
-            rank = self.ranks.get(piece)
-            if rank is not None:
-                out[i] = rank.to_bytes(4, "little")
-            elif piece:
-                todo.append(i)
-            else:
-                out[i] = b""
-        if todo:
-            for i, ids in zip(todo, self._replay([pieces[i] for i in todo])):
-                out[i] = ids
-        return out
-
-    def _replay(self, pieces: list[bytes]) -> list[bytes]:
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        starts = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(lengths, out=starts[1:])
-        n = int(starts[-1])
-        symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.arange(1, n + 1)
-        after[starts[1:] - 1] = -1
-        before = np.arange(-1, n - 1)
-        before[starts[:-1]] = -1
-
-        index: dict[int, list[int]] = {}
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (distinct, binary), end to end, and where each piece's ids end (from 0 on)."""
+        found = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(False)
+        single = found >= 0
+        counts = single.astype(np.int64)
+        todo = pieces.filter(pa.array(~single))
+        merged, sizes = self._replay(todo)
+        counts[~single] = sizes
+        ends = np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum(counts, out=ends[1:])
+        ids = np.empty(int(ends[-1]), np.int32)
+        ids[ends[:-1][single]] = self.known_ids[found[single]]
+        ids[np.repeat(~single, counts)] = merged
+        return ids, ends
+
+    def _replay(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and their number for each piece."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets - offsets[0]
+        n = len(data)
+        if not n:
+            return np.empty(0, np.int32), np.zeros(len(pieces), np.int64)
+        symbols = self.byte_ids[data].astype(np.int32)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n - 1, dtype=np.int32)
+        bounds = starts[1:] > starts[:-1]
+        after[starts[1:][bounds] - 1] = -1
+        before[starts[:-1][bounds]] = -1
+
+        index: dict[int, list] = {}
         heap: list[int] = []
-        at = np.flatnonzero(after >= 0)
+        at = np.flatnonzero(after >= 0).astype(np.int32)
         self._index(index, heap, at, symbols[at], symbols[at + 1])
         early: list[int] = []  # positions in words where the order of merges needs the plain way
         # One buffer, two views: whole arrays for frequent pairs, single items for the others.
@@ -134,10 +139,15 @@ class Replay:
             positions = index.pop(entry)
             rank, a, b = entry >> 2 * BITS, entry >> BITS & low, entry & low
             shared = rank in self.shared
+            arrays = [x for x in positions if type(x) is np.ndarray]
+            if arrays:
+                few = [x for x in positions if type(x) is int]
+                positions = np.concatenate([*arrays, np.array(few, np.int32)])
             if a != b and not shared and len(positions) >= FREQUENT:
-                p = np.array(positions)
+                p = np.asarray(positions, np.int32)
                 p = p[(symbols[p] == a) & (after[p] >= 0)]
-                p = np.unique(p[symbols[after[p]] == b])
+                p = np.sort(p[symbols[after[p]] == b])
+                p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
                 q = after[p]
                 r = after[q]
                 symbols[p], symbols[q], after[p], after[q] = rank, -1, r, -1
@@ -146,7 +156,7 @@ class Replay:
                 ranks = self._index(index, heap, lefts, symbols[lefts], symbols[after[lefts]])
                 early += lefts[ranks < rank].tolist()
                 continue
-            for p in sorted(positions):
+            for p in sorted(positions if type(positions) is list else positions.tolist()):
                 q = nxt[p]
                 if q < 0 or tok[p] != a or tok[q] != b:
                     continue  # a neighbour has changed meanwhile
@@ -174,70 +184,82 @@ class Replay:
                         push(heap, key)
                     else:
                         known.append(position)
-        ids = symbols
-        alive = ids >= 0
-        packed = ids[alive].astype("<u4").tobytes()
+        alive = symbols >= 0
         ends = np.zeros(n + 1, np.int64)
         np.cumsum(alive, out=ends[1:])
-        cuts = (ends[starts] * 4).tolist()
-        out = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
-        for k in set((np.searchsorted(starts, early, "right") - 1).tolist()):
-            out[k] = np.array(self.plain(pieces[k]), "<u4").tobytes()
-        return out
+        ids, sizes = symbols[alive].astype(np.int32), np.diff(ends[starts])
+        if early:
+            parts = np.split(ids, ends[starts[1:-1]])
+            for k in set((np.searchsorted(starts, early, "right") - 1).tolist()):
+                parts[k] = np.array(self.plain(pieces[k].as_py()), np.int32)
+                sizes[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + size], end to end."""
+    ahead = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - ahead, sizes) + np.arange(int(sizes.sum()))]
 
 
 class Encoder:
-    """Encodes blocks of whole texts; remembers the ids of pieces and segments."""
+    """Encodes blocks of whole texts; keeps nothing from one block to the next."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.replay = Replay(ranks)
         self.split = regex.compile(pattern).findall
         self.segments = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])").split
         self.general = pattern != PATTERN
-        self.pieces: dict[str, bytes] = {}
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
-    def _parts(self, text: str) -> list[str]:
-        """The text cut at single spaces between other characters.
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The texts cut at single spaces between other characters.
 
         No piece of the pattern reaches over such a place, so a segment with the space before it is
         split alike wherever it stands.
         """
         if self.general:
-            return [text]
-        even = not ("  " in text or " \n" in text or "\n " in text) and not any(c in text for c in OTHER_SPACE)
-        return text.split(" ") if even else self.segments(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        first, later = self.known
-        if len(self.pieces) > KNOWN:
-            self.pieces.clear()
-        if len(first) + len(later) > KNOWN:
-            first.clear(), later.clear()
-        cut = [self._parts(t) for t in texts]
-        words, ended, spelt = set(), [], []
-        for s in set().union(*cut).difference(later):
-            if s.isalpha() and not self.general:  # a run of letters is one piece with its space
-                words.add(s)
-            elif s[-1:] in ENDINGS and s[:-1].isalpha() and not self.general:
-                ended.append(s)
-                if s[:-1] not in later:
-                    words.add(s[:-1])
-            else:
-                spelt.append((later, s, self.split(" " + s)))
-        spelt += [(first, s, self.split(s)) for s in {p[0] for p in cut}.difference(first)]
-        new = set(ENDINGS).union(*(x for _, _, x in spelt)).difference(self.pieces)
-        both = [*words, *new]
-        ids = self.replay.encode([(" " + w).encode() for w in words] + [w.encode() for w in new])
-        later.update(zip(both[: len(words)], ids))
-        self.pieces.update(zip(both[len(words) :], ids[len(words) :]))
-        piece = self.pieces.__getitem__
-        for s in ended:
-            later[s] = later[s[:-1]] + piece(s[-1])
-        for known, s, parts in spelt:
-            known[s] = b"".join(map(piece, parts))
-        get = later.__getitem__
-        return [first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        cut = pc.split_pattern(texts, " ")
+        if pc.any(uneven).as_py():
+            cut = pa.array([self.segments(t.as_py()) if u.as_py() else c.as_py() for t, u, c in zip(texts, uneven, cut)], pa.list_(pa.string()))
+        return cut
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and where each text's ids end (from 0 on)."""
+        cut = self._cut(texts)
+        offsets = cut.offsets.to_numpy(False).astype(np.int64)
+        offsets -= offsets[0]
+        flat = cut.flatten()
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True  # a cut text has one segment at least
+        segments = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(" ", flat, "")).dictionary_encode()
+        which = segments.indices.to_numpy(False)
+        distinct = segments.dictionary
+        # A run of letters, with its space, is one piece; other segments are split by the pattern.
+        simple = np.zeros(len(distinct), bool) if self.general else pc.match_substring_regex(distinct, "^ ?[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+$").to_numpy(False)
+        rest = [self.split(x) for x in distinct.filter(pa.array(~simple)).to_pylist()]
+        counts = simple.astype(np.int64)
+        counts[~simple] = [len(x) for x in rest]
+        spelt = pa.concat_arrays([distinct.filter(pa.array(simple)), pa.array([w for x in rest for w in x], pa.string())]).dictionary_encode()
+        ids, ends = self.replay.encode(spelt.dictionary.cast(pa.binary()))
+        # Pieces in the order of the segments: those of letters first, then the others.
+        numbers = spelt.indices.to_numpy(False)
+        order = np.concatenate([np.flatnonzero(simple), np.repeat(np.flatnonzero(~simple), counts[~simple])])
+        numbers = numbers[np.argsort(order, kind="stable")]
+        piece_sizes = np.diff(ends)[numbers]
+        pool = _gather(ids, ends[:-1][numbers], piece_sizes)
+        reached = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(piece_sizes, out=reached[1:])
+        cuts = np.zeros(len(distinct) + 1, np.int64)
+        np.cumsum(counts, out=cuts[1:])
+        segment_ends = reached[cuts]
+        sizes = np.diff(segment_ends)[which]
+        out = _gather(pool, segment_ends[:-1][which], sizes)
+        reached = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(sizes, out=reached[1:])
+        return out, reached[offsets]
 
 
 @lru_cache(maxsize=2)
@@ -258,13 +280,15 @@ def read_vocabulary(path: str) -> bytes:
 
 def encode_array(texts: pa.Array, data: bytes, pattern: str = PATTERN) -> pa.Array:
     encoder = _encoder(data, pattern)
-    packed: list[bytes] = []
-    for run in slices(texts, BLOCK_BYTES):
-        packed += encoder.encode([t.decode("utf-8", "replace") for t in run])
-    ends = np.zeros(len(packed) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in packed], out=ends[1:])
-    ids = np.frombuffer(b"".join(packed), "<i4")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(False).astype(np.int64)
+    block = (np.cumsum(lengths) - lengths) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    parts, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for a, b in zip(cuts, cuts[1:]):
+        ids, reached = encoder.encode(texts[a:b].fill_null(""))
+        parts.append(ids)
+        ends.append(reached[1:] + ends[-1][-1])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", pattern: str = PATTERN) -> DataFrame:
