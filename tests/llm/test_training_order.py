@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wattspark.llm import training_order as t
 from wattspark.operators.common import scratch_path
@@ -74,6 +73,12 @@ def test_wide_ids_and_empty_table(spark):
 
 
 def test_a_changed_layout_is_noticed(spark):
-    df = t.byte_tokens(spark.range(100).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(F.lit("t"), F.rand().cast("string"), F.repeat(F.lit("x"), (F.rand() * 500).cast("int")))))
-    with pytest.raises(Exception, match="stage=True"):
-        t.write_shards(df, scratch_path(spark, "shards-test"), "key", length=16).count()
+    path = scratch_path(spark, "docs")
+    spark.createDataFrame(rows(), "doc_id long, text string").repartition(8, "doc_id").write.parquet(path)
+    made = t.write_shards(t.byte_tokens(spark.read.parquet(path)), scratch_path(spark, "shards-test"), "key", length=16)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        with pytest.raises(Exception, match="stage=True"):
+            made.count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

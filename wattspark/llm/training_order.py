@@ -226,7 +226,10 @@ def read_slots(folder: str, first: int, n: int, length: int = LENGTH, per_shard:
     while n > 0:
         shard, row = divmod(first, per_shard)
         rows = min(n, per_shard - row)
-        with fs.open_input_file(f"{root.rstrip('/')}/{shard_name(shard)}") as f:
+        path = f"{root.rstrip('/')}/{shard_name(shard)}"
+        if not fs.get_file_info(path).is_file:
+            return  # past the last shard
+        with fs.open_input_file(path) as f:
             f.seek(row * stride)
             for _ in range(rows):
                 data = f.read(stride)
