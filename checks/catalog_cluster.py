@@ -142,7 +142,17 @@ def kmeans_random(s, f):
     return patterns.rank_clusters(sizes, [], "cluster", "mean_power").select("rank", "size", "mean_power", F.lit(cost).alias("inertia"))
 
 
+def kmeans_facts(s, f):
+    """What is known of random starts: all rows in k clusters, at no higher cost than the fixed start."""
+    rows, cost = kmeans.kmeans(exz(s, f).drop("cluster"), EXZ)
+    fixed = kmeans.inertia(kmeans.centroid_distance(km(s, f), EXZ)).first()["inertia"]
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").alias("n_clusters")).withColumn(
+        "no_worse", F.lit(int(cost <= fixed * 1.0001))
+    )
+
+
 add("kmeans", kmeans_random)
+add("kmeans_facts", kmeans_facts, "SELECT count(*) AS n_rows, 3 AS n_clusters, 1 AS no_worse FROM exz", i="n_rows n_clusters no_worse", with_="exz")
 add(
     "kmeans_det", lambda s, f: kmeans.kmeans_det(exz(s, f).drop("cluster"), EXZ).select("row_id", "cluster"),
     "SELECT row_id, cluster FROM km", i="cluster", with_="km",
@@ -251,7 +261,33 @@ add(
 )
 
 # 135-137 projection
-add("pca_2d", lambda s, f: projection.pca_2d(pts(s, f), Z).select("row_id", "pca1", "pca2"))
+# Eigenvalues of a 3 x 3 covariance matrix in closed form (trigonometric solution), per group `g`; an
+# eigenvector is the cross product of two rows of the matrix less its eigenvalue.
+COV = """SELECT {g} AS g, count(*) AS n, avg({0}) AS m0, avg({1}) AS m1, avg({2}) AS m2, covar_pop({0}, {0}) AS a, covar_pop({1}, {1}) AS b,
+    covar_pop({2}, {2}) AS c, covar_pop({0}, {1}) AS d, covar_pop({0}, {2}) AS e, covar_pop({1}, {2}) AS f FROM pts GROUP BY ALL"""
+EIGEN = """SELECT * EXCLUDE (m, p, phi), m + 2 * p * cos(phi) AS v1, 3 * m - (m + 2 * p * cos(phi)) - (m + 2 * p * cos(phi + 2 * pi() / 3)) AS v2 FROM (SELECT *,
+    acos(greatest(-1, least(1, (((a - m) * ((b - m) * (c - m) - f * f) - d * (d * (c - m) - f * e) + e * (d * f - (b - m) * e)) / (p * p * p)) / 2))) / 3 AS phi
+    FROM (SELECT *, sqrt(((a - m) ** 2 + (b - m) ** 2 + (c - m) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM (SELECT *, (a + b + c) / 3 AS m FROM {t})))"""
+piece("cov", COV.format(*Z, g="0"), "pts")
+piece("eig", EIGEN.format(t="cov"), "cov")
+piece("covpk", COV.format(*Z, g="is_peak"), "pts")
+piece("eigpk", EIGEN.format(t="covpk"), "covpk")
+
+
+def axis_sql(value: str) -> str:
+    cross = f"SELECT m0, m1, m2, d * f - e * (b - {value}) AS x, e * d - (a - {value}) * f AS y, (a - {value}) * (b - {value}) - d * d AS z FROM eig"
+    big = "CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN x WHEN abs(y) >= abs(z) THEN y ELSE z END"
+    return f"SELECT m0, m1, m2, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sign({big}) * sqrt(x * x + y * y + z * z) AS n FROM ({cross}))"
+
+
+piece("axis1", axis_sql("v1"), "eig")
+piece("axis2", axis_sql("v2"), "eig")
+ON_AXIS = "({1} - {0}.m0) * {0}.x + ({2} - {0}.m1) * {0}.y + ({3} - {0}.m2) * {0}.z"
+add(
+    "pca_2d", lambda s, f: projection.pca_2d(pts(s, f), Z).select("row_id", "pca1", "pca2"),
+    f"SELECT row_id, {ON_AXIS.format('axis1', *Z)} AS pca1, {ON_AXIS.format('axis2', *Z)} AS pca2 FROM pts CROSS JOIN axis1 CROSS JOIN axis2",
+    d="pca1 pca2", i="row_id", with_="pts axis1 axis2",
+)
 add(
     "pca_explained", lambda s, f: projection.pca_explained(pts(s, f), Z),
     # Eigenvalues of the 3 x 3 covariance matrix in closed form (trigonometric solution).
@@ -269,6 +305,8 @@ add(
     lambda s, f: projection.pca_by_peak(pts(s, f), Z, refit=True).groupBy("is_peak").agg(
         F.var_pop("pca1").alias("var1"), F.var_pop("pca2").alias("var2"), F.count(F.lit(1)).alias("n")
     ),
+    # The variance along a component is its eigenvalue.
+    "SELECT g AS is_peak, v1 AS var1, v2 AS var2, n FROM eigpk", d="var1 var2", i="is_peak n", with_="eigpk",
 )
 
 
@@ -442,10 +480,9 @@ def streamed(s, f):
 
 add(
     "stream_gpu_downsample",
-    lambda s, f: jobs.run_and_read(s, jobs.stream_gpu_downsample(streamed(s, f)), "stream_out"),
+    lambda s, f: jobs.run_latest(s, jobs.stream_gpu_downsample(streamed(s, f)), [*GPU_KEYS, "timestamp"], "stream_out"),
     """SELECT hostname, pci_bus_id, w AS timestamp, avg(power_watts) AS power_watts, sum(power_watts) AS power_sum, count(*) AS n
-    FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, timestamp) AS w FROM tel) GROUP BY hostname, pci_bus_id, w
-    HAVING w + INTERVAL 5 MINUTE <= (SELECT max(timestamp) FROM tel) - INTERVAL 10 MINUTE""",
+    FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, timestamp) AS w FROM tel) GROUP BY hostname, pci_bus_id, w""",
     d="power_watts power_sum", i="n", t="timestamp", with_="tel",
 )
 add(

@@ -32,6 +32,32 @@ def run_and_read(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_latest(spark: SparkSession, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run an aggregating stream to the end of its input and read the latest value of every group.
+
+    Every micro-batch stores the groups it changed, so groups that are still open when the input ends
+    are part of the result; a batch that is tried again replaces its own folder.
+    """
+    path = scratch_path(spark, name)
+
+    def save(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(save)
+        .option("checkpointLocation", f"{path}-state")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    stored = spark.read.schema(schema).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), "batch").alias("_last")
+    return stored.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def stream_gpu_downsample(stream: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Mean and sum per device and interval; readings later than the watermark are dropped."""
     timed = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
