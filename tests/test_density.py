@@ -124,6 +124,11 @@ def test_k_distance_counts_the_point_itself(spark):
     got = density.k_distance(df, cols, "row_id", 20, block=90).orderBy("row_id").toPandas().k_dist.to_numpy()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     assert np.allclose(got, np.sort(d, 1)[:, 19])
+    # Copies, a dense heap and far rows: blocks of very different size.
+    y = np.concatenate([np.zeros((150, 2)), np.random.default_rng(4).normal(0, 0.01, (300, 2)), np.random.default_rng(5).normal(9, 5, (60, 2))])
+    df, cols = frame(spark, y)
+    got = density.k_distance(df, cols, "row_id", 20, block=60).orderBy("row_id").toPandas().k_dist.to_numpy()
+    assert np.allclose(got, np.sort(np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)), 1)[:, 19])
     zero = spark.createDataFrame([(0.0,)] * 30, "k_dist double")
     assert density.eps_from_kdist(zero).first().eps == 0.1
 

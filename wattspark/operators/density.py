@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspark.operators.common import (
+    attach_one_row,
     broadcast_if_small,
     keep,
     settle,
@@ -21,7 +22,6 @@ from wattspark.operators.common import (
     sq_distance,
 )
 from wattspark.operators.components import connected_components, merge_components
-from wattspark.operators.kmeans import block_pairs
 from wattspark.operators.quantiles import quantiles
 
 MIN_PTS = 20
@@ -328,15 +328,65 @@ def dbscan_full(df: DataFrame, feats: list[str], id: str, eps: float, min_pts: i
     return dbscan(df, feats, id, eps, min_pts)
 
 
+def _near_blocks(df: DataFrame, id: str, feats: list[str], k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of nearby rows, laid out for the block pairs that can hold a k-th nearest row.
+
+    Rows are ordered along a space-filling curve and cut into ranges of about `block` rows. The k-th
+    nearest row within the own block bounds the distance, so block j matters to block i only when
+    their boxes are no farther apart than the largest bound of i. Gives the rows of i and of j, by (_i, _j).
+    """
+    import numpy as np
+
+    blocks = max(1, -(-df.count() // block))
+    d = len(feats)
+    bits = min(10, 60 // d)
+    ends = df.agg(*[F.min(c).alias(f"_a{i}") for i, c in enumerate(feats)], *[F.max(c).alias(f"_z{i}") for i, c in enumerate(feats)])
+    code = F.lit(0).cast("long")
+    for i, c in enumerate(feats):
+        span = F.col(f"_z{i}") - F.col(f"_a{i}")
+        step = F.when(span > 0, F.floor((F.col(c) - F.col(f"_a{i}")) / span * (2**bits - 1))).otherwise(F.lit(0)).cast("long")
+        for bit in range(bits):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(step, bit).bitwiseAND(F.lit(1)), bit * d + i))
+    coded = attach_one_row(df.select(id, *feats), ends).select(id, *feats, code.alias("_code"))
+    ranged = coded.repartitionByRange(blocks, "_code", F.xxhash64(id)) if blocks > 1 else coded.coalesce(1)
+    rows = settle(ranged.select(id, *feats, F.spark_partition_id().alias("_b")))
+
+    def bound(own: pd.DataFrame) -> pd.DataFrame:
+        x = own[feats].to_numpy(float)
+        most = np.inf
+        if len(x) >= k:
+            most = 0.0
+            for start in range(0, len(x), 256):
+                part = x[start : start + 256]
+                d2 = np.zeros((len(part), len(x)))
+                for f in range(x.shape[1]):
+                    diff = part[:, f, None] - x[None, :, f]
+                    d2 += diff * diff
+                most = max(most, np.partition(d2, k - 1, axis=1)[:, k - 1].max())
+        return pd.DataFrame({"_b": [own["_b"].iloc[0]], "_most": [most], "_lo": [x.min(axis=0).tolist()], "_hi": [x.max(axis=0).tolist()]})
+
+    boxes = settle(rows.groupBy("_b").applyInPandas(bound, "_b int, _most double, _lo array<double>, _hi array<double>"))
+    i = boxes.select(F.col("_b").alias("_i"), "_most", F.col("_lo").alias("_li"), F.col("_hi").alias("_hi_i"))
+    j = boxes.select(F.col("_b").alias("_j"), F.col("_lo").alias("_lj"), F.col("_hi").alias("_hi_j"))
+    apart = None
+    for f in range(d):
+        gap = F.greatest(F.col("_li")[f] - F.col("_hi_j")[f], F.col("_lj")[f] - F.col("_hi_i")[f], F.lit(0.0))
+        apart = gap * gap if apart is None else apart + gap * gap
+    pairs = settle(i.join(j, apart <= F.col("_most") * (1 + 1e-9)).select("_i", "_j"))
+    fresh = [F.col(c).alias(c) for c in (id, *feats)]  # new identities, so both sides can meet
+    left = rows.join(pairs, F.col("_b") == F.col("_i")).select(id, *feats, "_i", "_j")
+    right = rows.join(pairs, F.col("_b") == F.col("_j")).select(*fresh, F.col("_i").alias("_i"), F.col("_j").alias("_j"))
+    return left, right
+
+
 def k_distance(df: DataFrame, feats: list[str], id: str, k: int = MIN_PTS, block: int = 4000) -> DataFrame:
     """Distance from each row to its k-th nearest row, the row itself counted as the first.
 
-    Meant for a bounded sample; the work is spread over block pairs and each task returns at most
-    k distances per row.
+    Only pairs of blocks that can hold such a row are compared; each returns at most k distances a row.
     """
     import numpy as np
 
-    left, right = block_pairs(df, id, feats, block)
+    left, right = _near_blocks(df, id, feats, k, block)
 
     def partial(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
