@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.llm.common import text_of
+from wattspark.llm.common import give_back, text_of
 
 # Fixed value: the split pattern published with the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 BITS = 20  # of a token id, as part of a pair
-FREQUENT = 40  # pairs found at so many positions are merged array-wise
+FREQUENT = 150  # pairs found at so many positions are merged array-wise
 BLOCK_BYTES = 4_000_000  # texts of one replay
 # White space other than the space and the line feed.
 OTHER_SPACE = "\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -288,6 +288,7 @@ def encode_array(texts: pa.Array, data: bytes, pattern: str = PATTERN) -> pa.Arr
         ids, reached = encoder.encode(texts[a:b].fill_null(""))
         parts.append(ids)
         ends.append(reached[1:] + ends[-1][-1])
+        give_back()
     return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
 
 
@@ -309,7 +310,9 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         token = _tokens(data.value).__getitem__
-        return pa.array([b"".join(map(token, x.values.to_numpy(False).tolist())) if x.is_valid else b"" for x in lists], pa.binary())
+        out = pa.array([b"".join(map(token, x.values.to_numpy(False).tolist())) if x.is_valid else b"" for x in lists], pa.binary())
+        give_back()
+        return out
 
     return df.withColumn(out, decode(F.col(f"`{ids}`")))
 

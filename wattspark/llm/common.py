@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +27,10 @@ def text_of(column: str) -> F.Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def slices(texts: pa.Array, size: int) -> Iterator[list[bytes]]:
-    """The texts of a batch as bytes, in runs of about `size` bytes, so that long ones stay few."""
-    run: list[bytes] = []
-    held = 0
-    for text in texts.cast(pa.binary()):
-        value = text.as_py() or b""
-        run.append(value)
-        held += len(value)
-        if held >= size:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, so that what one batch needed does not add
+    to what the JVM beside it takes. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

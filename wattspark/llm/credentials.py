@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.llm.common import free_name, text_of
+from wattspark.llm.common import free_name, give_back, text_of
 
 # The base patterns, their least lengths, and the order of kinds.
 ASSIGN = re.compile(
@@ -159,6 +159,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: i
                     parts += [value[at:start], mark]
                 at = end
             out.append("".join(parts) + value[at:])
-        return pa.array(out, pa.string())
+        result = pa.array(out, pa.string())
+        del out
+        give_back()
+        return result
 
     return docs.withColumn(s, cover(text_of(text))).withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.col(s))).drop(s)

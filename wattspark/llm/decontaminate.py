@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.llm.common import free_name, text_of
+from wattspark.llm.common import free_name, give_back, text_of
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -238,6 +238,8 @@ def _search_texts(phrases: Broadcast, slop: int):
                 run, held = [], 0
         if run:
             rows += Postings.of(run, only).matches(phrases.value, slop)
+        del run
+        give_back()
         return _arrow(rows)
 
     return search

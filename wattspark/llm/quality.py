@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.llm.common import free_name, text_of
+from wattspark.llm.common import free_name, give_back, text_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _MEASURED = T.StructType([T.StructField(c, T.LongType()) for c in MEASURES])
@@ -82,6 +82,7 @@ def _measure(texts: pa.Array) -> pa.Array:
                 len(lines),
             )
         )
+    give_back()
     columns = zip(*rows) if rows else [()] * len(MEASURES)
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.llm.common import free_name, text_of
+from wattspark.llm.common import free_name, give_back, text_of
 from wattspark.operators.common import settle
 from wattspark.operators.components import connected_components
 
@@ -85,7 +85,9 @@ def simhash(text: str = "text", size: int = SHINGLE) -> Column:
 
     @F.arrow_udf(T.LongType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(v.as_py() or b"", size) for v in texts.cast(pa.binary())], pa.int64())
+        out = pa.array([fingerprint(v.as_py() or b"", size) for v in texts.cast(pa.binary())], pa.int64())
+        give_back()
+        return out
 
     return run(text_of(text))
 
