@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattspark.llm.common import free_name, give_back, text_of
+from wattspark.operators.common import settle
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _MEASURED = T.StructType([T.StructField(c, T.LongType()) for c in MEASURES])
@@ -88,8 +89,12 @@ def _measure(texts: pa.Array) -> pa.Array:
 
 
 def measure(text: str = "text") -> Column:
-    """The counts of a whole text, as one struct."""
-    return _measure(text_of(text))
+    """The counts of a whole text, as one struct.
+
+    Declared non-deterministic (it is not) so that a filter on the counts is not pushed below the
+    step, which would measure every text twice.
+    """
+    return _measure.asNondeterministic()(text_of(text))
 
 
 def base_failed(m: str) -> Column:
@@ -185,5 +190,6 @@ def quality_verdicts(
     """
     m = free_name(docs, "_m")
     narrow = docs.select(F.col(f"`{key}`"), F.col(f"`{stratum}`"), measure(text).alias(m))
-    cutoffs = calibrate(narrow, labels, key, m, stratum, **risk)
+    # Stored, the cutoffs have a real size (a row per stratum), and Spark broadcasts them by it.
+    cutoffs = settle(calibrate(narrow, labels, key, m, stratum, **risk))
     return apply_cutoffs(docs.withColumn(counts, measure(text)), cutoffs, counts, stratum, out)

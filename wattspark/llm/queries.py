@@ -141,7 +141,7 @@ def op6_certified_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     # Only counts are needed from here on: they are stored once and read for both passes.
     m = settle(docs.select("doc_id", "lang", quality.measure().alias("m")))
-    cutoffs = quality.calibrate(m, table(spark, sf, "labels"), "doc_id", "m", "lang")
+    cutoffs = settle(quality.calibrate(m, table(spark, sf, "labels"), "doc_id", "m", "lang"))
     return quality.apply_cutoffs(m, cutoffs, "m", "lang", "kept").select(
         "doc_id",
         *(f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
