@@ -82,6 +82,22 @@ def test_every_kind_against_plain_python(spark):
     assert sum(plain(v) != v for v in VALUES) == 15
 
 
+def test_a_value_behind_each_kind(spark):
+    phones = ["+1 (826) 555-4081", "+44 20 7946 0958", "+34 612 345 678", "+1-826-555-4081"]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "3782 822463 10005"]
+    others = ["190.137.223.204", "2024-02-29", "31.12.1999", "12/05/2020", "erwhed.41@mail2.example.com"]
+    free = ["190", "12", "7", "12.5"]
+    kinds = phones + cards + others
+    pairs = [(a, b) for a in kinds for b in kinds + free]
+    pairs += [(a, b) for a in ["1234"] for b in phones + others]
+    pairs += [("+49 30 1234 5678", b) for b in cards + phones + others]  # a country without one length
+    rows = [(i, f"ü {a} {b} end") for i, (a, b) in enumerate(pairs)]
+    got = p.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    new = lambda v: v if v in free or v == "1234" else plain(v)
+    assert [r.text for r in got] == [f"ü {new(a)} {new(b)} end" for a, b in pairs]
+    assert [len(r.changed) for r in got] == [(new(a) != a) + (new(b) != b) for a, b in pairs]
+
+
 def test_numbers_in_other_words_stay(spark):
     texts = ["a4111111111111111", "41111111111111112222333344445555", "1.2.3.4.5", "v1.2.3.4x", "12024-02-291", "4111111111111111.5", "no digits", "1-800", ""]
     got = p.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()

@@ -5,8 +5,11 @@ Feistel network, so equal values get equal pseudonyms in every document, differe
 ones, and the text keeps its shape:
 
 * cards: 13 to 19 digits with a valid check digit; all digits but the last are permuted, the check
-  digit is made anew; blanks and hyphens stay;
-* phones: an international prefix and 7 to 14 digits; the digits after the prefix are permuted;
+  digit is made anew; blanks and hyphens stay. Where a number stands behind a card after one blank, the
+  shortest reading whose check digit holds is the card;
+* phones: an international prefix and 7 to 14 digits; the digits after the prefix are permuted. Where the
+  country's numbers have one length (`PLANS`) the phone ends there; elsewhere a free number that stands
+  behind it after one blank can't be told from a last group and is taken as one;
 * IPv4 addresses: permuted as 32-bit numbers;
 * dates: yyyy-mm-dd, dd.mm.yyyy and dd/mm/yyyy, valid in the calendar and from 1800 to 2199: permuted
   as day numbers of that 400-year cycle, which 189 x 773 factors exactly, so no value leaves it;
@@ -28,9 +31,28 @@ ROUNDS = 8
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 DATE = r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\p{L}\p{N}/-]|\.\d)"
 IPV4 = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
-PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ -](?:\(\d{2,4}\)[ -]?)?\d{2,4}(?:[ -]\d{2,4}){1,4}(?![\p{L}\p{N}]|-\d)"
-CARD = r"(?<![\p{L}\p{N}.-])\d{4}(?:[ -]?\d){9,15}(?![\p{L}\p{N}]|[.-]\d)"
-ANY = "|".join((EMAIL, DATE, IPV4, PHONE, CARD))
+# A card must fill whole groups: what stands before and behind it, and its longest reading at each place.
+_CARD_START, _CARD_END = r"(?<![\p{L}\p{N}.-])", r"(?![\p{L}\p{N}]|[.-]\d)"
+CARD = rf"\d{{4}}(?:[ -]?\d){{9,15}}{_CARD_END}"
+# Country codes by the digits of their national numbers, where all numbers have as many.
+PLANS = {10: "1|7|30|44|52|57|90|91", 9: "31|33|34|41|48|351", 8: "45|47"}
+_PHONE_START, _PHONE_END = r"(?<![\p{L}\p{N}+])\+", r"(?![\p{L}\p{N}]|-\d)"
+_PLANNED = "|".join(
+    rf"(?:{codes})[ -](?:\((?=\d{{2,4}}\))\d(?:\)?[ -]?\d){{{n - 1}}}|\d(?:[ -]?\d){{{n - 1}}}){_PHONE_END}" for n, codes in PLANS.items()
+)
+
+
+def _pattern(cards: str) -> str:
+    """The pattern of all kinds; `cards` is that of the text's valid cards.
+
+    A phone of a plan ends with the plan's last digit; another one takes up to four groups more, but
+    none that begins a date, an address or a card.
+    """
+    shape = r"(?=\d{1,3}[ -](?:\(\d{2,4}\)[ -]?)?\d{2,4}[ -]\d{2,4})"
+    free = rf"\d{{1,3}}[ -](?:\(\d{{2,4}}\)[ -]?)?\d{{2,4}}(?:(?:-| (?!{DATE}|{IPV4}|{cards}))\d{{2,4}}){{1,4}}{_PHONE_END}"
+    return "|".join((EMAIL, DATE, IPV4, rf"{_PHONE_START}(?:{shape}(?:{_PLANNED})|{free})", cards))
+
+
 KINDS = ("email", "date", "ipv4", "phone", "card")
 
 _DAYS, _WIDE, _LONG = 146_097, 189, 773  # days of 400 years, and their factors
@@ -103,6 +125,33 @@ def _card(m: Column, key: str) -> Column:
     return F.when((luhn_sum(digits, 1) % 10 == 0) & ~F.rlike(digits, F.lit("^0+$")), F.transform(F.array(new), lambda d: _refill(m, d))[0]).otherwise(m)
 
 
+def _valid_cards(value: Column) -> Column:
+    """The distinct cards in a text, shortest first: at each place every reading that ends with a group."""
+
+    def readings(c: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(13), F.char_length(c)), lambda n: F.substr(c, n + 1, F.lit(1)).isin(" ", ""))
+        return F.transform(ends, lambda n: F.substr(c, F.lit(1), n))
+
+    def valid(c: Column) -> Column:
+        d = _only_digits(c)
+        return F.char_length(d).between(13, 19) & (luhn_sum(d, 1) % 10 == 0)
+
+    places = F.regexp_extract_all(value, F.lit(f"{_CARD_START}(?=({CARD}))"), F.lit(1))
+    found = F.filter(F.array_distinct(F.flatten(F.transform(places, readings))), valid)
+    return F.transform(F.array_sort(F.transform(found, lambda c: F.struct(F.char_length(c).alias("n"), c.alias("c")))), lambda x: x["c"])
+
+
+def patterns(value: Column) -> Column:
+    """The pattern of a text, which names its valid cards."""
+    none = F.lit(_pattern("(?!)"))
+    one, *more = _pattern(rf"{_CARD_START}(?=\d)(?:<cards>){_CARD_END}").split("<cards>")
+    cards = F.array_join(_valid_cards(value), "|")
+    parts = [F.lit(one)]
+    for x in more:
+        parts += [cards, F.lit(x)]
+    return F.when(F.rlike(value, F.lit(r"\d{4}(?:[ -]?\d){9}")) & (cards != ""), F.concat(*parts)).otherwise(none)
+
+
 def _phone(m: Column, key: str) -> Column:
     prefix = F.regexp_extract(m, r"^\+\d{1,3}", 0)
     tail = F.substr(m, F.char_length(prefix) + 1)
@@ -150,7 +199,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", changed: str = "
     """`docs` with pseudonyms in `text` and `changed`: array of (kind, old length, new value)."""
     value = F.col(f"`{text}`")
     some = F.rlike(value, F.lit("[0-9@]"))
-    found = F.when(some, F.regexp_extract_all(value, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    pattern = patterns(value)
+    found = F.when(some, F.regexp_extract_all(value, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def replaced(m: Column) -> Column:
         kind = _kind(m)
@@ -159,7 +209,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", changed: str = "
         return F.struct(kind.alias("kind"), m.alias("old"), new.alias("new"))
 
     done = docs.withColumn(changed, F.transform(found, replaced))
-    gaps = F.split(value, ANY)
+    gaps = F.split(value, pattern)
     joined = F.array_join(F.flatten(F.zip_with(gaps, changed, lambda g, m: F.array(g, F.coalesce(m["new"], F.lit(""))))), "")
     new_text = F.when(F.size(changed) > 0, joined).otherwise(value)
     kept = F.transform(F.filter(changed, lambda m: m["old"] != m["new"]), lambda m: F.struct(m["kind"].alias("kind"), F.char_length(m["old"]).alias("length"), m["new"].alias("new")))
