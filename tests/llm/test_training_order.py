@@ -2,8 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
+from wattspark.llm import bpe, queries
 from wattspark.llm import training_order as t
 from wattspark.operators.common import scratch_path
 
@@ -52,6 +55,23 @@ def test_round_trip(spark, stage):
     assert joined.count(b"\xff") == len(data)
 
 
+def test_the_query_writes_token_ids(spark, tmp_path, monkeypatch):
+    data = rows()
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"file://{tmp_path}/shards"
+    monkeypatch.setattr(queries, "scratch_path", lambda *a: folder)
+    made = queries.op2_training_order(spark, str(tmp_path)).orderBy("slot").collect()
+    ranks = bpe.parse_ranks(bpe.read_vocabulary(queries.vocabulary()))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [library.encode_ordinary(x or "") for _, x in data]
+    assert sum(r.n_tokens for r in made) == sum(len(x) + 1 for x in ids)
+    read = list(t.read_slots(folder, 0, len(made), dtype="<u2"))
+    assert [hashlib.sha256(x.tobytes()).hexdigest() for x in read] == [r.sha256 for r in made]
+    got = [v for r, x in zip(made, read) for v in x[: r.n_tokens].tolist()]
+    assert sum(v == queries.TOKEN_END for v in got) == len(data)
+    assert sorted(v for v in got if v != queries.TOKEN_END) == sorted(v for x in ids for v in x)
+
+
 def test_reading_resumes_anywhere(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     folder = scratch_path(spark, "shards-test")

@@ -48,10 +48,21 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The vocabulary's ids are below 50,256, so they fit two bytes; these two are no ids of it.
+TOKEN_END, TOKEN_PAD = 0xFFFF, 0xFFFE
+
+
+def training_shards(docs: DataFrame, folder: str) -> DataFrame:
+    """Shards of the documents' byte-level BPE ids, two bytes each."""
+    coded = bpe.bpe_encode(docs, vocabulary(), pattern=public_tokenizers.PATTERN)
+    # Stored, the ids are made once and read by both passes.
+    tokens = training_order.packed_tokens(coded, "ids").select("doc_id", "tokens")
+    return training_order.write_shards(tokens, folder, key="training order 1", itemsize=2, end=TOKEN_END, pad=TOKEN_PAD, stage=True)
+
+
 @query
 def op2_training_order(spark: SparkSession, sf: str) -> DataFrame:
-    docs = training_order.byte_tokens(table(spark, sf, "documents").select("doc_id", "text"))
-    return training_order.write_shards(docs, scratch_path(spark, "shards"), key="training order 1")
+    return training_shards(table(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "shards"))
 
 
 # For the drill: pages whose copy in the second replica has decayed.
