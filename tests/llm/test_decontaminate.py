@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from wattspark.llm import decontaminate as d
+from wattspark.llm import queries
 from wattspark.operators.common import settle
 
 
@@ -65,6 +66,28 @@ def test_proximity_and_other_windows(spark):
     assert any(not m[3] for _, ms in want(docs, items, window=5, slop=1) for m in ms)
 
 
+def test_the_query_returns_proximity_matches(spark, tmp_path):
+    words = [f"w{i}" for i in range(24)]
+    item = " ".join(words)
+    # One word inside each ten words more, or less; a copy; neither.
+    more = " ".join(w + (" new" if i % 8 == 4 else "") for i, w in enumerate(words))
+    less = " ".join(w for i, w in enumerate(words) if i % 8 != 4)
+    swapped = " ".join(w for a, b in zip(words[::2], words[1::2]) for w in (b, a))
+    docs = [(1, f"x {item} y"), (2, f"x {more} y"), (3, f"x {swapped} y"), (4, f"x {less} y"), (5, "nothing here"), (6, None)]
+    items = [(7, item), (8, "q r s")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in queries.op8_positional_index(spark, str(tmp_path)).collect()}
+    for k, text in docs:
+        truth = plain_matches(text, items, slop=queries.SLOP)
+        exact = {m for m in truth if m[3]}
+        near = {m[0] for m in truth} - {m[0] for m in exact}
+        assert (got[k].n_near_items, got[k].near_items) == (len(near), ",".join(sorted(near)))
+        assert got[k].n_hit == len({i for _, s, n, _ in exact for i in range(s, s + n)})
+        assert (got[k].contaminated, got[k].n_items) == (bool(exact), len({m[0] for m in exact}))
+    assert [(got[k].contaminated, got[k].near_items) for k in (1, 2, 3, 5)] == [(True, ""), (False, "7"), (False, "7"), (False, "")]
+
+
 def test_rows_judged_in_place(spark, monkeypatch):
     docs, items = corpus()
     monkeypatch.setattr(d, "BLOCK_WORDS", 60)
