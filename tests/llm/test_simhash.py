@@ -131,3 +131,12 @@ def test_large_group_of_near_copies_stays_linear(spark):
     start = time.time()
     assert simhash.links(df, "fp").count() <= 70 * len(near)
     assert time.time() - start < 60
+
+
+def test_repeated_ids_with_other_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    # Id 5 is the smallest of groups A, C and D, and is also in group B, whose smallest is 3.
+    data = [(5, text("a")), (9, text("a")), (5, text("b")), (3, text("b")), (5, text("c")), (5, text("d")), (5, text("d")), (5, None), (5, ""), (None, text("a"))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(5, text("a")), (3, text("b")), (5, text("c")), (5, text("d")), (5, ""), (None, text("a"))], key=repr)

@@ -152,7 +152,12 @@ def _signed(x: int) -> int:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Columns `key`, fp, component_id (the smallest key of the group), one row per document."""
-    marked = settle(docs.select(F.col(f"`{key}`"), simhash(text, size).alias("fp")))
+    return _grouped(docs, key, text, size, max_bits).select(key, "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, size: int, max_bits: int, *more: Column) -> DataFrame:
+    """Columns `key`, `more`, fp, _comp (the group), component_id, one row per document."""
+    marked = settle(docs.select(F.col(f"`{key}`"), simhash(text, size).alias("fp"), *more))
     prints = settle(marked.groupBy("fp").agg(F.min(key).alias("_first")))
     edges = links(prints, "fp", max_bits).select(F.lit(0).alias("run"), "u", "v")
     edges = settle(edges)
@@ -160,25 +165,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     labels = connected_components(ends, edges).select(F.col("node").alias("fp"), "comp")
     grouped = prints.join(labels, "fp", "left").select("fp", "_first", F.coalesce("comp", "fp").alias("_comp"))
     least = grouped.groupBy("_comp").agg(F.min("_first").alias("component_id"))
-    named = settle(grouped.join(least, "_comp").select("fp", "component_id"))
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    named = settle(grouped.join(least, "_comp").select("fp", "_comp", "component_id"))
+    return marked.join(named, "fp")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its group; of repeated rows, one.
+    """One row of each group of `docs`: one whose key is the smallest of the group; of repeated rows, one.
 
+    Keys may repeat on rows with different texts, so rows are named by key and text.
     Rows without a key can't be named as a group's representative and stay.
     """
-    found = near_duplicates(docs, key, text, size, max_bits)
-    d, r = free_name(docs, "_kept"), free_name(docs, "_row")
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(d)).distinct()
-    rows = docs.join(kept, F.col(f"`{key}`") == F.col(d))
-    first = F.row_number().over(_by(d, text))
-    rows = rows.withColumn(r, first).where(F.col(r) == 1).select(*(f"`{c}`" for c in docs.columns))
+    d, h, r = free_name(docs, "_kept"), free_name(docs, "_text_hash"), free_name(docs, "_row")
+    hashed = F.xxhash64(text_of(text))
+    found = _grouped(docs, key, text, size, max_bits, hashed.alias("_hash"))
+    first = found.where(F.col(key) == F.col("component_id")).groupBy("_comp", key).agg(F.min("_hash").alias("_hash"))
+    kept = first.select(F.col(key).alias(d), F.col("_hash").alias(h))
+    rows = docs.join(kept, (F.col(f"`{key}`") == F.col(d)) & (hashed == F.col(h)))
+    rows = rows.withColumn(r, F.row_number().over(_by(d, h, text))).where(F.col(r) == 1).select(*(f"`{c}`" for c in docs.columns))
     return rows.unionByName(docs.where(F.col(f"`{key}`").isNull()))
 
 
-def _by(d: str, text: str):
+def _by(d: str, h: str, text: str):
     from pyspark.sql import Window
 
-    return Window.partitionBy(d).orderBy(F.xxhash64(F.col(f"`{text}`")), F.col(f"`{text}`"))
+    return Window.partitionBy(d, h).orderBy(F.col(f"`{text}`"))
