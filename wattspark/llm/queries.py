@@ -13,6 +13,7 @@ from wattspark.llm import (
     chat_windows,
     credentials,
     decontaminate,
+    minmax,
     pseudonyms,
     quality,
     simhash,
@@ -217,3 +218,8 @@ def op10_linked_credentials(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(credentials.spans_text(kind(*base)), 256).alias("base_sha256"),
         credentials.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op13_minmax_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
