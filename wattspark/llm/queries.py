@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattspark.llm import (
+    alignment,
     bpe,
     chat_windows,
     credentials,
@@ -20,6 +21,7 @@ from wattspark.llm import (
     training_order,
     url_filter,
     warc_audit,
+    whitening,
 )
 from wattspark.llm.common import table
 from wattspark.operators.common import scratch_path, settle
@@ -220,6 +222,18 @@ def op10_linked_credentials(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_exact_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf, "embeddings"), components=4, scale=256)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_pair_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf, "documents"), a, b)
+
+
 @query
 def op13_minmax_groups(spark: SparkSession, sf: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
