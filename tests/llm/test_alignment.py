@@ -100,3 +100,12 @@ def test_bitmaps(docs):
     for i, s in enumerate(sets):
         want[s] += i + 1
     assert (totals[0] == want).all()
+
+
+def test_segments_give_the_ids_of_whole_texts():
+    """Cutting at single spaces changes no id, whatever white space stands around."""
+    aligner = alignment.Aligner(alignment._read(A), alignment._read(B))
+    r = random.Random(8)
+    given = ["".join(r.choice(["a", "B", "é", "1", "'s", " ", " ", "  ", "\n", "\t", "　", "\x1c", "\x85", "!", "日"]) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    whole = [e.ids for e in aligner.a.encode_batch([" " + t for t in given], add_special_tokens=False)]
+    assert [x.tolist() for x in aligner._encode_a(given)] == whole

@@ -28,14 +28,18 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattspark.llm.bpe import UNEVEN
 from wattspark.llm.common import give_back
 from wattspark.operators.common import settle
 
@@ -74,6 +78,7 @@ class Aligner:
     def __init__(self, a: bytes, b: bytes):
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.segments = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])").split
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         alphabet, names = byte_alphabet(), self.a.get_vocab(True)
         tokens = [b""] * (max(names.values()) + 1)
@@ -92,7 +97,7 @@ class Aligner:
         """Of each text the four numbers (n_a, n_b, n_groups, n_links) and its digest; of all texts the
         sorted keys pair << POS_BITS | place in `texts`, and how many links each stands for."""
         spelt = [(" " + t).encode() for t in texts]
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = self._encode_a(texts)
         b = [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
         none = np.empty(0, np.int64)
         for i, (t, want) in enumerate(zip(texts, spelt)):
@@ -116,6 +121,29 @@ class Aligner:
         keys, counts = self._links(flat_a, flat_b, group_a, in_a, in_b, doc)
         return numbers, digests, keys, counts
 
+    def _encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids by A of each text behind a space.
+
+        The texts are cut at single spaces between other characters, over which no token of the byte-level
+        pattern reaches, and each distinct segment of the block, with its space, is encoded once.
+        """
+        given = pa.array(texts, pa.string())
+        uneven = pc.match_substring_regex(given, UNEVEN)
+        cut = pc.split_pattern(given, " ")
+        if pc.any(uneven).as_py():
+            cut = pa.array([self.segments(t) if u else c for t, u, c in zip(texts, uneven.to_pylist(), cut.to_pylist())], pa.list_(pa.string()))
+        segments = cut.flatten().dictionary_encode()
+        spaced = [" " + x for x in segments.dictionary.to_pylist()]
+        ids = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        pool = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+        starts, which = np.cumsum(sizes) - sizes, segments.indices.to_numpy()
+        counts = sizes[which]
+        reached = np.cumsum(counts)
+        flat = pool[np.repeat(starts[which] - reached + counts, counts) + np.arange(int(counts.sum()))]
+        ends = np.r_[0, reached][cut.offsets.to_numpy()[1:-1] - cut.offsets[0].as_py()]
+        return np.split(flat, ends)
+
     def _digests(self, flat_a, flat_b, group_a, group_b, in_a, in_b, sizes, digests) -> None:
         first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
         mixed = np.empty(len(flat_a) + len(flat_b), np.int64)
