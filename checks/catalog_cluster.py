@@ -478,6 +478,23 @@ def streamed(s, f):
     return s.readStream.schema(rows.schema).parquet(path)
 
 
+def arriving(s, f):
+    """Readings that arrive up to six hours late, in six files of one micro-batch each, and a closing reading."""
+    path = scratch_path(s, "stream")
+    rows = tel(s, f)
+    late = F.expr("timestamp + make_interval(0, 0, 0, 0, 0, 0, pmod(row_id * 7919, 21600))")
+    ranged = rows.withColumn("_at", late).repartitionByRange(6, "_at", "row_id")
+    parts = settle(ranged.withColumn("_file", F.spark_partition_id()).drop("_at"))
+    last = rows.agg(F.max("timestamp").alias("timestamp")).select(
+        *(F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema if c.name not in ("timestamp", "hostname", "pci_bus_id")),
+        F.lit("").alias("hostname"), F.lit("").alias("pci_bus_id"), (F.col("timestamp") + F.expr("INTERVAL 9 DAYS")).alias("timestamp"),
+    )
+    for k in range(6):
+        reports.write_tables(parts.where(F.col("_file") == k).drop("_file").coalesce(1), path, mode="append")
+    reports.write_tables(last.select(*rows.columns).coalesce(1), path, mode="append")
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 add(
     "stream_gpu_downsample",
     lambda s, f: jobs.run_latest(s, jobs.stream_gpu_downsample(streamed(s, f)), [*GPU_KEYS, "timestamp"], "stream_out"),
@@ -487,7 +504,7 @@ add(
 )
 add(
     "stream_features",
-    lambda s, f: jobs.run_and_read(s, jobs.stream_features(streamed(s, f)), "stream_out").select(
+    lambda s, f: jobs.stream_features(arriving(s, f), scratch_path(s, "features"), "6 hours", piece_seconds=86_400).select(
         "row_id", "gpu_id", "rolling_mean_power", "power_delta"
     ),
     "SELECT row_id, gpu_id, rolling_mean_power, power_delta FROM feat",

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -91,17 +92,61 @@ def test_stored_table_is_built_once(spark):
     assert calls == [1]
 
 
-def test_device_state_carries_over_micro_batches(spark):
-    rows = readers.read_events(spark, SF).select("row_id", "hostname", "pci_bus_id", "timestamp", POWER)
-    path = scratch_path(spark, "in")
-    cut = rows.agg(F.percentile(F.unix_micros(F.col("timestamp").cast("timestamp")), 0.5)).first()[0]
-    early = F.unix_micros(F.col("timestamp").cast("timestamp")) < cut
-    checkpoint, out = scratch_path(spark, "state"), scratch_path(spark, "out")
-    for part in (rows.where(early), rows.where(~early)):  # two runs of the same stream
-        part.write.mode("append").parquet(path)
-        stream = spark.readStream.schema(rows.schema).parquet(path)
-        jobs.run_to_parquet(jobs.stream_features(stream), out, checkpoint)
-    got = spark.read.parquet(out).select("row_id", "rolling_mean_power", "power_delta").toPandas()
-    want = power_features(gpu_id(rows)).select("row_id", "rolling_mean_power", "power_delta").toPandas()
-    got, want = (x.sort_values("row_id").round(6).reset_index(drop=True) for x in (got, want))
-    assert got.equals(want)
+def shuffled(spark, path, rows, files, jitter_hours):
+    """Stores rows file by file in an arrival order up to `jitter_hours` behind their time, then a closing reading."""
+    late = F.expr("timestamp + make_interval(0, 0, 0, 0, 0, 0, pmod(row_id * 7919, %d))" % (jitter_hours * 3600))
+    arrivals = rows.withColumn("_file", F.ntile(files).over(Window.orderBy(late, "row_id")))
+    for i in range(1, files + 1):
+        arrivals.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    close(spark, path, rows)
+
+
+def close(spark, path, rows):
+    end = rows.agg(F.max("timestamp").alias("timestamp")).select((F.col("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("timestamp"))
+    last = end.select(F.lit(-1).cast("long").alias("row_id"), F.lit("").alias("hostname"), F.lit("").alias("pci_bus_id"), "timestamp", F.lit(0.0).alias(POWER))
+    last.coalesce(1).write.mode("append").parquet(path)
+
+
+def features_of(df):
+    out = df.select("row_id", "rolling_mean_power", "power_delta").toPandas()
+    return out.sort_values("row_id").round(6).reset_index(drop=True)
+
+
+def readings(spark):
+    return readers.read_events(spark, SF).select("row_id", "hostname", "pci_bus_id", "timestamp", POWER)
+
+
+@pytest.fixture
+def few_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_features_of_shuffled_arrivals_over_many_batches(spark, few_tasks):
+    rows = readings(spark).where("row_id % 3 = 0")
+    path, work = scratch_path(spark, "in"), scratch_path(spark, "work")
+    shuffled(spark, path, rows, 5, 30)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = jobs.stream_features(stream, work, "30 hours", piece_seconds=86_400)
+    assert features_of(got).equals(features_of(power_features(gpu_id(rows))))
+    batches = spark.read.parquet(f"{work}/features").select("batch").distinct().count()
+    assert batches >= 4
+
+
+def test_features_go_on_in_a_later_run_and_idle_devices_leave(spark, few_tasks):
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, id, 0, 0, 0)"
+    rows = spark.range(12).selectExpr("id AS row_id", "'h' AS hostname", "IF(id % 4 = 0, 'idle', 'busy') AS pci_bus_id", f"CAST({at} AS timestamp_ntz) AS timestamp", f"CAST(id * id AS double) AS {POWER}")
+    rows = rows.where("pci_bus_id = 'busy' OR id < 5 OR id = 8".replace("id <", "row_id <").replace("OR id =", "OR row_id ="))
+    path, work = scratch_path(spark, "in"), scratch_path(spark, "work")
+    for part in ("row_id < 6", "row_id >= 6"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        got = jobs.stream_features(spark.readStream.schema(rows.schema).parquet(path), work, "0 seconds", piece_seconds=86_400)
+    close(spark, path, rows)
+    got = jobs.stream_features(spark.readStream.schema(rows.schema).parquet(path), work, "0 seconds", piece_seconds=86_400)
+    assert features_of(got).equals(features_of(power_features(gpu_id(rows))))
+    work = scratch_path(spark, "work")
+    jobs.stream_features(spark.readStream.schema(rows.schema).parquet(path), work, "0 seconds", piece_seconds=86_400, idle="2 DAYS")
+    carried = [{r.gpu_id for r in spark.read.parquet(f"{work}/work-{k}/carry").collect()} for k in (0, 1)]
+    assert {"h_busy"} in carried  # the idle one has reported on day 8 of 11
