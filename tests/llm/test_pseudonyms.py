@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wattspark.llm import pseudonyms as p
@@ -123,3 +124,17 @@ def test_defined_cases(spark):
 def test_native_plan(spark):
     plan = p.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 100_000, "x@" + "a" * 200_000, "a." * 100_000 + "@", "+" + "1 " * 100_000, "1" * 200_000, "1-" * 100_000, "1." * 100_000])
+def test_long_texts_that_almost_match(spark, text):
+    """Half a megabyte of the parts of one kind neither exhausts the matcher nor changes."""
+    given = spark.createDataFrame([(1, text), (2, f"a@b.org {text} c@d.org")], "doc_id long, text string")
+    found = {r.doc_id: r.text for r in p.pseudonymise(given, key="k").collect()}
+    assert found[1] == text
+    assert found[2].endswith("@d.org") and "a@b.org" not in found[2]
+
+
+def test_domains_of_many_labels(spark):
+    given = spark.createDataFrame([(1, "me@" + "a." * 120 + "org")], "doc_id long, text string")
+    assert "me@" not in p.pseudonymise(given, key="k").first().text
