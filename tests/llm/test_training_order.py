@@ -92,13 +92,22 @@ def test_wide_ids_and_empty_table(spark):
     assert empty.count() == 0
 
 
-def test_a_changed_layout_is_noticed(spark):
+@pytest.mark.parametrize("per_shard", [2, 100])
+def test_a_changed_layout_is_noticed(spark, per_shard):
+    """Six files are six partitions when they are counted and one when they are packed: slots are missing."""
     path = scratch_path(spark, "docs")
-    spark.createDataFrame(rows(), "doc_id long, text string").repartition(8, "doc_id").write.parquet(path)
-    made = t.write_shards(t.byte_tokens(spark.read.parquet(path)), scratch_path(spark, "shards-test"), "key", length=16)
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    for k in range(6):
+        spark.createDataFrame([(k, "short")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    confs = {"spark.sql.files.maxPartitionBytes": ("1", "128m"), "spark.sql.files.openCostInBytes": ("1", "1"), "spark.sql.files.minPartitionNum": ("6", "1")}
+    before = {c: spark.conf.get(c, None) for c in confs}
     try:
+        for c, (first, _) in confs.items():
+            spark.conf.set(c, first)
+        made = t.write_shards(t.byte_tokens(spark.read.parquet(path)), scratch_path(spark, "shards-test"), "key", length=1024, per_shard=per_shard)
+        for c, (_, second) in confs.items():
+            spark.conf.set(c, second)
         with pytest.raises(Exception, match="stage=True"):
-            made.count()
+            made.collect()
     finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)

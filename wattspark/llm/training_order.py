@@ -83,6 +83,9 @@ def slots(numbers: np.ndarray, n: int, key: str) -> np.ndarray:
     return x.astype(np.int64)
 
 
+CHANGED = "the input's partitions changed between the passes; use stage=True"
+
+
 def write_shards(
     df: DataFrame,
     folder: str,
@@ -134,7 +137,7 @@ def write_shards(
         def batch() -> pa.RecordBatch:
             nonlocal at, done
             if at + len(done) > last:
-                raise RuntimeError("the input's partitions changed between the passes; use stage=True")
+                raise RuntimeError(CHANGED)
             s = slots(np.arange(at, at + len(done)), n, key)
             at += len(done)
             out = pa.RecordBatch.from_arrays(
@@ -170,7 +173,7 @@ def write_shards(
             done.append((bytes(held) + pad_bytes * (length - k), k, owners))
             yield batch()
         if at != last:
-            raise RuntimeError("the input's partitions changed between the passes; use stage=True")
+            raise RuntimeError(CHANGED)
 
     shards = max(1, -(-n // per_shard))
     placed = source.mapInArrow(pack, packed_schema).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
@@ -187,12 +190,16 @@ def write_shards(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, current = None, -1
+        # A task writes one shard: every slot of it, in order, or the layout has changed since the count.
+        own, (_, _, n) = TaskContext.get().partitionId(), starts.value
+        due, last = own * per_shard, min((own + 1) * per_shard, n)
         for b in batches:
             digests = []
-            for shard, record in zip(b.column("shard").to_pylist(), b.column("record")):
+            for shard, at, record in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("record")):
+                if shard != own or at != due:
+                    raise RuntimeError(CHANGED)
+                due += 1
                 if shard != current:
-                    if file:
-                        file.close()
                     file, current = WholeFile(folder, shard_name(shard)), shard
                 data = record.as_py()
                 file.write(data)
@@ -209,6 +216,8 @@ def write_shards(
                 ],
                 names=out_schema.names,
             )
+        if due < last:
+            raise RuntimeError(CHANGED)
         if file:
             file.close()
 
