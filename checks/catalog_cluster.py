@@ -448,7 +448,7 @@ NEAR = """SELECT a.row_id, coalesce(min({{'d': {d}, 'i': b.row_id, 'c': b.cluste
 add(
     "nn_label_join",
     lambda s, f: density.nn_label_join(
-        pts(s, f), scaling.sample_n(db25(s, f), "row_id", 50_000).select("row_id", *Z, "cluster"), Z, 0.25
+        pts(s, f), db25(s, f).select("row_id", *Z, "cluster"), Z, 0.25
     ).select("row_id", "cluster"),
     NEAR.format(d=DNEAR, e="one", l="dba", z=Z[0]), i="row_id cluster", with_="pts dba",
 )

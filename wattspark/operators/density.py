@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspark.operators import boxtree
 from wattspark.operators.common import (
     attach_one_row,
     broadcast_if_small,
@@ -513,85 +514,42 @@ def eps_autotune(df: DataFrame, feats: list[str], id: str, eps0: float, tries: i
 def nn_label_join(
     df: DataFrame, sample: DataFrame, feats: list[str], eps: float, id: str = "row_id"
 ) -> DataFrame:
-    """Label of the nearest clustered sample row, -1 when it is farther than eps.
+    """Label of the nearest clustered row of `sample`, -1 when it is farther than eps.
 
-    `sample` (id, features, cluster, at most a training sample in size) is reduced to grid tables
-    that are sent to all tasks. A row in a cell whose surroundings carry a single label takes it
-    without any distance; the others look at the candidates of their own coarse cell only. Each
-    row meets one table row, so nothing is expanded and the large side is not shuffled.
+    `sample` (id, features, cluster) may have any size. A row in a cell whose surroundings carry a single
+    label takes it without any distance. The others descend a stored box tree of the clustered rows, in which
+    equal positions are one point with the smallest id. Equally near rows: the smallest id.
     """
     d = len(feats)
     cs = _cell_names(d)
     e = F.lit(float(eps))
-    known = settle(
-        sample.where(F.col("cluster") != -1).select(
-            F.col(id).alias("id"), "cluster", *[F.col(f).alias(f"x{i}") for i, f in enumerate(feats)]
-        )
-    )
-    size = known.count()
+    xs = [f"x{i}" for i in range(d)]
+    known = sample.where(F.col("cluster") != -1).select(F.col(id).alias("_key"), "cluster", *[F.col(f).alias(x) for f, x in zip(feats, xs)])
+    known = known.groupBy(*xs).agg(F.min(F.struct("_key", "cluster")).alias("_first")).select(*xs, "_first.*")
+    known = settle(known)
 
     # Fine cells: occupied ones where every label within reach is the same.
-    x = [F.col(f"x{i}") for i in range(d)]
     fine = settle(
-        known.select("cluster", *[c.alias(n) for c, n in zip(_cells(x, _side(e, d)), cs)]).distinct()
+        known.select("cluster", *[c.alias(n) for c, n in zip(_cells([F.col(x) for x in xs], _side(e, d)), cs)]).distinct()
     )
     around = _neighbour_cells(fine, d, prefix="n")
     seen = around.select("cluster", *[F.col(f"n{i}").alias(c) for i, c in enumerate(cs)]).unionByName(fine)
-    single = (
+    single = settle(
         seen.join(fine.select(*cs).distinct(), cs, "left_semi")
         .groupBy(*cs)
         .agg(F.min("cluster").alias("_only"), F.max("cluster").alias("_max"))
         .where("_only = _max")
         .drop("_max")
     )
-    single = settle(single)
-
-    # Coarse cells of side 2 eps hold every candidate within eps of any of their points.
-    wide = 2.0 * float(eps) * (1 + 1e-9)
-    corners = F.explode(F.sequence(F.lit(0), F.lit(2**d - 1)))
-    placed = known.withColumn("_o", corners)
-    spots = {}
-    for i in range(d):
-        sign = (F.floor(F.col("_o") / 2**i).cast("long") % 2) * 2 - 1
-        spots[f"g{i}"] = F.floor((F.col(f"x{i}") + sign * float(eps) * (1 + 1e-9)) / wide)
-    gs = list(spots)
-    lists = settle(
-        placed.withColumns(spots)
-        .select(*gs, "id", "cluster", *[f"x{i}" for i in range(d)])
-        .distinct()
-        .groupBy(*gs)
-        .agg(F.collect_list(F.struct("id", "cluster", *[f"x{i}" for i in range(d)])).alias("_near"))
-    )
-
-    f = [F.col(c) for c in feats]
-    rows = df.withColumns(dict(zip(cs, _cells(f, _side(e, d))))).withColumns(
-        {g: F.floor(c / wide) for g, c in zip(gs, f)}
-    )
-    joined = rows.join(broadcast_if_small(single, size), cs, "left").join(
-        broadcast_if_small(lists, size), gs, "left"
-    )
-    best = F.array_min(
-        F.transform(
-            "_near",
-            lambda p: F.struct(
-                sq_distance(f, [p[f"x{i}"] for i in range(d)]).alias("d2"),
-                p["id"].alias("id"),
-                p["cluster"].alias("cluster"),
-            ),
-        )
-    )
-    nearest = F.when(F.col("_only").isNull(), best)
+    placed = df.withColumns(dict(zip(cs, _cells([F.col(c) for c in feats], _side(e, d))))).join(single, cs, "left").drop(*cs)
+    tree = boxtree.build(known, d, ["_key", "cluster"])
+    open_rows = placed.where("_only IS NULL")
+    found = boxtree.nearest(tree, open_rows, id, feats, eps, ["_key", "cluster"])
+    found = found.select(id, F.col("best.cluster").alias("_label"))
     return (
-        joined.withColumn("_best", nearest)
-        .withColumn(
-            "cluster",
-            F.coalesce(
-                F.col("_only"),
-                F.when(F.col("_best.d2") <= F.lit(float(eps) * float(eps)), F.col("_best.cluster")),
-                F.lit(-1),
-            ),
-        )
-        .drop("_only", "_near", "_best", *cs, *gs)
+        placed.join(found, id, "left")
+        .withColumn("cluster", F.coalesce("_only", "_label", F.lit(-1)))
+        .drop("_only", "_label")
     )
 
 
