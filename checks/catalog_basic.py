@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import add, clu, lab, node, red, redt, spk, states, sublab, subs, subout, tel, telf, redc
+from checks.base import add, clu, lab, node, red, redt, spk, states, stored, sublab, subs, subout, tel, telf, redc
 from wattspark.functions import rules, timefeat
 from wattspark.operators import behavior, clean, downsample, features, outliers, patterns, peaks, stats, workload
 from wattspark.operators.common import scratch_path, settle
@@ -184,24 +184,26 @@ add("write_tables", peak_split_tables, "SELECT is_peak, count(*) AS n FROM clu G
 
 FIXED = "CAST(CAST(floor({0} * 10000 + 0.5000001) / 10000 AS DECIMAL(24,4)) AS VARCHAR)"
 watts = FIXED.format("avg_power")
+NUMBER = "floor({0} * 10000 + 0.5000001) / 10000"
+watts_number = NUMBER.format("avg_power")
 REPORT = f"""SELECT CAST(json_object(
-  'parameters', json_object('epsilon', '0.1610', 'min_samples', 20),
+  'parameters', json_object('epsilon', 0.161::DOUBLE, 'min_samples', 20),
   'key_insights', json_object('peak_hours', (SELECT to_json(list(CAST(hour AS INTEGER) ORDER BY hour)) FROM peak),
-    'density_peak', (SELECT {FIXED.format("avg(CASE WHEN cluster <> -1 THEN 1.0 ELSE 0.0 END)")} FROM clu WHERE is_peak = 1),
-    'density_non_peak', (SELECT {FIXED.format("avg(CASE WHEN cluster <> -1 THEN 1.0 ELSE 0.0 END)")} FROM clu WHERE is_peak = 0)),
+    'density_peak', (SELECT {NUMBER.format("avg(CASE WHEN cluster <> -1 THEN 1.0 ELSE 0.0 END)")} FROM clu WHERE is_peak = 1),
+    'density_non_peak', (SELECT {NUMBER.format("avg(CASE WHEN cluster <> -1 THEN 1.0 ELSE 0.0 END)")} FROM clu WHERE is_peak = 0)),
   'outlier_findings', json_object('n_clusters', (SELECT count(DISTINCT cluster) FROM clu WHERE cluster <> -1),
     'n_outliers', (SELECT count(*) FROM clu WHERE cluster = -1),
-    'outlier_pct', (SELECT {FIXED.format("avg(CASE WHEN cluster = -1 THEN 100.0::DOUBLE ELSE 0 END)")} FROM clu),
+    'outlier_pct', (SELECT {NUMBER.format("avg(CASE WHEN cluster = -1 THEN 100.0::DOUBLE ELSE 0 END)")} FROM clu),
     'top_outlier_gpus', (SELECT to_json(list({{'key': k, 'value': n}} ORDER BY n DESC, k)) FROM
       (SELECT gpu_id AS k, count(*) AS n FROM clu WHERE cluster = -1 GROUP BY k ORDER BY n DESC, k LIMIT 5)),
     'top_outlier_hours', (SELECT to_json(list({{'key': k, 'value': n}} ORDER BY n DESC, k)) FROM
       (SELECT hour AS k, count(*) AS n FROM clu WHERE cluster = -1 GROUP BY k ORDER BY n DESC, k LIMIT 3))),
   'workload', json_object(
-    'load_by_node', (SELECT to_json(list({{'key': k, 'value': {watts}}} ORDER BY k)) FROM
+    'load_by_node', (SELECT to_json(list({{'key': k, 'value': {watts_number}}} ORDER BY k)) FROM
       (SELECT hostname AS k, avg(power_watts) AS avg_power FROM clu GROUP BY k)),
-    'load_by_gpu_type', (SELECT to_json(list({{'key': k, 'value': {watts}}} ORDER BY k)) FROM
+    'load_by_gpu_type', (SELECT to_json(list({{'key': k, 'value': {watts_number}}} ORDER BY k)) FROM
       (SELECT gpu_type AS k, avg(power_watts) AS avg_power FROM clu GROUP BY k)),
-    'high_load_gpus', (SELECT to_json(list({{'key': k, 'value': {watts}}} ORDER BY avg_power DESC, k)) FROM
+    'high_load_gpus', (SELECT to_json(list({{'key': k, 'value': {watts_number}}} ORDER BY avg_power DESC, k)) FROM
       (SELECT gpu_id AS k, avg(power_watts) AS avg_power FROM clu GROUP BY k ORDER BY avg_power DESC, k LIMIT 5)))
   ) AS VARCHAR) AS report"""
 add("report_json", lambda s, f: reports.report_json(clu(s, f), 0.161), REPORT, with_="clu peak")
@@ -755,3 +757,58 @@ add(
     "sample_n", lambda s, f: sample_n(tel(s, f), "row_id", 1000).select("row_id", "power_watts"),
     f"SELECT row_id, power_watts FROM {SAMPLE.format(t='tel', n=1000)}", d="power_watts", i="row_id", with_="tel",
 )
+
+
+# The reports of the labelled table, from one scan with grouping sets
+@stored
+def facts(s, f):
+    return reports.report_facts(lab(s, f))
+
+
+def class_rows(rule: str, name: str) -> str:
+    return f"""SELECT gpu_id AS key, c AS value FROM (SELECT gpu_id, {CLASS.format(10, 5, rule)} AS c FROM ({PROFILE}))
+    WHERE c = '{name}' ORDER BY gpu_id LIMIT 5"""
+
+
+BY_TYPE = f"SELECT 'load_by_gpu_type' AS section, gpu_type AS key, {FIXED.format('avg(power_watts)')} AS value FROM lab GROUP BY gpu_type"
+HOST = f"SELECT '{{0}}' AS section, h AS key, {FIXED.format('p')} AS value FROM (SELECT hostname AS h, avg(power_watts) AS p FROM lab GROUP BY hostname ORDER BY {{1}}, h LIMIT 1)"
+V2_LABEL = """CASE WHEN avg_power < 100 AND power_var < 500 THEN 'Idle/Low Load' WHEN avg_power < 150 AND power_var < 1000 THEN 'Moderate Load'
+    WHEN avg_power >= 150 AND power_var < 2000 THEN 'High Load' ELSE 'Burst/Unstable' END"""
+EXTREME = "OR pct_time_extreme_load > 10"
+add(
+    "report_deep", lambda s, f: reports.deep_report(facts(s, f), 0.161),
+    f"""SELECT 'parameters' AS section, 'epsilon' AS key, '0.1610' AS value
+    UNION ALL SELECT 'cluster_interpretation', cluster || ' ' || {V2_LABEL}, {FIXED.format("avg_power")} || ' ' || {FIXED.format("power_var")} || ' ' || point_count FROM stats
+    UNION ALL SELECT 'outlier_types', outlier_type, CAST(count(*) AS VARCHAR) FROM lab WHERE cluster = -1 GROUP BY outlier_type
+    UNION ALL SELECT 'gpu_classes', k, CAST(count(c) AS VARCHAR) FROM (VALUES ('Stable'), ('High-Load Consistent'), ('Unstable / Spiky')) v(k)
+        LEFT JOIN (SELECT {CLASS.format(10, 5, "")} AS c FROM ({PROFILE})) ON k = c GROUP BY k
+    UNION ALL SELECT 'unstable_gpus', key, value FROM ({class_rows("", "Unstable / Spiky")})
+    UNION ALL {BY_TYPE} UNION ALL {HOST.format("top_node", "p DESC")} UNION ALL {HOST.format("least_node", "p")}""",
+    with_="lab stats",
+)
+add(
+    "report_final", lambda s, f: reports.final_report(facts(s, f), 0.161),
+    f"""SELECT 'parameters' AS section, 'epsilon' AS key, '0.1610' AS value
+    UNION ALL SELECT 'clusters', 'n_clusters', CAST(count(*) AS VARCHAR) FROM stats
+    UNION ALL SELECT 'noise_pct', 'outlier_pct', {FIXED.format("avg(CASE WHEN cluster = -1 THEN 100.0::DOUBLE ELSE 0 END)")} FROM lab
+    UNION ALL SELECT 'inliers_pct', CASE WHEN is_peak = 1 THEN 'Peak' ELSE 'Non-Peak' END,
+        {FIXED.format("avg(CASE WHEN behavior_label IS NOT DISTINCT FROM 'Spike Event' THEN 0 ELSE 100.0::DOUBLE END)")} FROM lab GROUP BY is_peak
+    UNION ALL SELECT 'cluster_interpretation', cluster || ' ' || behavior_label, {FIXED.format("avg_power")} || ' ' ||
+        {FIXED.format("point_count * 100.0::DOUBLE / (SELECT count(*) FROM lab)")} FROM slab
+    UNION ALL (SELECT 'outlier_hours', CAST(hour AS VARCHAR), CAST(count(*) AS VARCHAR) FROM lab WHERE cluster = -1 GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 3)
+    UNION ALL {BY_TYPE}
+    UNION ALL SELECT 'high_load_gpus', key, value FROM ({class_rows(EXTREME, "High-Load Consistent")})
+    UNION ALL SELECT 'investigate', key, value FROM ({class_rows(EXTREME, "Unstable / Spiky")})
+    UNION ALL {HOST.format("balance_from", "p DESC")} UNION ALL {HOST.format("balance_to", "p")}""",
+    with_="lab slab",
+)
+add(
+    "report_final_json", lambda s, f: reports.final_report_json(facts(s, f), 0.161),
+    f"""SELECT CAST(json_object('clustering_radius', 0.161::DOUBLE,
+    'clustering_performance', json_object('full_clusters', (SELECT count(*) FROM stats),
+        'outlier_pct', (SELECT {NUMBER.format("avg(CASE WHEN cluster = -1 THEN 100.0::DOUBLE ELSE 0 END)")} FROM lab)),
+    'actionable_insights', json_object('inspect', (SELECT to_json(coalesce(list(key ORDER BY key), [])) FROM ({class_rows(EXTREME, "Unstable / Spiky")})),
+        'balance', json_object('from', (SELECT key FROM ({HOST.format("x", "p DESC")})), 'to', (SELECT key FROM ({HOST.format("x", "p")}))))
+    ) AS VARCHAR) AS report""",
+    with_="lab stats",
+)

@@ -3,9 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattspark.functions import rules
 from wattspark.operators.behavior import cluster_census, top_outlier_gpus, top_outlier_hours
+from wattspark.operators.common import attach_one_row, settle
 from wattspark.operators.peaks import inlier_density, peak_hours
 from wattspark.operators.stats import high_load_gpus, load_by_gpu_type, load_by_node
+from wattspark.schema import ALL_LABELS, POWER, share_column
 
 
 def write_tables(
@@ -30,6 +33,11 @@ def fixed(c: Column, digits: int = 4) -> Column:
     return (F.floor(c * scale + 0.5000001) / scale).cast(f"decimal(24,{digits})").cast("string")
 
 
+def number(c: Column, digits: int = 4) -> Column:
+    """A number with a fixed number of decimals."""
+    return F.floor(c * 10**digits + 0.5000001) / 10**digits
+
+
 def _listed(df: DataFrame, name: str, key: str, value: str, order: Column) -> DataFrame:
     """A small result as one array of {key, value}, in a given order."""
     entry = F.struct(order.alias("o"), F.col(key).alias("key"), F.col(value).alias("value"))
@@ -49,16 +57,16 @@ def report_json(
     """
     up = lambda c: F.col(c)
     down = lambda c: -F.col(c)
-    value = fixed(F.col("avg_power"))
+    value = number(F.col("avg_power"))
     hours = peak_hours(df).agg(F.array_sort(F.collect_list("hour")).alias("peak_hours"))
     parts = [
         hours,
         inlier_density(df).select(
-            fixed(F.col("peak")).alias("density_peak"),
-            fixed(F.col("non_peak")).alias("density_non_peak"),
+            number(F.col("peak")).alias("density_peak"),
+            number(F.col("non_peak")).alias("density_non_peak"),
         ),
         cluster_census(df).select(
-            "n_clusters", "n_outliers", fixed(F.col("outlier_pct")).alias("outlier_pct")
+            "n_clusters", "n_outliers", number(F.col("outlier_pct")).alias("outlier_pct")
         ),
         _listed(top_outlier_gpus(df, top_gpus), "top_outlier_gpus", "gpu_id", "n", down("n")),
         _listed(top_outlier_hours(df, top_hours), "top_outlier_hours", "hour", "n", down("n")),
@@ -71,7 +79,7 @@ def report_json(
         row = row.crossJoin(F.broadcast(p))
     report = F.struct(
         F.struct(
-            fixed(F.lit(float(epsilon))).alias("epsilon"), F.lit(min_samples).alias("min_samples")
+            number(F.lit(float(epsilon))).alias("epsilon"), F.lit(min_samples).alias("min_samples")
         ).alias("parameters"),
         F.struct("peak_hours", "density_peak", "density_non_peak").alias("key_insights"),
         F.struct(
@@ -82,6 +90,142 @@ def report_json(
     return row.select(F.to_json(report).alias("report"))
 
 
+# What the summary reports look at: the grouping sets of one scan.
+FACTS = {
+    "total": [],
+    "hour": ["hour"],
+    "host": ["hostname"],
+    "type": ["gpu_type"],
+    "device": ["gpu_id"],
+    "cluster": ["cluster"],
+    "outlier": ["outlier_type"],
+    "peak_label": ["is_peak", "behavior_label"],
+    "device_label": ["gpu_id", "behavior_label"],
+}
+
+
+def report_facts(df: DataFrame) -> DataFrame:
+    """Every aggregate the summary reports need of a labelled table, from one scan, stored.
+
+    One row per group of each grouping set: `fact` (its name), the group's columns (others NULL), rows,
+    noise rows, mean and sample variance of power. At most devices x labels rows.
+    """
+    columns = list(dict.fromkeys(c for group in FACTS.values() for c in group))
+    name = F.lit(None)
+    for fact, group in FACTS.items():
+        # Bit of a column, the first one highest: set where the column is not part of the group.
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in group)
+        name = F.when(F.col("_set") == bits, fact).otherwise(name)
+    sets = [[F.col(c) for c in group] for group in FACTS.values()]
+    made = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(
+        F.grouping_id().alias("_set"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("cluster") == -1).alias("noise"),
+        F.avg(POWER).alias("mean"),
+        F.var_samp(POWER).alias("variance"),
+    )
+    return settle(made.withColumn("fact", name).select("fact", *columns, "n", "noise", "mean", "variance"))
+
+
+def _fact(facts: DataFrame, name: str) -> DataFrame:
+    return facts.where(F.col("fact") == name)
+
+
+def _device_classes(facts: DataFrame, with_extreme: bool) -> DataFrame:
+    part = lambda x: F.sum(F.when(F.col("behavior_label") == x, F.col("n")).otherwise(0)) / F.sum("n") * 100
+    shares = _fact(facts, "device_label").groupBy("gpu_id").agg(*[part(x).alias(share_column(x)) for x in ALL_LABELS])
+    return shares.select("gpu_id", rules.gpu_class_rule(with_extreme=with_extreme).alias("class"))
+
+
+def _clusters(facts: DataFrame, label) -> DataFrame:
+    found = _fact(facts, "cluster").where("cluster <> -1")
+    return found.withColumn("label", F.concat_ws(" ", F.col("cluster").cast("string"), label(F.col("mean"), F.col("variance"))))
+
+
+def _joined(*values: Column) -> Column:
+    return F.concat_ws(" ", *values)
+
+
+def _first_of_class(classes: DataFrame, name: str, n: int = 5) -> DataFrame:
+    return classes.where(F.col("class") == name).orderBy("gpu_id").limit(n)
+
+
+def _hosts(facts: DataFrame) -> DataFrame:
+    """One row: the most and the least loaded host."""
+    by = _fact(facts, "host")
+    return by.agg(
+        F.min_by(F.struct("hostname", "mean"), F.struct(-F.col("mean"), F.col("hostname"))).alias("top"),
+        F.min_by(F.struct("hostname", "mean"), F.struct(F.col("mean"), F.col("hostname"))).alias("low"),
+    )
+
+
+_CLASSES = ["Stable", "High-Load Consistent", "Unstable / Spiky"]
+
+
+def deep_report(facts: DataFrame, epsilon: float) -> DataFrame:
+    """The report of the radius search: clusters, outlier types, device classes and loads (section, key, value)."""
+    classes = _device_classes(facts, with_extreme=False)
+    counted = classes.agg(*[F.count_if(F.col("class") == c).alias(f"_{i}") for i, c in enumerate(_CLASSES)])
+    per_class = counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"_{i}").alias("n")) for i, c in enumerate(_CLASSES)])))
+    hosts = _hosts(facts)
+    text = lambda c: F.col(c).cast("string")
+    return report_rows(
+        {
+            "parameters": (_fact(facts, "total"), F.lit("epsilon"), fixed(F.lit(float(epsilon)))),
+            "cluster_interpretation": (_clusters(facts, rules.behavior_v2), F.col("label"), _joined(fixed(F.col("mean")), fixed(F.col("variance")), text("n"))),
+            "outlier_types": (_fact(facts, "outlier").where("outlier_type IS NOT NULL"), F.col("outlier_type"), text("n")),
+            "gpu_classes": (per_class, F.col("class"), text("n")),
+            "unstable_gpus": (_first_of_class(classes, "Unstable / Spiky"), F.col("gpu_id"), F.col("class")),
+            "load_by_gpu_type": (_fact(facts, "type"), F.col("gpu_type"), fixed(F.col("mean"))),
+            "top_node": (hosts, F.col("top.hostname"), fixed(F.col("top.mean"))),
+            "least_node": (hosts, F.col("low.hostname"), fixed(F.col("low.mean"))),
+        }
+    )
+
+
+def final_report(facts: DataFrame, epsilon: float, hours: int = 3) -> DataFrame:
+    """The report of the final run (section, key, value)."""
+    classes = _device_classes(facts, with_extreme=True)
+    total, hosts = _fact(facts, "total"), _hosts(facts)
+    clusters = _clusters(facts, rules.behavior_final)
+    shared = attach_one_row(clusters, total.select(F.col("n").alias("_all")))
+    # Everything that is not a spike, in percent of the rows of the peak flag.
+    calm = F.sum(F.when(F.col("behavior_label") == "Spike Event", 0).otherwise(F.col("n")))
+    peak = _fact(facts, "peak_label").groupBy("is_peak").agg((calm / F.sum("n") * 100).alias("pct"))
+    worst = _fact(facts, "hour").where("noise > 0").orderBy(F.desc("noise"), "hour").limit(hours)
+    return report_rows(
+        {
+            "parameters": (total, F.lit("epsilon"), fixed(F.lit(float(epsilon)))),
+            "clusters": (clusters.agg(F.count(F.lit(1)).alias("k")), F.lit("n_clusters"), F.col("k").cast("string")),
+            "noise_pct": (total, F.lit("outlier_pct"), fixed(F.col("noise") / F.col("n") * 100)),
+            "inliers_pct": (peak, F.when(F.col("is_peak") == 1, "Peak").otherwise("Non-Peak"), fixed(F.col("pct"))),
+            "cluster_interpretation": (shared, F.col("label"), _joined(fixed(F.col("mean")), fixed(F.col("n") / F.col("_all") * 100))),
+            "outlier_hours": (worst, F.col("hour"), F.col("noise").cast("string")),
+            "load_by_gpu_type": (_fact(facts, "type"), F.col("gpu_type"), fixed(F.col("mean"))),
+            "high_load_gpus": (_first_of_class(classes, "High-Load Consistent"), F.col("gpu_id"), F.col("class")),
+            "investigate": (_first_of_class(classes, "Unstable / Spiky"), F.col("gpu_id"), F.col("class")),
+            "balance_from": (hosts, F.col("top.hostname"), fixed(F.col("top.mean"))),
+            "balance_to": (hosts, F.col("low.hostname"), fixed(F.col("low.mean"))),
+        }
+    )
+
+
+def final_report_json(facts: DataFrame, epsilon: float) -> DataFrame:
+    """One row with the JSON form of the final run; its advice is given as devices and hosts, not as sentences."""
+    total = _fact(facts, "total").select(number(F.col("noise") / F.col("n") * 100).alias("outlier_pct"))
+    clusters = _clusters(facts, rules.behavior_final).agg(F.count(F.lit(1)).alias("full_clusters"))
+    unstable = _first_of_class(_device_classes(facts, with_extreme=True), "Unstable / Spiky")
+    listed = unstable.agg(F.array_sort(F.collect_list("gpu_id")).alias("inspect"))  # at most five
+    hosts = _hosts(facts).select(F.col("top.hostname").alias("from"), F.col("low.hostname").alias("to"))
+    row = attach_one_row(attach_one_row(attach_one_row(total, clusters), listed), hosts)
+    report = F.struct(
+        number(F.lit(float(epsilon))).alias("clustering_radius"),
+        F.struct("full_clusters", "outlier_pct").alias("clustering_performance"),
+        F.struct("inspect", F.struct("from", "to").alias("balance")).alias("actionable_insights"),
+    )
+    return row.select(F.to_json(report).alias("report"))
+
+
 def report_section(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"), key.cast("string").alias("key"), value.alias("value")
