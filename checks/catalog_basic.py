@@ -812,3 +812,22 @@ add(
     ) AS VARCHAR) AS report""",
     with_="lab stats",
 )
+add(
+    "report_patterns", lambda s, f: reports.pattern_report(redc(s, f)),
+    f"""WITH spk AS MATERIALIZED (SELECT * FROM redc WHERE power_watts >= (SELECT quantile_cont(power_watts, 0.75::DOUBLE) FROM redc)),
+    b AS MATERIALIZED (SELECT *, {BAND} AS time_band FROM redc), c AS MATERIALIZED ({CV})
+    (SELECT 'spike_hours' AS section, CAST(hour AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value FROM spk GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 5)
+    UNION ALL SELECT 'recurring_hours', CAST(hour AS VARCHAR), CAST(count(DISTINCT date) AS VARCHAR) FROM spk GROUP BY hour
+        HAVING count(DISTINCT date) >= 0.5 * (SELECT count(DISTINCT date) FROM redt)
+    UNION ALL SELECT 'band_dominance', time_band, modal_cluster || ' ' || {FIXED.format("p")} FROM (SELECT time_band, avg(power_watts) AS p FROM b GROUP BY time_band)
+        JOIN {MODE.format(k='time_band', c='cluster', t='b')} USING (time_band)
+    UNION ALL SELECT 'day_dominance', CAST(date AS VARCHAR), modal_cluster || ' ' || {FIXED.format("p")} FROM (SELECT date, avg(power_watts) AS p FROM redc GROUP BY date)
+        JOIN {MODE.format(k='date', c='cluster', t='redc')} USING (date)
+    UNION ALL SELECT 'state_share', state, {FIXED.format("count(*) * 100.0::DOUBLE / (SELECT count(*) FROM state)")} FROM state GROUP BY state
+    UNION ALL SELECT 'burstiness', CAST(hour AS VARCHAR), CASE WHEN cv > (SELECT median(cv) FROM c) THEN 'bursty' ELSE 'balanced' END FROM c WHERE cv IS NOT NULL
+    UNION ALL SELECT 'overall', CASE WHEN cv > 0.5 THEN 'BURSTY' ELSE 'BALANCED' END, {FIXED.format("cv")}
+        FROM (SELECT stddev_samp(power_watts) / avg(power_watts) AS cv FROM redt)
+    UNION ALL SELECT 'host_states', hostname, {FIXED.format("avg(CASE WHEN state = 'Idle' THEN 100.0::DOUBLE ELSE 0 END)")} || ' ' ||
+        {FIXED.format("avg(CASE WHEN state = 'Active' THEN 100.0::DOUBLE ELSE 0 END)")} FROM state GROUP BY hostname""",
+    with_="redc state",
+)

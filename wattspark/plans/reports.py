@@ -4,9 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattspark.functions import rules
+from wattspark.functions.timefeat import time_bands
 from wattspark.operators.behavior import cluster_census, top_outlier_gpus, top_outlier_hours
 from wattspark.operators.common import attach_one_row, settle
 from wattspark.operators.peaks import inlier_density, peak_hours
+from wattspark.operators.quantiles import quantile_row
 from wattspark.operators.stats import high_load_gpus, load_by_gpu_type, load_by_node
 from wattspark.schema import ALL_LABELS, POWER, share_column
 
@@ -110,21 +112,22 @@ def report_facts(df: DataFrame) -> DataFrame:
     One row per group of each grouping set: `fact` (its name), the group's columns (others NULL), rows,
     noise rows, mean and sample variance of power. At most devices x labels rows.
     """
-    columns = list(dict.fromkeys(c for group in FACTS.values() for c in group))
+    measures = [F.count_if(F.col("cluster") == -1).alias("noise"), F.var_samp(POWER).alias("variance")]
+    return _grouped(df, FACTS, measures)
+
+
+def _grouped(df: DataFrame, facts: dict[str, list[str]], measures: list[Column]) -> DataFrame:
+    """`fact`, the groups' columns, rows, mean power and the measures of all grouping sets, stored."""
+    columns = list(dict.fromkeys(c for group in facts.values() for c in group))
     name = F.lit(None)
-    for fact, group in FACTS.items():
+    for fact, group in facts.items():
         # Bit of a column, the first one highest: set where the column is not part of the group.
         bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in group)
         name = F.when(F.col("_set") == bits, fact).otherwise(name)
-    sets = [[F.col(c) for c in group] for group in FACTS.values()]
-    made = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(
-        F.grouping_id().alias("_set"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("cluster") == -1).alias("noise"),
-        F.avg(POWER).alias("mean"),
-        F.var_samp(POWER).alias("variance"),
-    )
-    return settle(made.withColumn("fact", name).select("fact", *columns, "n", "noise", "mean", "variance"))
+    sets = [[F.col(c) for c in group] for group in facts.values()]
+    counted = [F.count(F.lit(1)).alias("n"), F.avg(POWER).alias("mean"), *measures]
+    made = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().alias("_set"), *counted)
+    return settle(made.withColumn("fact", name).drop("_set"))
 
 
 def _fact(facts: DataFrame, name: str) -> DataFrame:
@@ -226,6 +229,62 @@ def final_report_json(facts: DataFrame, epsilon: float) -> DataFrame:
     return row.select(F.to_json(report).alias("report"))
 
 
+# The grouping sets of the pattern and workload report.
+PATTERN_FACTS = {
+    "total": [],
+    "hour": ["hour"],
+    "hour_date": ["hour", "date"],
+    "band_cluster": ["time_band", "cluster"],
+    "date_cluster": ["date", "cluster"],
+    "state": ["state"],
+    "host_state": ["hostname", "state"],
+}
+
+
+def _dominant(facts: DataFrame, name: str, key: str) -> DataFrame:
+    """Per `key`: the most frequent cluster (of equally frequent ones, the smallest) and the mean power."""
+    return _fact(facts, name).groupBy(key).agg(
+        F.min_by("cluster", F.struct(-F.col("n"), F.col("cluster"))).alias("dominant"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+    )
+
+
+def pattern_report(df: DataFrame, spike: float = 0.75, idle: float = 0.25, recurring: float = 0.5, cut: float = 0.5) -> DataFrame:
+    """Repeating patterns and workload of a clustered series with hour and date (section, key, value).
+
+    One pass finds the quartiles, one with grouping sets makes all numbers.
+    """
+    marked = attach_one_row(time_bands(df), quantile_row(df, POWER, [idle, spike], ["_idle", "_spike"]))
+    state = F.when(F.col(POWER) <= F.col("_idle"), "Idle").when(F.col(POWER) <= F.col("_spike"), "Moderate").otherwise("Active")
+    measures = [F.count_if(F.col(POWER) >= F.col("_spike")).alias("spikes"), F.stddev_samp(POWER).alias("deviation")]
+    facts = _grouped(marked.withColumn("state", state), PATTERN_FACTS, measures)
+    total = _fact(facts, "total")
+    hours = _fact(facts, "hour").where("hour IS NOT NULL")
+    dates = _fact(facts, "date_cluster").agg(F.count_distinct("date").alias("_dates"))
+    days = _fact(facts, "hour_date").where("spikes > 0").groupBy("hour").agg(F.count(F.lit(1)).alias("days"))
+    again = attach_one_row(days, dates).where(F.col("days") >= F.col("_dates") * recurring)
+    share = attach_one_row(_fact(facts, "state"), total.select(F.col("n").alias("_all")))
+    cv = hours.select("hour", F.when(F.col("mean") > 0, F.col("deviation") / F.col("mean")).otherwise(0.0).alias("cv"))
+    kinds = attach_one_row(cv, cv.agg(F.median("cv").alias("_mid"))).where("cv IS NOT NULL")  # 24 hours
+    part = lambda x: fixed(F.sum(F.when(F.col("state") == x, F.col("n")).otherwise(0)) / F.sum("n") * 100)
+    hosts = _fact(facts, "host_state").groupBy("hostname").agg(_joined(part("Idle"), part("Active")).alias("shares"))
+    overall = total.select((F.col("deviation") / F.col("mean")).alias("cv"))
+    text = lambda c: F.col(c).cast("string")
+    found = _joined(text("dominant"), fixed(F.col("mean")))
+    return report_rows(
+        {
+            "spike_hours": (hours.where("spikes > 0").orderBy(F.desc("spikes"), "hour").limit(5), F.col("hour"), text("spikes")),
+            "recurring_hours": (again, F.col("hour"), text("days")),
+            "band_dominance": (_dominant(facts, "band_cluster", "time_band"), F.col("time_band"), found),
+            "day_dominance": (_dominant(facts, "date_cluster", "date"), F.col("date"), found),
+            "state_share": (share, F.col("state"), fixed(F.col("n") / F.col("_all") * 100)),
+            "burstiness": (kinds, F.col("hour"), F.when(F.col("cv") > F.col("_mid"), "bursty").otherwise("balanced")),
+            "overall": (overall, rules.usage_pattern(F.col("cv"), cut), fixed(F.col("cv"))),
+            "host_states": (hosts, F.col("hostname"), F.col("shares")),
+        }
+    )
+
+
 def report_section(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"), key.cast("string").alias("key"), value.alias("value")
