@@ -82,13 +82,26 @@ def power_delta(df: DataFrame, keys=None, v: str = POWER, order=None) -> DataFra
 def label_encode(df: DataFrame, col: str = "pci_bus_id", within: list[str] | None = None) -> DataFrame:
     """Add `encoded_<col>`: position of the value among the sorted distinct values of its group.
 
-    Only distinct values are ranked; rows take the code through a join.
+    Only distinct values are ranked; rows take the code through a join. The values are sorted in ranges: a
+    value's position in its range is added to the number of values in the ranges before it, so no task ranks
+    all of them.
     """
     within = within or []
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    codes = settle(
-        df.select(*within, col)
-        .distinct()
-        .withColumn(f"encoded_{col}", (F.row_number().over(w.orderBy(col)) - 1).cast("int"))
-    )
+    place = F.monotonically_increasing_id()  # fixed by the written table: range number, position in it
+    ranged = df.select(*within, col).distinct().repartitionByRange(*within, col).sortWithinPartitions(*within, col)
+    placed = settle(ranged.withColumn("_place", place))
+    part, position = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    # Small tables: one row per range, and per range and group.
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = placed.withColumn("_part", part).join(starts, "_part").withColumn("_rank", F.col("_start") + position)
+    if within:
+        first = ranked.groupBy(*within).agg(F.min("_rank").alias("_first"))
+        same = None
+        for c in within:
+            equal = F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+            same = equal if same is None else same & equal
+        ranked = ranked.alias("_l").join(first.alias("_r"), same).select(*[F.col(f"_l.{c}").alias(c) for c in within], f"_l.{col}", (F.col("_rank") - F.col("_first")).alias("_rank"))
+    codes = settle(ranked.select(*within, col, F.col("_rank").cast("int").alias(f"encoded_{col}")))
     return df.join(codes, [*within, col], "left")
