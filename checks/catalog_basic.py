@@ -114,6 +114,33 @@ add(
     i="n_rows n_hosts n_bus_ids first_day last_day", with_="redt",
 )
 
+
+
+@stored
+def day_sketches(s, f):
+    return readers.daily_sketches(clean.gpu_id(tel(s, f)), ["hostname", "pci_bus_id", "gpu_id", "row_id"])
+
+
+RANGES = [("all", "1900-01-01", "2199-12-31"), ("first", "2024-01-01", "2024-01-07"), ("middle", "2024-01-10", "2024-01-20"), ("day", "2024-01-15", "2024-01-15")]
+
+
+def summaries_of_ranges(s, f):
+    ranges = s.createDataFrame(RANGES, "name string, from string, to string").select("name", F.to_date("from").alias("from"), F.to_date("to").alias("to"))
+    found = readers.range_summaries(day_sketches(s, f), ranges)
+    near = F.abs(F.col("n_row_id") - F.col("n_rows")) <= 4 * readers.SKETCH_ERROR * F.col("n_rows")
+    return found.withColumn("n_row_id", near.cast("int"))
+
+
+# Row ids are all different, so their estimate is held against the number of rows: 1 if within four standard errors.
+add(
+    "dataset_summary_ranges", summaries_of_ranges,
+    f"""SELECT name, count(*) AS n_rows, min(timestamp) AS first, max(timestamp) AS last, count(DISTINCT hostname) AS n_hostname,
+    count(DISTINCT pci_bus_id) AS n_pci_bus_id, count(DISTINCT gpu_id) AS n_gpu_id, 1 AS n_row_id
+    FROM timed JOIN (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in RANGES)}) r(name, a, b)
+    ON CAST(timestamp AS DATE) BETWEEN a AND b GROUP BY name""",
+    i="n_rows n_hostname n_pci_bus_id n_gpu_id n_row_id", t="first last", with_="timed",
+)
+
 # 9-16 cleaning
 add(
     "clean_headers", lambda s, f: clean.clean_headers(dirty(s, f)),

@@ -150,3 +150,15 @@ def test_features_go_on_in_a_later_run_and_idle_devices_leave(spark, few_tasks):
     jobs.stream_features(spark.readStream.schema(rows.schema).parquet(path), work, "0 seconds", piece_seconds=86_400, idle="2 DAYS")
     carried = [{r.gpu_id for r in spark.read.parquet(f"{work}/work-{k}/carry").collect()} for k in (0, 1)]
     assert {"h_busy"} in carried  # the idle one has reported on day 8 of 11
+
+
+def test_merged_daily_sketches_are_near_the_exact_counts(spark):
+    rows = spark.range(60_000).selectExpr("id % 40000 AS v", "timestamp_seconds(1700000000 + id * 13) AS timestamp")
+    late = spark.createDataFrame([(7, None)], "v long, timestamp timestamp")
+    daily = readers.daily_sketches(rows.union(late), ["v"])
+    ranges = spark.createDataFrame([("all", "2000-01-01", "2100-01-01"), ("none", "1990-01-01", "1990-01-02")], "name string, from string, to string")
+    found = readers.range_summaries(daily, ranges.selectExpr("name", "CAST(from AS date) AS from", "CAST(to AS date) AS to")).collect()
+    assert [r.name for r in found] == ["all"] and found[0].n_rows == 60_000
+    assert abs(found[0].n_v - 40_000) <= 4 * readers.SKETCH_ERROR * 40_000
+    direct = rows.agg(F.hll_sketch_estimate(F.hll_sketch_agg("v", readers.SKETCH_BITS))).first()[0]
+    assert abs(found[0].n_v - direct) <= 4 * readers.SKETCH_ERROR * 40_000

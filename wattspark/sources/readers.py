@@ -142,6 +142,31 @@ def dataset_summary(df: DataFrame, ts: str = "timestamp", exact: bool = True) ->
     )
 
 
+# Of the stored sketches: 2**12 registers, so a standard error of 1.04 / 64 for large counts; small ones are exact.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def daily_sketches(df: DataFrame, columns: list[str], ts: str = "timestamp") -> DataFrame:
+    """Per calendar day: rows, first and last reading, and a mergeable distinct-count sketch of each column.
+
+    Stored once (and appended to day by day), it answers `range_summaries` without the readings. Rows without
+    a timestamp are left out; NULL values of a column are not counted.
+    """
+    sketches = [F.hll_sketch_agg(c, SKETCH_BITS).alias(f"sketch_{c}") for c in columns]
+    spans = [F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first"), F.max(ts).alias("last")]
+    return df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("date")).agg(*spans, *sketches)
+
+
+def range_summaries(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Per range (columns name, from, to; both days included): rows, first and last reading, and an estimate
+    `n_<column>` of each column's distinct values, all from the merged daily sketches."""
+    columns = [c.removeprefix("sketch_") for c in sketches.columns if c.startswith("sketch_")]
+    inside = sketches.join(ranges, F.col("date").between(F.col("from"), F.col("to")))
+    counts = [F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{c}")).alias(f"n_{c}") for c in columns]
+    return inside.groupBy("name").agg(F.sum("n_rows").alias("n_rows"), F.min("first").alias("first"), F.max("last").alias("last"), *counts)
+
+
 def distinct_keys(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
