@@ -520,3 +520,27 @@ add(
     FROM tel GROUP BY ALL) USING (hostname, pci_bus_id)""",
     i="row_id is_outlier", with_="tel",
 )
+
+
+# Fences that roll forward: sketches of two weeks, and the ranks that their quartiles have among the readings.
+@stored
+def hour_sketches(s, f):
+    return outliers.value_sketches(tel(s, f), GPU_KEYS)
+
+
+def rolling_fences(s, f):
+    first, end = "2024-01-08", "2024-01-22"
+    bounds = settle(outliers.sketched_fences(hour_sketches(s, f), GPU_KEYS, first, end))
+    rows = tel(s, f).where(f"timestamp >= '{first}' AND timestamp < '{end}'").join(bounds.drop("n"), GPU_KEYS)
+    share = lambda test: F.avg(F.expr(test).cast("double"))
+    slack = F.lit(outliers.SKETCH_RANK) + 1 / F.count(F.lit(1))
+    near = lambda q, p: ((share(f"power_watts < {q}") <= p + slack) & (share(f"power_watts <= {q}") >= p - slack)).cast("int")
+    return rows.groupBy(*GPU_KEYS).agg(F.count(F.lit(1)).alias("n"), near("q1", 0.25).alias("q1_near"), near("q3", 0.75).alias("q3_near"))
+
+
+add(
+    "rolling_fences", rolling_fences,
+    """SELECT hostname, pci_bus_id, count(*) AS n, 1 AS q1_near, 1 AS q3_near FROM tel
+    WHERE timestamp >= TIMESTAMP '2024-01-08' AND timestamp < TIMESTAMP '2024-01-22' GROUP BY ALL""",
+    i="n q1_near q3_near", with_="tel",
+)

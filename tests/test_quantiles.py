@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattspark.operators.features import power_features
-from wattspark.operators.outliers import iqr_outliers_grouped, iqr_outliers_global
+from wattspark.operators.outliers import SKETCH_RANK, iqr_outliers_global, iqr_outliers_grouped, sketched_fences, value_sketches
 from wattspark.operators.quantiles import quantiles
 from wattspark.operators.stats import box_stats
 
@@ -78,3 +78,20 @@ def test_split_history_equals_one_window(spark, piece):
     assert len(got) == n
     assert np.allclose(got.rolling_mean_power.to_numpy(), roll.to_numpy())
     assert np.allclose(got.power_delta.to_numpy(), delta.to_numpy())
+
+
+def test_sketched_fences_of_a_range_are_near_the_exact_ones(spark):
+    rng = np.random.default_rng(5)
+    n = 40_000
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 10 * 86_400, n), unit="s")
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], n, p=[0.9, 0.1]), "timestamp": ts, "power_watts": rng.gamma(2.0, 40.0, n)})
+    df = spark.createDataFrame(pdf).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    df = df.unionByName(spark.createDataFrame([("a", None, 1.0), ("a", None, None)], df.schema))
+    got = sketched_fences(value_sketches(df, ["g"]), ["g"], "2024-01-03", "2024-01-06").toPandas().set_index("g")
+    inside = pdf[(pdf.timestamp >= "2024-01-03") & (pdf.timestamp < "2024-01-06")]
+    for g, rows in inside.groupby("g"):
+        v = rows.power_watts.to_numpy()
+        assert got.n[g] == len(v)
+        for q, p in ((got.q1[g], 0.25), (got.q3[g], 0.75)):
+            assert abs((v <= q).mean() - p) <= SKETCH_RANK + 1 / len(v)
+    assert sketched_fences(value_sketches(df.limit(0), ["g"]), ["g"]).count() == 0
