@@ -268,8 +268,12 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def _tokens(data: bytes) -> dict[int, bytes]:
-    return {r: t for t, r in parse_ranks(data).items()}
+def _tokens(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The tokens, and where each id's token stands among them (-1: no such id)."""
+    ranks = parse_ranks(data)
+    place = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+    place[list(ranks.values())] = np.arange(len(ranks))
+    return pa.array(list(ranks), pa.binary()), place
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -292,6 +296,29 @@ def encode_array(texts: pa.Array, data: bytes, pattern: str = PATTERN) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
 
 
+def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, end to end, and where each list's values end (from 0 on); null reads as empty."""
+    ends = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(False), out=ends[1:])
+    return lists.flatten().to_numpy(False), ends
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def decode_array(lists: pa.Array, data: bytes) -> pa.Array:
+    """The bytes of each list of ids: all tokens are taken at once, and their bytes stand end to end."""
+    tokens, place = _tokens(data)
+    ids, ends = _lists(lists)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(place) or (place[ids] < 0).any()):
+        raise ValueError("an id that the vocabulary does not have")
+    taken = tokens.take(pa.array(place[ids])) if len(ids) else pa.array([], pa.binary())
+    spelt = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(pc.binary_length(taken).to_numpy(False), out=spelt[1:])
+    return _binary(spelt[ends], taken.buffers()[2] or pa.py_buffer(b""))
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", pattern: str = PATTERN) -> DataFrame:
     """Adds `out` (array of int): the ids of each whole text, without special tokens."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -300,6 +327,22 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str =
     def encode(texts: pa.Array) -> pa.Array:
         return encode_array(texts, data.value, pattern)
 
+    # The ids are never null. The expression around the step keeps Spark from nesting it into each Python
+    # step that reads the ids, which would encode every text once for each of them.
+    return docs.withColumn(out, F.coalesce(encode(text_of(text)), F.array().cast("array<int>")))
+
+
+def bpe_packed(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", pattern: str = PATTERN, dtype: str = "<u2") -> DataFrame:
+    """Adds `out` (binary): the ids of each whole text as little-endian numbers of `dtype`."""
+    data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
+        ids, ends = _lists(encode_array(texts, data.value, pattern))
+        if len(ids) and ids.max() > np.iinfo(dtype).max:
+            raise ValueError(f"an id that {dtype} can't hold")
+        return _binary(ends * np.dtype(dtype).itemsize, pa.py_buffer(ids.astype(dtype)))
+
     return docs.withColumn(out, encode(text_of(text)))
 
 
@@ -309,10 +352,9 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        token = _tokens(data.value).__getitem__
-        out = pa.array([b"".join(map(token, x.values.to_numpy(False).tolist())) if x.is_valid else b"" for x in lists], pa.binary())
+        decoded = decode_array(lists, data.value)
         give_back()
-        return out
+        return decoded
 
     return df.withColumn(out, decode(F.col(f"`{ids}`")))
 
@@ -320,4 +362,7 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
 @F.arrow_udf(T.StringType())
 def ids_sha256(lists: pa.Array) -> pa.Array:
     """Hex digest of the ids as little-endian unsigned 32-bit integers."""
-    return pa.array([hashlib.sha256(x.values.to_numpy(False).astype("<u4").tobytes() if x.is_valid else b"").hexdigest() for x in lists])
+    ids, ends = _lists(lists)
+    data = memoryview(ids.astype("<u4").tobytes())
+    cuts = (ends * 4).tolist()
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])], pa.string())
