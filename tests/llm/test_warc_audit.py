@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def content(folder):
 
     out = {}
     for x in fs.get_file_info(FileSelector(root)):
-        with fs.open_input_stream(x.path) as f:
+        with fs.open_input_stream(x.path, compression=None) as f:
             out[x.base_name] = f.read()
     return out
 
@@ -44,6 +45,7 @@ def test_records_cover_every_byte(spark):
     assert len(leaves) == len(PAGES)
     for name, data in files.items():
         own = [r for r in leaves if w.file_name(r.file_no) == name]
+        data = gzip.decompress(data)
         assert sum(r.length for r in own) == len(data) and own[0].start == 0
         for r in own:
             assert hashlib.sha256(data[r.start : r.start + r.length]).hexdigest() == r.hash
@@ -83,6 +85,35 @@ def test_broken_headers_stay_in_their_record():
     assert list(w.split_records(b"junk")) == [(0, 4, None)]
 
 
+def test_replicas_of_one_pass(spark):
+    here, there = scratch_path(spark, "replica-test"), scratch_path(spark, "replica-test")
+    made = settle(w.write_warc(pages(spark), {here: None, there: F.expr("page_id = 12")}, per_file=40)).collect()
+    assert {(r.replica, w.file_name(r.file_no)): r.bytes for r in made} == {(f, n): len(d) for f in (here, there) for n, d in content(f).items()}
+    assert content(here) == content(replica(spark, pages(spark)))
+    a, _, found = compare(spark, here, there)
+    assert found == {(r.file_no, r.idx): "differs" for r in a.collect() if r.page == "12"} != {}
+
+
+def test_damaged_members_keep_the_others_in_place():
+    records = [w.record_bytes(str(i), b"u", bytes([65 + i]) * (300 * i)) for i in range(5)]
+    stored = [w.member(r) for r in records]
+    whole = list(w.stored_records(b"".join(stored)))
+    assert [(n, p, h) for _, n, p, h in whole] == [(len(r), str(i), hashlib.sha256(r).hexdigest()) for i, r in enumerate(records)]
+    assert [s for s, *_ in whole] == [sum(map(len, records[:i])) for i in range(5)]
+    assert b"".join(gzip.decompress(m) for m in stored) == b"".join(records)
+    at_2 = len(stored[0]) + len(stored[1])
+    for place in range(len(stored[2])):
+        data = bytearray(b"".join(stored))
+        data[at_2 + place] ^= 1
+        found = list(w.stored_records(bytes(data)))
+        assert found[:2] + found[3:] == whole[:2] + whole[3:] and found[2] != whole[2]
+    assert list(w.stored_records(b"")) == []
+    cut = b"".join(stored)[:-5]
+    plain = records[0] + records[1]
+    assert [x[:3] for x in w.stored_records(plain)] == [x[:3] for x in whole[:2]]
+    assert list(w.stored_records(cut))[:4] == whole[:4] and len(list(w.stored_records(cut))) >= 5
+
+
 def test_empty_replicas(spark):
     none = pages(spark).limit(0)
     folder = scratch_path(spark, "replica-test")

@@ -28,7 +28,7 @@ class WholeFile:
         self.final = f"{root.rstrip('/')}/{name}"
         self.temporary = f"{root.rstrip('/')}/_{name}.{uuid.uuid4().hex}"
         self.fs.create_dir(root, recursive=True)
-        self.stream = self.fs.open_output_stream(self.temporary)
+        self.stream = self.fs.open_output_stream(self.temporary, compression=None)
 
     def write(self, data: bytes) -> None:
         self.stream.write(data)

@@ -76,8 +76,7 @@ DECAYED = "page_id % 97 = 13"
 def op3_warc_audit(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     here, there = scratch_path(spark, "replica"), scratch_path(spark, "replica")
-    settle(warc_audit.write_warc(pages, here))
-    settle(warc_audit.write_warc(pages, there, damage=F.expr(DECAYED)))
+    settle(warc_audit.write_warc(pages, {here: None, there: F.expr(DECAYED)}))
     a, b = (settle(warc_audit.record_leaves(spark, folder)) for folder in (here, there))
     last = warc_audit.last_numbers(a, b)
     found = warc_audit.audit(warc_audit.merkle_levels(a, *last), warc_audit.merkle_levels(b, *last))

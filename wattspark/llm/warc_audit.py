@@ -1,8 +1,10 @@
 """Merkle fixity audit of WARC replicas.
 
-`write_warc` stores pages as WARC files of bounded size. `record_leaves` reads a replica's files,
-cuts them into records and hashes each: leaves are (file, record number, offset, length, digest), and
-every byte of a file belongs to a leaf. `merkle_levels` builds the tree by rising levels: a node
+`write_warc` stores pages as WARC files, each record a gzip member of its own, so that a record can be
+read alone; several replicas are written in one pass. `record_leaves` reads a replica's files, cuts them
+into records and hashes each: leaves are (file, record number, offset, length, digest). Offsets and
+lengths are those of the records as they were before compression; a member names both of its sizes in
+its header, so the members are found, and the offsets kept, where the bytes of one are damaged. `merkle_levels` builds the tree by rising levels: a node
 hashes the ordered offset ranges and digests of up to `FAN` children, first within each file, then
 over the files, up to one root for the replica. Every level is one aggregation of groups of at most
 `FAN` rows, and is stored, so a lost executor costs one level at most.
@@ -11,6 +13,9 @@ over the files, up to one root for the replica. Every level is one aggregation o
 are joined, down to the records. An intact branch is never read below its top, and what is read
 grows with the damage and the depth, not with the archive.
 
+A damaged member is a leaf of its stored bytes under the length its header or, where that is lost, its
+trailer names. Plain records in a file are cut at their own headers.
+
 Defined cases: null urls and pages read as empty; a file or record on one side only is `missing` or
 `extra`; a damaged header that hides where a record ends joins the bytes up to the next record;
 repeated pages are repeated records; empty replicas are equal.
@@ -20,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,51 +58,93 @@ def record_bytes(page: str, url: bytes, html: bytes) -> bytes:
     return b"\r\n".join(head) + b"\r\n\r\n" + html + b"\r\n\r\n"
 
 
+# Fixed value: gzip's header with one extra field, "sl", of two sizes (stored and unpacked, four bytes each).
+_MEMBER = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x0c\x00sl\x08\x00"
+_HEAD = len(_MEMBER) + 8
+LARGEST = 2**32 - 1  # bytes of a record
+
+
+def member(record: bytes) -> bytes:
+    """The record as a gzip member that names its sizes."""
+    if len(record) > LARGEST:
+        raise ValueError("a record above 4 GB")
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    tail = struct.pack("<II", zlib.crc32(record), len(record))
+    return _MEMBER + struct.pack("<II", _HEAD + len(body) + 8, len(record)) + body + tail
+
+
+def unpacked(stored: bytes) -> bytes | None:
+    """The record of a member whose data and check sum agree, else None."""
+    try:
+        unpack = zlib.decompressobj(31)
+        record = unpack.decompress(stored)
+    except zlib.error:
+        return None
+    return record if unpack.eof and not unpack.unused_data else None
+
+
 def file_name(number: int) -> str:
-    return f"pages-{number:09d}.warc"
+    return f"pages-{number:09d}.warc.gz"
 
 
-def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", per_file: int = PER_FILE, damage: Column | None = None) -> DataFrame:
+def write_warc(
+    pages: DataFrame,
+    folder: str | dict[str, Column | None],
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    per_file: int = PER_FILE,
+    damage: Column | None = None,
+) -> DataFrame:
     """Writes the pages in the order of their key, `per_file` key numbers a file, and returns what was
-    written: file_no, bytes. Pages without a key come first, in file 0.
+    written: replica, file_no, bytes. Pages without a key come first, in file 0.
 
-    `damage` (for drills) is a boolean column: the first byte of such a page's payload is flipped after
-    its digest was taken, as a decaying disk would do.
+    `folder` is one folder, or several with the `damage` of each: the replicas of one pass. `damage` (for drills) is a
+    boolean column: the first byte of such a page's payload is flipped after its digest was taken.
     """
+    replicas = folder if isinstance(folder, dict) else {folder: damage}
     rows = pages.select(
         F.coalesce(F.floor(F.col(f"`{key}`") / per_file), F.lit(0)).cast("long").alias("file_no"),
         F.col(f"`{key}`").cast("string").alias("page"),
         F.coalesce(F.col(f"`{url}`"), F.lit("")).cast("binary").alias("url"),
         F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary").alias("html"),
-        F.coalesce(damage if damage is not None else F.lit(False), F.lit(False)).alias("bad"),
+        F.array(*(F.coalesce(d if d is not None else F.lit(False), F.lit(False)) for d in replicas.values())).alias("bad"),
         F.col(f"`{key}`").alias("at"),
     )
     rows = rows.repartition(F.col("file_no")).sortWithinPartitions("file_no", "at", "url", "html")
-    schema = T.StructType([T.StructField("file_no", T.LongType()), T.StructField("bytes", T.LongType())])
+    folders = list(replicas)
+    schema = T.StructType([T.StructField("replica", T.StringType()), T.StructField("file_no", T.LongType()), T.StructField("bytes", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, current, size = None, None, 0
-        sizes: list[tuple[int, int]] = []
+        files: list[WholeFile] = []
+        current, sizes = None, [0] * len(folders)
+        done: list[tuple[str, int, int]] = []
+
+        def close() -> None:
+            for f, where, size in zip(files, folders, sizes):
+                f.close()
+                done.append((where, current, size))
+
         for b in batches:
             columns = [b.column(c) for c in ("file_no", "page", "url", "html", "bad")]
             for number, page, url, html, bad in zip(*columns):
                 if number.as_py() != current:
-                    if file:
-                        file.close()
-                        sizes.append((current, size))
-                    current, size = number.as_py(), 0
-                    file = WholeFile(folder, file_name(current))
+                    close()
+                    current, sizes = number.as_py(), [0] * len(folders)
+                    files = [WholeFile(f, file_name(current)) for f in folders]
                 payload = html.as_py()
-                data = record_bytes(page.as_py() or "", url.as_py(), payload)
-                if bad.as_py() and payload:
-                    at = len(data) - 4 - len(payload)
-                    data = data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
-                file.write(data)
-                size += len(data)
-        if file:
-            file.close()
-            sizes.append((current, size))
-        yield pa.RecordBatch.from_pydict({"file_no": pa.array([s[0] for s in sizes], pa.int64()), "bytes": pa.array([s[1] for s in sizes], pa.int64())})
+                record = record_bytes(page.as_py() or "", url.as_py(), payload)
+                whole = member(record)
+                for i, broken in enumerate(bad.as_py()):
+                    data = whole
+                    if broken and payload:
+                        at = len(record) - 4 - len(payload)
+                        data = member(record[:at] + bytes([record[at] ^ 1]) + record[at + 1 :])
+                    files[i].write(data)
+                    sizes[i] += len(data)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done) if done else ((), (), ()), (pa.string(), pa.int64(), pa.int64()))], names=schema.names)
 
     return rows.select("file_no", "page", "url", "html", "bad").mapInArrow(write, schema)
 
@@ -116,9 +165,39 @@ def split_records(data: bytes) -> Iterator[tuple[int, int, str | None]]:
         at = stop
 
 
+def stored_records(data: bytes) -> Iterator[tuple[int, int, str | None, str]]:
+    """(offset, length, page id, digest) of each record of a stored file, in its unpacked offsets."""
+    at = start = 0
+    while at < len(data):
+        if data.startswith(_MEMBER, at) and at + _HEAD <= len(data):
+            size, length = struct.unpack_from("<II", data, at + len(_MEMBER))
+            stop = at + size
+            stored = data[at:stop]
+            record = unpacked(stored)
+            # The size is believed where the record is whole, or the next member or the end stands at the place it names.
+            if record is not None or size > _HEAD and (stop == len(data) or data.startswith(_MEMBER, stop)):
+                name = _ID.search(record, 0, record.find(b"\r\n\r\n") + 2) if record is not None else None
+                intact = record is not None and len(record) == length
+                length = length if record is None else len(record)
+                yield start, length, name[1].decode("utf-8", "replace") if name else None, hashlib.sha256(record if intact else stored).hexdigest()
+                at, start = stop, start + length
+                continue
+        stop = data.find(_MEMBER, at + 1)
+        stop = stop if stop >= 0 else len(data)
+        rest = data[at:stop]
+        if rest.startswith(_START):
+            for s, n, name in split_records(rest):
+                yield start + s, n, name, hashlib.sha256(rest[s : s + n]).hexdigest()
+            length = len(rest)
+        else:
+            length = struct.unpack("<I", rest[-4:])[0] if len(rest) > _HEAD else len(rest)
+            yield start, length, None, hashlib.sha256(rest).hexdigest()
+        at, start = stop, start + length
+
+
 def record_leaves(spark: SparkSession, folder: str) -> DataFrame:
     """file_no, idx, start, length, page, hash: the records of all files of a replica."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "pages-*.warc").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "pages-*.warc.gz").load(folder).select("path", "content")
     schema = T.StructType(
         [
             T.StructField("file_no", T.LongType()),
@@ -134,10 +213,9 @@ def record_leaves(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0), b.column(1)):
                 number = int(re.search(r"pages-(\d+)\.warc", path.as_py())[1])
-                data = content.as_py()
                 rows = [
-                    {"file_no": number, "idx": i, "start": s, "length": n, "page": p, "hash": hashlib.sha256(data[s : s + n]).hexdigest()}
-                    for i, (s, n, p) in enumerate(split_records(data))
+                    {"file_no": number, "idx": i, "start": s, "length": n, "page": p, "hash": h}
+                    for i, (s, n, p, h) in enumerate(stored_records(content.as_py()))
                 ]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([(f.name, pa.string() if f.dataType == T.StringType() else pa.int64()) for f in schema]))
 
