@@ -6,10 +6,11 @@ documents, with the block's terms and, for each term, the ascending positions at
 lie, so no posting is shuffled and no term gathers in one task; a later benchmark searches the
 stored index without reading the texts again.
 
-`search_index` looks every test phrase up in every block: the posting lists of its words are shifted
-by their place in the phrase and intersected from the rarest word on, so most phrases end after one
-or two short lists. What is left are the exact starts of the phrase. With `slop` > 0 proximity
-matches are found as well: each word may stand up to `slop` positions from its place.
+`search_index` looks the test phrases up in every block: those with a word that the block does not have
+leave at once, the others are kept under their rarest word there, and the posting lists of their words,
+shifted by their place in the phrase, are intersected from that word on, for many phrases in one array
+step. What is left are the exact starts of the phrases. With `slop` > 0 proximity matches are found as
+well: each word may stand up to `slop` positions from its place; the same lists tell the exact ones.
 
 The phrases are broadcast in slices of at most `SLICE_BYTES` of benchmark text, one pass over the
 index per slice, so a benchmark of any size keeps bounded tasks.
@@ -27,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from wattspark.llm.common import free_name, give_back, text_of
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+WORD_BYTES = 7  # of text, a word with what stands around it
+STEP_PLACES = 1_000_000  # places looked at in one array step
 SLICE_BYTES = 8_000_000
 
 # Words are runs of a-z, 0-9 and everything beyond ASCII, after lower-casing A-Z.
@@ -55,96 +59,151 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def phrases_of(items: list[tuple[str, bytes]], window: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Distinct phrases and the items they come from."""
-    phrases: dict[tuple[bytes, ...], list[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            owners = phrases.setdefault(tuple(words[i : i + window]), [])
-            if item not in owners:
-                owners.append(item)
-    return phrases
+class Phrases:
+    """The distinct phrases of some items, as rows of term numbers, and the items each comes from."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        owners: dict[tuple[bytes, ...], list[str]] = {}
+        for item, text in items:
+            words = words_of(text)
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                of = owners.setdefault(tuple(words[i : i + window]), [])
+                if item not in of:
+                    of.append(item)
+        self.items = list(owners.values())
+        self.terms = list(dict.fromkeys(w for p in owners for w in p))
+        number = {t: i for i, t in enumerate(self.terms)}
+        self.sizes = np.array([len(p) for p in owners], np.int64)
+        self.words = np.full((len(owners), int(self.sizes.max(initial=1))), -1, np.int64)  # -1: no word
+        for row, p in zip(self.words, owners):
+            row[: len(p)] = [number[w] for w in p]
 
 
 class Postings:
     """The positional postings of one block: term -> ascending positions."""
 
-    def __init__(self, terms: list[bytes], starts: np.ndarray, positions: np.ndarray, doc_starts: np.ndarray):
-        self.starts, self.positions, self.doc_starts = starts, positions, doc_starts
-        self.term = {t: i for i, t in enumerate(terms)}
+    def __init__(self, terms: pa.Array, starts: np.ndarray, positions: np.ndarray, doc_starts: np.ndarray):
+        self.terms, self.starts, self.positions, self.doc_starts = terms, starts.astype(np.int64), positions, doc_starts
 
     @classmethod
-    def of(cls, docs: list[list[bytes]], only: set[bytes] | None = None) -> Postings:
-        """Postings of the documents' words, or of the words in `only`."""
-        lengths = np.array([len(d) for d in docs], np.int64)
-        doc_starts = np.zeros(len(docs) + 1, np.int64)
-        np.cumsum(lengths, out=doc_starts[1:])
-        if only is None:
-            terms = list(set().union(*docs))
-        else:
-            terms = list(only)
-        number = {t: i for i, t in enumerate(terms)}
-        if only is None:
-            codes = np.fromiter((number[w] for d in docs for w in d), np.int32, int(doc_starts[-1]))
-            at = np.argsort(codes, kind="stable").astype(np.int32)
-            counts = np.bincount(codes, minlength=len(terms))
-        else:
-            codes = np.fromiter((number.get(w, -1) for d in docs for w in d), np.int32, int(doc_starts[-1]))
-            held = np.flatnonzero(codes >= 0)
-            at = held[np.argsort(codes[held], kind="stable")].astype(np.int32)
-            counts = np.bincount(codes[held], minlength=len(terms))
-        starts = np.zeros(len(terms) + 1, np.int64)
-        np.cumsum(counts, out=starts[1:])
-        return cls(terms, starts, at, doc_starts)
-
-    def list_of(self, term: bytes) -> np.ndarray | None:
-        i = self.term.get(term)
-        if i is None or self.starts[i] == self.starts[i + 1]:
-            return None
-        return self.positions[self.starts[i] : self.starts[i + 1]]
-
-    def find(self, phrase: tuple[bytes, ...], slop: int = 0) -> np.ndarray:
-        """Starts in the block at which every word stands within `slop` of its place."""
-        lists = []
-        for k, word in enumerate(phrase):
-            own = self.list_of(word)
-            if own is None:
-                return np.empty(0, np.int64)
-            lists.append((len(own), k, own))
-        lists.sort(key=lambda x: x[:2])
-        _, k, rarest = lists[0]
-        starts = rarest.astype(np.int64) - k
-        if slop:
-            starts = np.unique((starts[:, None] + np.arange(-slop, slop + 1)).ravel())
-        starts = starts[(starts >= 0) & (starts + len(phrase) <= self.doc_starts[-1])]
-        doc = np.searchsorted(self.doc_starts, starts, "right") - 1
-        starts, doc = (x[starts + len(phrase) <= self.doc_starts[doc + 1]] for x in (starts, doc))
-        first, last = self.doc_starts[doc], self.doc_starts[doc + 1] - 1
-        for _, k, own in lists if slop else lists[1:]:
-            if not len(starts):
-                return starts
-            i = np.searchsorted(own, np.maximum(starts + (k - slop), first))
-            held = (i < len(own)) & (own[np.minimum(i, len(own) - 1)] <= np.minimum(starts + (k + slop), last))
-            starts, first, last = starts[held], first[held], last[held]
-        return starts
-
-    def matches(self, phrases: dict[tuple[bytes, ...], list[str]], slop: int) -> list[list[tuple]]:
+    def of(cls, texts: pa.Array) -> Postings:
+        """Postings of all words of the texts (binary, no nulls)."""
+        offsets, data = texts.buffers()[1:]
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        first = int(offsets[0])
+        # One byte stays one byte, so the texts keep their places; a word ends with its text.
+        plain = bytes(data)[first : int(offsets[-1])].translate(_WORDS) if data is not None else b""
+        letters = np.frombuffer(plain, np.uint8) != 32
+        before = np.zeros(len(letters), bool)
+        before[1:] = letters[:-1]
+        edges = offsets.astype(np.int64) - first
+        before[edges[:-1][edges[:-1] < len(letters)]] = False
+        begins = np.flatnonzero(letters & ~before)
+        after = np.zeros(len(letters), bool)
+        after[:-1] = letters[1:] & before[1:]
+        ends = np.flatnonzero(letters & ~after) + 1
+        doc_starts = np.searchsorted(begins, edges).astype(np.int64)
+        words = _slices(plain, begins, ends).dictionary_encode()
+        codes = words.indices.to_numpy(False)
+        at = np.argsort(codes, kind="stable").astype(np.int32)
+        starts = np.zeros(len(words.dictionary) + 1, np.int64)
+        np.cumsum(np.bincount(codes, minlength=len(words.dictionary)), out=starts[1:])
+        return cls(words.dictionary, starts, at, doc_starts)
+
+    def candidates(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The phrases all of whose words stand in the block, the words' terms here, and the order of the words by rarity."""
+        here = pc.index_in(pa.array(phrases.terms, self.terms.type), self.terms).fill_null(-1).to_numpy(False).astype(np.int64)
+        word = phrases.words >= 0
+        term = np.where(word, here[phrases.words], -1) if len(here) else phrases.words
+        held = np.flatnonzero(((term >= 0) | ~word).all(axis=1))
+        term, word = term[held], word[held]
+        counts = np.where(word, np.diff(self.starts)[term], np.iinfo(np.int64).max) if len(held) else term
+        return held, term, np.argsort(counts, axis=1, kind="stable")
+
+    def find(self, phrases: Phrases, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(phrase, start in the block, exact) of all places at which every word of a phrase stands within
+        `slop` of its own; in pieces of about `STEP_PLACES` places to look at."""
+        held, term, order = self.candidates(phrases)
+        if not len(held):
+            return
+        rarest = term[np.arange(len(held)), order[:, 0]]
+        counts = np.diff(self.starts)[rarest]
+        # Postings as one rising list of numbers: a term's own range, then the position in the block.
+        width = int(self.doc_starts[-1]) + 1
+        lists = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)) * width + self.positions
+        step = np.cumsum(counts * (2 * slop + 1)) // STEP_PLACES
+        for rows in np.split(np.arange(len(held)), np.flatnonzero(np.diff(step)) + 1):
+            n = counts[rows]
+            row = np.repeat(rows, n)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            starts = self.positions[self.starts[rarest[row]] + within] - order[row, 0]
+            if slop:
+                # A start near two places of the rarest word counts once.
+                moved = (row[:, None] * (width + 4 * (slop + len(order[0]))) + starts[:, None] + 2 * (slop + len(order[0])) + np.arange(-slop, slop + 1)).ravel()
+                moved = np.unique(moved)
+                row, starts = np.divmod(moved, width + 4 * (slop + len(order[0])))
+                starts -= 2 * (slop + len(order[0]))
+            size = phrases.sizes[held[row]]
+            inside = (starts >= 0) & (starts + size <= self.doc_starts[-1])
+            row, starts, size = row[inside], starts[inside], size[inside]
+            doc = np.searchsorted(self.doc_starts, starts, "right") - 1
+            inside = starts + size <= self.doc_starts[doc + 1]
+            row, starts, doc = row[inside], starts[inside], doc[inside]
+            exact = np.ones(len(row), bool)
+            first, last = self.doc_starts[doc], self.doc_starts[doc + 1] - 1
+            for j in range(0 if slop else 1, order.shape[1]):
+                if not len(row):
+                    break
+                k = order[row, j]
+                t = term[row, k]
+                base = t * width
+                i = np.searchsorted(lists, base + np.maximum(starts + k - slop, first))
+                near = (i < len(lists)) & (lists[np.minimum(i, len(lists) - 1)] <= base + np.minimum(starts + k + slop, last))
+                none = t < 0  # a shorter phrase has no such word
+                if slop:
+                    i = np.searchsorted(lists, base + starts + k)
+                    exact &= none | ((i < len(lists)) & (lists[np.minimum(i, len(lists) - 1)] == base + starts + k))
+                near |= none
+                row, starts, first, last, exact = row[near], starts[near], first[near], last[near], exact[near]
+            if len(row):
+                yield held[row], starts, exact
+
+    def matches(self, phrases: Phrases, slop: int) -> list[list[tuple]]:
         """For each document of the block: (item, start in the document, length, exact)."""
         out: list[dict[tuple, bool]] = [{} for _ in range(len(self.doc_starts) - 1)]
-        for phrase, items in phrases.items():
-            found = self.find(phrase, slop)
-            if not len(found):
-                continue
-            exact = set(self.find(phrase).tolist()) if slop else None
-            docs = np.searchsorted(self.doc_starts, found, "right") - 1
-            for s, d in zip(found.tolist(), docs.tolist()):
-                for item in items:
-                    at = (item, s - int(self.doc_starts[d]), len(phrase))
-                    out[d][at] = out[d].get(at, False) or exact is None or s in exact
+        for which, starts, exact in self.find(phrases, slop):
+            docs = np.searchsorted(self.doc_starts, starts, "right") - 1
+            places = starts - self.doc_starts[docs]
+            for p, s, d, e in zip(which.tolist(), places.tolist(), docs.tolist(), exact.tolist()):
+                for item in phrases.items[p]:
+                    at = (item, s, int(phrases.sizes[p]))
+                    out[d][at] = out[d].get(at, False) or e
         return [[(*at, exact) for at, exact in row.items()] for row in out]
 
 
+def _slices(data: bytes, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces data[begin:end], which rise and leave gaps, as a binary array."""
+    sizes = ends - begins
+    offsets = np.zeros(len(begins) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    # Bytes between words are blanks, words have none.
+    joined = data.translate(None, b" ")
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(joined)])
+
+
+def blocks_of(texts: pa.Array, block_words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts whose bytes, at `WORD_BYTES` a word, are about a block; a longer text is its own."""
+    sizes = pc.binary_length(texts).to_numpy(False).tolist()
+    a, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > a and held + size > block_words * WORD_BYTES:
+            yield a, i
+            a, held = i, 0
+        held += size
+    if sizes:
+        yield a, len(sizes)
+
+
 def _arrow(rows: list[list[tuple]]) -> pa.Array:
     names = ("item_id", "start", "length", "exact")
     return pa.array([[dict(zip(names, m)) for m in row] for row in rows], _MATCHES)
@@ -172,37 +231,34 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         ]
     )
 
-    def row(keys: list, texts: list[list[bytes]], key_type: pa.DataType) -> pa.RecordBatch:
+    def row(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         p = Postings.of(texts)
-        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        numbers = lambda values: one(pa.array(values.astype(np.int32)))
         return pa.RecordBatch.from_arrays(
-            [
-                one(keys, key_type),
-                one([len(t) for t in texts], pa.int32()),
-                one(list(p.term), pa.binary()),
-                one(p.starts.astype(np.int32), pa.int32()),
-                one(p.positions, pa.int32()),
-            ],
-            names=schema.names,
+            [one(keys), numbers(np.diff(p.doc_starts)), one(p.terms), numbers(p.starts), numbers(p.positions)], names=schema.names
         )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list = []
-        texts: list[list[bytes]] = []
-        held = 0
-        key_type = pa.null()
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for k, t in zip(batch.column(0), batch.column(1)):
-                words = words_of(t.as_py() or b"")
-                if texts and held + len(words) > block_words:
-                    yield row(keys, texts, key_type)
-                    keys, texts, held = [], [], 0
-                keys.append(k.as_py())
-                texts.append(words)
-                held += len(words)
-        if texts:
-            yield row(keys, texts, key_type)
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], names=["k", "t"])
+            # Whole batches are gathered up to a block; one larger than a block is cut.
+            own = pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+            if held and size + own > block_words * WORD_BYTES:
+                yield from done(held)
+                held, size = [], 0
+            held.append(batch)
+            size += own
+        yield from done(held)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            keys, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+            for a, b in blocks_of(texts, block_words):
+                yield row(keys[a:b], texts[a:b])
+            give_back()
 
     return source.mapInArrow(blocks, schema)
 
@@ -214,7 +270,7 @@ def _search_blocks(phrases: Broadcast, slop: int):
         for n, t, s, p in zip(lengths, terms, starts, positions):
             doc_starts = np.zeros(len(n.values) + 1, np.int64)
             np.cumsum(n.values.to_numpy(False), out=doc_starts[1:])
-            block = Postings(t.values.to_pylist(), s.values.to_numpy(False), p.values.to_numpy(False), doc_starts)
+            block = Postings(t.values, s.values.to_numpy(False), p.values.to_numpy(False), doc_starts)
             rows.append(_arrow(block.matches(phrases.value, slop)))
         ends = np.zeros(len(rows) + 1, np.int32)
         np.cumsum([len(r) for r in rows], out=ends[1:])
@@ -226,19 +282,10 @@ def _search_blocks(phrases: Broadcast, slop: int):
 def _search_texts(phrases: Broadcast, slop: int):
     @F.arrow_udf(T.ArrayType(MATCH))
     def search(texts: pa.Array) -> pa.Array:
-        only = set().union(*phrases.value) if phrases.value else set()
+        texts = texts.cast(pa.binary())
         rows: list[list[tuple]] = []
-        run: list[list[bytes]] = []
-        held = 0
-        for t in texts.cast(pa.binary()):
-            run.append(words_of(t.as_py() or b""))
-            held += len(run[-1])
-            if held >= BLOCK_WORDS:
-                rows += Postings.of(run, only).matches(phrases.value, slop)
-                run, held = [], 0
-        if run:
-            rows += Postings.of(run, only).matches(phrases.value, slop)
-        del run
+        for a, b in blocks_of(texts, BLOCK_WORDS):
+            rows += Postings.of(texts[a:b]).matches(phrases.value, slop)
         give_back()
         return _arrow(rows)
 
@@ -248,7 +295,7 @@ def _search_texts(phrases: Broadcast, slop: int):
 def search_index(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """One row per indexed document: doc_key, n_words, matches (item_id, start, length, exact)."""
     spark = index.sparkSession
-    parts = [_search_blocks(spark.sparkContext.broadcast(phrases_of(items, window)), slop) for items in benchmark_slices(benchmark, item, text)]
+    parts = [_search_blocks(spark.sparkContext.broadcast(Phrases(items, window)), slop) for items in benchmark_slices(benchmark, item, text)]
     found = [part("n_words", "terms", "starts", "positions") for part in parts]
     m = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: F.concat(p, q)), found)
     return index.select("doc_keys", "n_words", m.alias("matches")).select(
@@ -259,11 +306,10 @@ def search_index(index: DataFrame, benchmark: DataFrame, item: str = "item_id",
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "matches", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """`docs` with the array `out` of its matches, every row judged on its own text.
 
-    The same postings are built for each batch of rows, for the words of the phrases only, and are
-    not stored; rows need no key and nothing is shuffled.
+    The same postings are built for each batch of rows and are not stored; rows need no key and nothing is shuffled.
     """
     spark = docs.sparkSession
-    parts = [_search_texts(spark.sparkContext.broadcast(phrases_of(items, window)), slop) for items in benchmark_slices(benchmark, item, item_text)]
+    parts = [_search_texts(spark.sparkContext.broadcast(Phrases(items, window)), slop) for items in benchmark_slices(benchmark, item, item_text)]
     found = [part(text_of(text)) for part in parts]
     return docs.withColumn(out, found[0] if len(found) == 1 else F.concat(*found))
 
