@@ -57,9 +57,8 @@ TOKEN_END, TOKEN_PAD = 0xFFFF, 0xFFFE
 
 def training_shards(docs: DataFrame, folder: str) -> DataFrame:
     """Shards of the documents' byte-level BPE ids, two bytes each."""
-    coded = bpe.bpe_encode(docs, vocabulary(), pattern=public_tokenizers.PATTERN)
     # Stored, the ids are made once and read by both passes.
-    tokens = training_order.packed_tokens(coded, "ids").select("doc_id", "tokens")
+    tokens = bpe.bpe_packed(docs, vocabulary(), pattern=public_tokenizers.PATTERN).select("doc_id", "tokens")
     return training_order.write_shards(tokens, folder, key="training order 1", itemsize=2, end=TOKEN_END, pad=TOKEN_PAD, stage=True)
 
 

@@ -10,7 +10,7 @@
    as one file of equal records. Slot s lies in shard s // per_shard at byte
    (s % per_shard) * length * itemsize, so reading is sequential and resumes at any slot by a seek.
 
-Tokens travel once, in the shuffle to their shard. A file appears under its name only when complete,
+Tokens travel once, in the shuffle to their shard, and each record is compressed for that way. A file appears under its name only when complete,
 so tries repeated after a lost executor are harmless. If the layout of the input changes between the
 two passes the write stops with an error; `stage=True` stores the tokens first and can't meet this.
 
@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattspark.llm.files import WholeFile, open_folder
-from wattspark.operators.common import settle
+from wattspark.operators.common import scratch_path
 
 LENGTH = 1024
 PER_SHARD = 16_384
@@ -103,7 +104,9 @@ def write_shards(
     (the ids of the documents in it, in order), sha256 of the record."""
     source = df.select(F.col(f"`{doc}`").alias("d"), F.coalesce(F.col(f"`{tokens}`"), F.lit(b"")).alias("t"))
     if stage:
-        source = settle(source)
+        path = scratch_path(df.sparkSession, "tokens")
+        source.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+        source = df.sparkSession.read.schema(source.schema).parquet(path)
     totals = source.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("t") / itemsize + 1).cast("long").alias("n"))
     # One row per input partition.
     counted = {r.p: -(-r.n // length) for r in totals.collect()}
@@ -133,6 +136,7 @@ def write_shards(
         at, last = first.get(p, 0), first.get(p, 0) + counted.get(p, 0)
         held, owners = bytearray(), []
         done: list[tuple[bytes, int, list]] = []
+        shrink = zstandard.ZstdCompressor(level=3).compress
 
         def batch() -> pa.RecordBatch:
             nonlocal at, done
@@ -146,7 +150,7 @@ def write_shards(
                     pa.array(s, pa.int64()),
                     pa.array([x[1] for x in done], pa.int32()),
                     pa.array([x[2] for x in done], pa.list_(kind)),
-                    pa.array([x[0] for x in done], pa.binary()),
+                    pa.array([shrink(x[0]) for x in done], pa.binary()),
                 ],
                 names=packed_schema.names,
             )
@@ -190,6 +194,7 @@ def write_shards(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, current = None, -1
+        restore = zstandard.ZstdDecompressor().decompress
         # A task writes one shard: every slot of it, in order, or the layout has changed since the count.
         own, (_, _, n) = TaskContext.get().partitionId(), starts.value
         due, last = own * per_shard, min((own + 1) * per_shard, n)
@@ -201,7 +206,7 @@ def write_shards(
                 due += 1
                 if shard != current:
                     file, current = WholeFile(folder, shard_name(shard)), shard
-                data = record.as_py()
+                data = restore(record.as_py())
                 file.write(data)
                 digests.append(hashlib.sha256(data).hexdigest())
             slot = b.column("slot")
