@@ -65,6 +65,16 @@ def test_weak_parts_alone_are_not_reported():
     assert c.spans_of("user_id=alice77" + " x" * 500 + f" {secret}") == []
 
 
+def test_weak_parts_keep_out_of_every_base_span():
+    # The hex span ends early inside the assign span; the run behind it is still covered.
+    text = "token=0123456789abcdef01234567.Zx9Qw7Er5Ty3Ui1Op8As6Df4Gh2 https://api.x.io/v1"
+    assert [k for _, k, _ in c.spans_of(text)] == [0, 2]
+    for t in texts()[:3000]:
+        base = c.base_spans(t)
+        for s, _, e in c.weak_spans(t, base):
+            assert all(e <= s2 or e2 <= s for s2, _, e2 in base)
+
+
 def test_many_parts_are_swept_once():
     text = "user_id=alice77 aBc123XyZ789pQr456StU " * 20000
     assert len(c.spans_of(text)) == 40000

@@ -20,6 +20,7 @@ import bisect
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,7 +78,9 @@ def random_looking(run: str) -> bool:
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     taken = sorted((s, e) for s, _, e in base)
-    free = lambda s, e: not ((i := bisect.bisect_left(taken, (e, 0))) and taken[i - 1][1] > s)
+    # The furthest end among the base spans up to each: a short span may follow inside a longer one.
+    reach = list(accumulate((e for _, e in taken), max))
+    free = lambda s, e: not ((i := bisect.bisect_left(taken, (e, 0))) and reach[i - 1] > s)
     found = []
     if _separators(text) or "A" in text:
         found += [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
