@@ -49,13 +49,33 @@ def test_tail_is_exact():
             assert abs(quality.tail(k, n, p) - want) < 1e-12
 
 
-def test_certified_cutoff():
-    # 0, 0, 40 of 4000 good rejected: the third candidate cannot be certified at 0.5 %.
-    assert quality.certify([0, 0, 40], [10, 25, 90], 4000, 0.005, 0.001) == 1
-    assert quality.certify([0, 0, 0], [5, 5, 5], 4000, 0.005, 0.001) == 0  # the most lenient of equal ones
-    assert quality.certify([0, 0, 0], [5, 6, 7], 100, 0.005, 0.001) == -1  # too few labels
-    assert quality.certify([0], [5], 0, 0.005, 0.001) == -1
-    assert quality.certify([1, 3], [1, 2], 4000, 0.005, 0.001) == -1  # more good than bad documents
+def test_certified_step():
+    # 0, 0, 40 of 4000 good rejected: the third step cannot be certified at 0.5 %.
+    assert quality.certified([0, 0, 40], 4000, 0.005, 0.001) == 1
+    assert quality.certified([0, 40, 0], 4000, 0.005, 0.001) == 0  # stops at the first failure
+    assert quality.certified([0, 0, 0], 100, 0.005, 0.001) == -1  # too few labels
+    assert quality.certified([0], 0, 0.005, 0.001) == -1
+
+
+def test_least_labels():
+    n = quality.least_labels(0.02, 0.05 / 4)
+    assert n == 217
+    assert quality.certified([0], n, 0.02, 0.05 / 4) == 0
+    assert quality.certified([0], n - 1, 0.02, 0.05 / 4) == -1
+
+
+def test_most_useful_cutoff():
+    assert quality.most_useful([0, 0, 40], [10, 25, 50]) == 1
+    assert quality.most_useful([0, 0, 0], [5, 5, 5]) == 0  # the most lenient of equal ones
+    assert quality.most_useful([1, 3], [1, 2]) == -1  # more good than bad documents
+    assert quality.most_useful([], []) == -1
+
+
+def test_steps_tighten_every_rule_to_its_end():
+    for rule, (_, cuts) in quality.RULES.items():
+        places = [quality.place(rule, t) for t in range(quality.STEPS)]
+        assert places == sorted(places) and places[0] == 0 and places[-1] == len(cuts) - 1
+        assert cuts == sorted(cuts, reverse=True)
 
 
 def plain_verdicts(rows, labels, alpha=0.02, delta=0.05):
@@ -70,14 +90,21 @@ def plain_verdicts(rows, labels, alpha=0.02, delta=0.05):
     for s in strata:
         own = [(c[2], good) for c, good in held if c[0] == s]
         n = sum(good for _, good in own)
+        corner = None
+        for t in range(9):
+            joint = {rule: cuts[math.ceil((t + 1) * len(cuts) / 9) - 1] for rule, (_, cuts) in quality.RULES.items()}
+            g = sum(any(v[rule] > joint[rule] for rule in joint) for v, good in own if good)
+            p = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log(1 - alpha)) for i in range(g + 1))
+            if n == 0 or p > delta / len(strata):
+                break
+            corner = joint
         for rule, (_, cuts) in quality.RULES.items():
             best = 0
             for cut in cuts:
+                if corner is None or cut < corner[rule]:
+                    break
                 g = sum(v[rule] > cut for v, good in own if good)
                 b = sum(v[rule] > cut for v, good in own if not good)
-                p = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha / 4) + (n - i) * math.log(1 - alpha / 4)) for i in range(g + 1))
-                if n == 0 or p > delta / (4 * len(strata)):
-                    break
                 if b - g > best:
                     best, cutoffs[s, rule] = b - g, cut
     return {k: not bad and not any(v[r] > cutoffs.get((lang, r), math.inf) for r in quality.RULES) for k, (lang, bad, v) in counts.items()}
@@ -109,6 +136,24 @@ def test_verdicts_against_brute_force(spark):
     assert sum(want[k] for k in good) / len(good) > 0.98
 
 
+def test_small_strata_certify(spark):
+    """Strata of 250 good labels: the bad documents go, and at most a fiftieth of the good ones."""
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        good = i % 6 > 0
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+        rows.append((i, "abcd"[i // 6 % 4], " ".join(words if good else [w + "#" * r.randint(0, 3) for w in words])))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {x.doc_id: x.kept for x in quality.quality_verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got == plain_verdicts(rows, labels)
+    for s in "abcd":
+        own = [(i, q) for i, q in labels if rows[i][1] == s]
+        assert not any(got[i] for i, q in own if not q)
+        assert sum(got[i] for i, q in own if q) >= 0.98 * sum(q for _, q in own)
+
+
 def test_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "aa", "w " * 60), (3, "aa", " ".join(map(str, range(60))))], "doc_id long, lang string, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -2,15 +2,19 @@
 
 Every document is measured once (`measure`). A rule rejects a document when one of its measures
 lies beyond a cutoff. The cutoffs are not set by hand: for each stratum (by default the language)
-and each rule, a fixed list of candidate cutoffs is tested on the labelled documents, from the most
-lenient to the strictest. A candidate is certified when the exact binomial test rejects "this cutoff
-rejects more than `alpha / rules` of the good documents" at the level `delta / (rules * strata)`;
-the chain stops at its first failure (fixed-sequence testing), which keeps the family-wise error
-of a chain at its level, and the Bonferroni split over chains keeps the error of all of them at
-`delta`. So, with confidence 1 - delta, no stratum loses more than `alpha` of its good documents to
-the rules. Among certified cutoffs the most lenient with the largest surplus of labelled bad over
-labelled good rejections is kept, so a rule that mostly hits good documents stays unused. A stratum with too few labels certifies nothing and
-rejects nothing.
+one fixed sequence of joint cutoffs, all rules together, is tested on the labelled documents from the
+most lenient to the strictest (`STEPS` steps; at each, a rule stands at the same share of its list of
+candidates). A step is certified when the exact binomial test rejects "this step rejects more than
+`alpha` of the good documents" at the level `delta / strata`; the sequence stops at its first failure
+(fixed-sequence testing), which keeps the family-wise error of a stratum at its level, and the
+Bonferroni split over strata keeps the error of all of them at `delta`. So, with confidence
+1 - delta, no stratum loses more than `alpha` of its good documents to the rules.
+
+Cutoffs no stricter than a certified step's reject no document that the step keeps, so the guarantee
+covers every choice among them, also one made on the same labels: each rule takes the most lenient
+candidate up to that step with the largest surplus of labelled bad over labelled good rejections, and
+a rule without a surplus stays unused. A stratum needs `least_labels(alpha, delta / strata)` good labels (217 with the
+defaults and four strata) to certify anything; with fewer it rejects nothing beyond the base rule.
 
 The labelled documents are counted, not collected: rows shrink to (stratum, rule, candidate) counts
 with map-side aggregation; the search for cutoffs reads at most `candidates` rows per rule and runs
@@ -26,6 +30,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -49,6 +55,14 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35]),
     "word_length": ("word_chars / greatest(n_words, 1)", [20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0]),
 }
+STEPS = max(len(cuts) for _, cuts in RULES.values())
+JOINT = "joint"  # the name of the sequence of joint cutoffs among the counts
+
+
+def place(rule: str, step: int) -> int:
+    """Index of the rule's candidate at a step of the joint sequence."""
+    n = len(RULES[rule][1])
+    return -(-(step + 1) * n // STEPS) - 1
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -119,12 +133,25 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(map(math.exp, logs)))
 
 
-def certify(good: list[int], bad: list[int], n_good: int, risk: float, level: float) -> int:
-    """Index of the chosen candidate, or -1. good, bad: rejected at each, from lenient to strict."""
-    best, gain = -1, 0
-    for i, (g, b) in enumerate(zip(good, bad)):
+def least_labels(risk: float, level: float) -> int:
+    """The least number of good labels with which a step that rejects none of them is certified."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def certified(good: list[int], n_good: int, risk: float, level: float) -> int:
+    """Index of the last certified step, or -1. good: good documents rejected at each step, lenient first."""
+    last = -1
+    for g in good:
         if n_good == 0 or tail(g, n_good, risk) > level:
             break
+        last += 1
+    return last
+
+
+def most_useful(good: list[int], bad: list[int]) -> int:
+    """Index of the most lenient candidate with the largest surplus of bad over good, or -1 without one."""
+    best, gain = -1, 0
+    for i, (g, b) in enumerate(zip(good, bad)):
         if b - g > gain:
             best, gain = i, b - g
     return best
@@ -140,10 +167,13 @@ def calibrate(
     """
     known = labels.where(F.col("quality").isNotNull()).select(F.col(key), (F.col("quality") > 0).alias("_good"))
     # n: how many of the rule's cutoffs lie below the measure; these, the strictest n, reject the document.
+    # So do the strictest n steps of the joint sequence.
     beyond = [
         F.struct(F.lit(r).alias("rule"), sum(((rule_value(r, m) > c).cast("int") for c in cuts), F.lit(0)).alias("n"))
         for r, (_, cuts) in RULES.items()
     ]
+    joint = [reduce(or_, (rule_value(r, m) > cuts[place(r, t)] for r, (_, cuts) in RULES.items())) for t in range(STEPS)]
+    beyond.append(F.struct(F.lit(JOINT).alias("rule"), sum((hit.cast("int") for hit in joint), F.lit(0)).alias("n")))
     counts = (
         measured.where(~base_failed(m))
         .join(known, key)
@@ -155,12 +185,17 @@ def calibrate(
     schema = T.StructType([T.StructField("stratum", T.StringType())] + [T.StructField(r, T.DoubleType()) for r in RULES])
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        level = delta / (len(RULES) * int(part["strata"].iloc[0]))
+        def rejected(rule: str, quality: str, n: int) -> list[int]:
+            own = part[part["rule"] == rule]
+            return [int(own.loc[own["n"] >= n - i, quality].sum()) for i in range(n)]
+
+        n_good = int(part.loc[part["rule"] == JOINT, "good"].sum())
+        last = certified(rejected(JOINT, "good", STEPS), n_good, alpha, delta / int(part["strata"].iloc[0]))
         row: dict = {"stratum": part["stratum"].iloc[0]}
         for rule, (_, cuts) in RULES.items():
-            own = part[part["rule"] == rule]
-            good, bad = ([int(own.loc[own["n"] >= len(cuts) - i, c].sum()) for i in range(len(cuts))] for c in ("good", "bad"))
-            chosen = certify(good, bad, int(own["good"].sum()), alpha / len(RULES), level)
+            open_to = place(rule, last) + 1 if last >= 0 else 0
+            good, bad = (rejected(rule, q, len(cuts))[:open_to] for q in ("good", "bad"))
+            chosen = most_useful(good, bad)
             row[rule] = cuts[chosen] if chosen >= 0 else None
         return pd.DataFrame([row], columns=schema.names).astype({r: "float64" for r in RULES})
 
