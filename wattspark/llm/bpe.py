@@ -282,10 +282,11 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode_array(texts: pa.Array, data: bytes, pattern: str = PATTERN) -> pa.Array:
+def encode_array(texts: pa.Array, data: bytes, pattern: str = PATTERN, block_bytes: int | None = None) -> pa.Array:
+    """The ids of each text. A larger block replays fewer pieces again, and takes more memory."""
     encoder = _encoder(data, pattern)
     lengths = pc.binary_length(texts).fill_null(0).to_numpy(False).astype(np.int64)
-    block = (np.cumsum(lengths) - lengths) // BLOCK_BYTES
+    block = (np.cumsum(lengths) - lengths) // (block_bytes or BLOCK_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)] if len(texts) else [0]
     parts, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
     for a, b in zip(cuts, cuts[1:]):
@@ -332,13 +333,15 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str =
     return docs.withColumn(out, F.coalesce(encode(text_of(text)), F.array().cast("array<int>")))
 
 
-def bpe_packed(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", pattern: str = PATTERN, dtype: str = "<u2") -> DataFrame:
+def bpe_packed(
+    docs: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", pattern: str = PATTERN, dtype: str = "<u2", block_bytes: int = 4 * BLOCK_BYTES
+) -> DataFrame:
     """Adds `out` (binary): the ids of each whole text as little-endian numbers of `dtype`."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        ids, ends = _lists(encode_array(texts, data.value, pattern))
+        ids, ends = _lists(encode_array(texts, data.value, pattern, block_bytes))
         if len(ids) and ids.max() > np.iinfo(dtype).max:
             raise ValueError(f"an id that {dtype} can't hold")
         return _binary(ends * np.dtype(dtype).itemsize, pa.py_buffer(ids.astype(dtype)))
