@@ -765,6 +765,31 @@ add(
     FROM tel GROUP BY ALL""",
     d="avg_power", i="n", t="bucket", with_="tel",
 )
+# The same sums in SQL: bins of each group's range, then a kernel at every bin's mean.
+add(
+    "host_type_density", lambda s, f: stats.host_type_density(telf(s, f)),
+    """WITH shape AS (SELECT hostname, gpu_type, count(*) AS n, min(power_watts) AS mn, max(power_watts) AS mx,
+        stddev_samp(power_watts) * power(count(*), -0.2::DOUBLE) AS h FROM timed GROUP BY ALL HAVING min(power_watts) < max(power_watts)),
+    bins AS (SELECT hostname, gpu_type, least(255, CAST(floor((power_watts - mn) / (mx - mn) * 256) AS INTEGER)) AS bin,
+        count(*) AS c, avg(power_watts) AS x FROM timed JOIN shape USING (hostname, gpu_type) GROUP BY ALL),
+    places AS (SELECT *, mn - 2 * h + (mx - mn + 4 * h) * point / 99.0::DOUBLE AS power FROM shape, (SELECT unnest(range(100)) AS point))
+    SELECT hostname, gpu_type, point, power, sum(c * exp(-0.5::DOUBLE * ((power - x) / h) ** 2)) / any_value(n * h) / sqrt(2 * pi()) AS density
+    FROM places JOIN bins USING (hostname, gpu_type) GROUP BY ALL""",
+    d="power density", i="point", with_="timed",
+)
+# The replicates as rows, weighted by the same digests.
+add(
+    "timeline_band", lambda s, f: stats.timeline_band(tel(s, f)),
+    f"""WITH drawn AS (SELECT hostname, time_bucket(INTERVAL 1 HOUR, timestamp) AS bucket, power_watts, r,
+        CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|' || CAST(r // 8 AS VARCHAR)), CAST(4 * (r % 8) + 1 AS BIGINT), 4) AS INTEGER) AS draw
+        FROM tel, (SELECT unnest(range(100)) AS r)),
+    means AS (SELECT hostname, bucket, r, sum(power_watts * w) / sum(w) AS m FROM
+        (SELECT *, {" + ".join(f"CAST(draw >= {c} AS INTEGER)" for c in stats.POISSON)} AS w FROM drawn) GROUP BY ALL HAVING sum(w) > 0),
+    plain AS (SELECT hostname, time_bucket(INTERVAL 1 HOUR, timestamp) AS bucket, avg(power_watts) AS avg_power, count(*) AS n FROM tel GROUP BY ALL),
+    band AS (SELECT hostname, bucket, quantile_cont(m, 0.025::DOUBLE) AS band_low, quantile_cont(m, 0.975::DOUBLE) AS band_high FROM means GROUP BY ALL)
+    SELECT hostname, bucket, avg_power, n, band_low, band_high FROM plain LEFT JOIN band USING (hostname, bucket)""",
+    d="avg_power band_low band_high", i="n", t="bucket", with_="tel",
+)
 add(
     "cluster_scatter", lambda s, f: stats.cluster_scatter(redc(s, f)),
     "SELECT cluster, hour, CAST(floor(power_watts / 10) AS INTEGER) AS power_bin, count(*) AS n FROM redc GROUP BY ALL",

@@ -1,13 +1,18 @@
 """Grouped statistics, box-plot tables, histograms and binned chart data."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspark.functions.timefeat import day_number
-from wattspark.operators.common import attach_one_row, settle
+from wattspark.operators.common import attach_one_row, settle, valid
 from wattspark.operators.quantiles import quantile_row, quantiles
 from wattspark.schema import GPU_KEYS, NODE_TOTAL, POWER
 
+# Cumulative probabilities of Poisson(1), in 65536ths: a draw of 16 bits weighs as many as it reaches.
+POISSON = [round(65536 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(7)]
+
 
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
@@ -187,6 +192,80 @@ def host_type_quartiles(df: DataFrame, v: str = POWER, bins: int = 20) -> DataFr
     )
 
 
+def host_type_density(df: DataFrame, v: str = POWER, bins: int = 256, points: int = 100) -> DataFrame:
+    """Outline of the violin plot: a Gaussian kernel density per (host, device type) at `points` places.
+
+    The rows are counted once into `bins` equal bins of their group (a partial aggregation); each bin's
+    rows stand at their mean. The sum over the kernels then runs over at most `bins` x `points` pairs a
+    group, whatever its rows. Bandwidth: sample deviation x n^(-1/5). The places reach from two
+    bandwidths below the smallest value to two above the largest.
+
+    Null and NaN values are left out. A group with one value alone, or without spread, has no density.
+    """
+    keys = ["hostname", "gpu_type"]
+    rows = df.where(valid(v)).select(*keys, F.col(v).cast("double").alias(v))
+    # One row per group, stored, so that Spark knows its size.
+    shape = settle(
+        rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.stddev_samp(v).alias("_sd")
+        ).where("_mx > _mn").withColumn("bandwidth", F.expr("_sd * power(n, -0.2D)"))
+    )
+    counted = (
+        rows.join(shape.select(*keys, "_mn", "_mx"), keys)
+        .groupBy(*keys, _bin_of(v, bins).alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.avg(v).alias("_at"))
+    )
+    low, high = "_mn - 2 * bandwidth", "_mx + 2 * bandwidth"
+    places = shape.select(
+        *keys, "n", "bandwidth", F.expr(f"explode(sequence(0, {points - 1}))").alias("point"), F.expr(low).alias("_lo"), F.expr(high).alias("_hi")
+    ).withColumn("power", F.expr(f"_lo + (_hi - _lo) * point / {points - 1}"))
+    z = (F.col("power") - F.col("_at")) / F.col("bandwidth")
+    kernel = F.col("_rows") * F.exp(-0.5 * z * z)
+    return (
+        counted.join(places, keys)
+        .groupBy(*keys, "point", "power", "n", "bandwidth")
+        .agg(F.sum(kernel).alias("_sum"))
+        .select(*keys, "point", "power", (F.col("_sum") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"))
+    )
+
+
+def timeline_band(df: DataFrame, width: str = "1 hour", replicates: int = 100, level: float = 0.95) -> DataFrame:
+    """Mean power per host and interval with its bootstrap band, from one aggregation.
+
+    Every row has a Poisson(1) weight in each replicate, drawn from the MD5 digest of its `row_id` and
+    the replicate's number, so the band does not depend on row order or partitioning. All replicates are
+    summed side by side in one partial aggregation: one shuffle of intervals, however many rows. The band
+    is the (1 - level) / 2 and (1 + level) / 2 quantile of the replicates' means, interpolated.
+
+    Null and NaN powers are left out. A replicate whose weights are all zero has no mean and is left out
+    of its interval's band.
+    """
+    bucket = F.window("timestamp", width)["start"].alias("bucket")
+    rows = df.where(valid(POWER)).select("hostname", bucket, "row_id", POWER)
+    # Eight draws of 16 bits a digest.
+    digests = -(-replicates // 8)
+    for i in range(digests):
+        rows = rows.withColumn(f"_h{i}", F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(i)).cast("binary")))
+    # The draw's place among the cumulative probabilities of Poisson(1).
+    weights = []
+    for r in range(replicates):
+        draw = f"cast(conv(substr(_h{r // 8}, {4 * (r % 8) + 1}, 4), 16, 10) AS int)"
+        weights.append(F.expr(" + ".join(f"cast({draw} >= {c} AS int)" for c in POISSON)).alias(f"_w{r}"))
+    drawn = rows.select("hostname", "bucket", POWER, *weights)
+    sums = [x for r in range(replicates) for x in (F.sum(f"_w{r}").alias(f"_n{r}"), F.sum(F.col(POWER) * F.col(f"_w{r}")).alias(f"_s{r}"))]
+    summed = drawn.groupBy("hostname", "bucket").agg(F.avg(POWER).alias("avg_power"), F.count(F.lit(1)).alias("n"), *sums)
+    means = F.array(*(F.when(F.col(f"_n{r}") > 0, F.col(f"_s{r}") / F.col(f"_n{r}")) for r in range(replicates)))
+    found = summed.select("hostname", "bucket", "avg_power", "n", F.array_sort(F.filter(means, lambda m: m.isNotNull())).alias("_m"))
+
+    def at(q: float):
+        return F.expr(
+            f"CASE WHEN size(_m) > 0 THEN _m[int(floor({q!r}D * (size(_m) - 1)))] + ({q!r}D * (size(_m) - 1) - floor({q!r}D * (size(_m) - 1)))"
+            f" * (_m[int(ceil({q!r}D * (size(_m) - 1)))] - _m[int(floor({q!r}D * (size(_m) - 1)))]) END"
+        )
+
+    return found.select("hostname", "bucket", "avg_power", "n", at((1 - level) / 2).alias("band_low"), at((1 + level) / 2).alias("band_high"))
+
+
 def timeline_sampled(df: DataFrame, width: str = "1 hour") -> DataFrame:
     """Mean power per host and interval, over all rows (an aggregate needs no sample to be drawn)."""
     bucket = F.window("timestamp", width)["start"].alias("bucket")
