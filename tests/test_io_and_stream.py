@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.run import TABLES, same
-from wattspark.operators.common import scratch_path
+from wattspark.operators.common import qualified, scratch_path
 from wattspark.operators.features import power_features
 from wattspark.operators.clean import gpu_id
 from wattspark.plans.reports import write_tables
@@ -162,3 +162,17 @@ def test_merged_daily_sketches_are_near_the_exact_counts(spark):
     assert abs(found[0].n_v - 40_000) <= 4 * readers.SKETCH_ERROR * 40_000
     direct = rows.agg(F.hll_sketch_estimate(F.hll_sketch_agg("v", readers.SKETCH_BITS))).first()[0]
     assert abs(found[0].n_v - direct) <= 4 * readers.SKETCH_ERROR * 40_000
+
+
+def test_bare_paths_take_the_file_system_that_spark_reads(spark):
+    assert qualified(spark, "/shared/x") == "file:/shared/x"
+    assert qualified(spark, "file:///shared/x") == "file:/shared/x"
+    assert scratch_path(spark, "x").startswith("file:/")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs:///")
+    try:
+        with pytest.raises(Exception, match="(?i)viewfs"):
+            qualified(spark, "/shared/x")  # looked up on the default file system, which has no mounts here
+    finally:
+        conf.set("fs.defaultFS", old)

@@ -70,9 +70,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark reads it from, so that tasks which open files themselves use the same one."""
+    bare = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bare.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(bare).toString()
+
+
 def run_dir(spark: SparkSession) -> str:
     """The folder of this run's tables, below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/wattspark-{spark.sparkContext.applicationId}"
+    return f"{qualified(spark, shared_dir(spark)).rstrip('/')}/wattspark-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
