@@ -1,5 +1,6 @@
 """Connected components of a graph held as DataFrames."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +66,20 @@ def merge_components(labels: DataFrame, more: DataFrame, run: str = "run") -> Da
             run, "node", F.coalesce("_p", "comp").alias("comp")
         )
     )
+
+
+def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of the numbers below `n` the smallest that the links between `a` and `b` lead to (within one task)."""
+    at = np.arange(n)
+    while True:
+        pa, pb = at[a], at[b]
+        apart = pa != pb
+        if not apart.any():
+            return at
+        a, b, pa, pb = a[apart], b[apart], pa[apart], pb[apart]
+        np.minimum.at(at, np.maximum(pa, pb), np.minimum(pa, pb))
+        while True:
+            further = at[at]
+            if (further == at).all():
+                break
+            at = further

@@ -8,26 +8,25 @@ ever expanded into all its pairs. Several (subset, eps) runs go through one plan
 """
 
 import math
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspark.operators import boxtree
-from wattspark.operators.common import (
-    attach_one_row,
-    broadcast_if_small,
-    keep,
-    settle,
-    spread,
-    sq_distance,
-)
-from wattspark.operators.components import connected_components, merge_components
+from wattspark.operators import blocks, boxtree
+from wattspark.operators.blocks import Blocks
+from wattspark.operators.common import keep, settle, spread, sq_distance
+from wattspark.operators.components import connected_components, merge_components, smallest_linked
 from wattspark.operators.quantiles import quantiles
 
 MIN_PTS = 20
 MOST_RUNS = 100
 SPLIT = 4  # children per axis when a box is refined; a power of two keeps cell indices exact
+TILE_CELLS = 32_768  # of a cube of cells that one task links
+HOME, EDGE, MARGIN, OPEN = range(4)
 ID_BUCKET = 20  # component ids are ranked in buckets of 2**ID_BUCKET
 
 
@@ -101,34 +100,103 @@ def _box(d: int) -> Column:
     return F.struct(*cols, "rep")
 
 
-def _link_cells(core: DataFrame, d: int) -> DataFrame:
-    """run, node (smallest core id of the cell), comp for all cells that hold core points."""
+def _tile_links(cells: DataFrame, d: int) -> DataFrame:
+    """What the boxes of the cells decide, tile by tile: run, eps, u, v, kind.
+
+    A tile is a cube of cells with a margin of the neighbours' reach, so a task holds a bounded number of cells and
+    each pair of neighbours meets once. `HOME`, `EDGE` and `MARGIN` rows say that cell v is linked to u, the
+    smallest of its component in the tile; `EDGE` and `MARGIN` cells also lie in other tiles. `OPEN` rows are
+    pairs that the boxes leave open and no other links join.
+    """
+    reach = math.ceil(math.sqrt(d))
+    wide = max(reach, int(TILE_CELLS ** (1 / d)))
+    cs, ts = _cell_names(d), _cell_names(d, "t")
+    corners = [f"x{i}_{e}" for e in ("lo", "hi") for i in range(d)]
+    flat = cells.select("run", "eps", *cs, "node", *[F.col(f"box.{c}").alias(c) for c in corners], *[F.col(f"box.rep.x{i}").alias(f"r{i}") for i in range(d)])
+    edge = F.lit(False)
+    for c, t in zip(cs, ts):
+        own = F.floor(F.col(c) / wide)
+        at = F.col(c) - own * wide
+        low, high = at < reach, at >= wide - reach
+        flat = flat.withColumn(t, F.explode(F.filter(F.array(own, F.when(low, own - 1), F.when(high, own + 1)), lambda v: v.isNotNull())))
+        edge = edge | low | high
+    home = F.lit(True)
+    for c, t in zip(cs, ts):
+        home = home & (F.floor(F.col(c) / wide) == F.col(t))
+    groups = max(1, -(-cells.count() // TILE_CELLS))
+    tiles = flat.withColumns({"_home": home, "_edge": edge, "_g": F.pmod(F.xxhash64("run", *ts), F.lit(groups))})
+    base = 2 * reach + 1
+    numbers = range((base**d - 1) // 2 + 1, base**d)
+    moves = np.array([[o // base**i % base - reach for i in range(d)] for o in numbers], dtype=np.int64)
+    node_type = cells.schema["node"].dataType.simpleString()
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("node", "ascending")]))
+        col = lambda c: table[c].to_numpy()
+        n = table.num_rows
+        run = table["run"].combine_chunks().dictionary_encode().indices.to_numpy()
+        tile = np.stack([run, *[col(t) for t in ts]], axis=1).astype(np.int64)
+        c, room = np.stack([col(x) for x in cs], axis=1).astype(np.int64), wide + 2 * reach
+        radix = room ** np.arange(d, dtype=np.int64)
+        number = np.unique(tile, axis=0, return_inverse=True)[1].reshape(-1) * room**d + (c - tile[:, 1:] * wide + reach) @ radix
+        order = np.argsort(number, kind="stable")
+        held, homes = number[order], np.flatnonzero(col("_home"))
+        lo, hi, rep, e2 = (np.stack([col(x) for x in names], axis=1) for names in (corners[:d], corners[d:], [f"r{i}" for i in range(d)], ["eps"]))
+        e2 = e2[:, 0] * e2[:, 0]
+        near, open_ = [], []
+        for move in moves:
+            want = number[homes] + move @ radix
+            at = np.minimum(np.searchsorted(held, want), n - 1)
+            hit = held[at] == want
+            a, b = homes[hit], order[at[hit]]
+            gap, span, apart = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+            for i in range(d):
+                g = np.maximum(np.maximum(lo[b, i] - hi[a, i], lo[a, i] - hi[b, i]), 0.0)
+                s = np.maximum(hi[b, i] - lo[a, i], hi[a, i] - lo[b, i])
+                r = rep[a, i] - rep[b, i]
+                gap, span, apart = gap + g * g, span + s * s, apart + r * r
+            yes = (gap <= e2[a]) & ((apart <= e2[a]) | (span <= e2[a]))
+            near.append(np.stack([a[yes], b[yes]]))
+            maybe = (gap <= e2[a]) & ~yes
+            open_.append(np.stack([a[maybe], b[maybe]]))
+        a, b = np.concatenate(near, axis=1)
+        root = smallest_linked(n, a, b)
+        u, v = np.concatenate(open_, axis=1)
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+        kind = np.where(col("_home"), np.where(col("_edge"), EDGE, HOME), MARGIN)
+        first, second = np.concatenate([root, u]), np.concatenate([np.arange(n), v])
+        return pa.table(
+            {
+                "run": table["run"].take(pa.array(second)), "eps": table["eps"].take(pa.array(second)),
+                "u": table["node"].take(pa.array(first)), "v": table["node"].take(pa.array(second)),
+                "kind": pa.array(np.concatenate([kind, np.full(len(u), OPEN)]), pa.int32()),
+            }
+        )
+
+    return settle(tiles.repartition(groups, "_g").groupBy("_g").applyInArrow(links, f"run string, eps double, u {node_type}, v {node_type}, kind int"))
+
+
+def _link_cells(cells: DataFrame, core: DataFrame, d: int, unique: bool) -> DataFrame:
+    """run, node (smallest core id of the cell), comp for all cells that hold core points.
+
+    Unless ids are `unique`, cells with the same node are one node.
+    """
     cs = _cell_names(d)
-    cells = settle(
-        _boxes(core, ["run", "eps", *cs], d).select(
-            "run", "eps", *cs, F.col("rep.id").alias("node"), _box(d).alias("box")
-        )
+    cells = cells.where("node IS NOT NULL")
+    tested = _tile_links(cells, d)
+    # Only cells that lie in several tiles, or share their node, connect the tiles' components.
+    edges = tested.where(F.col("kind").isin(*([EDGE, MARGIN] if unique else [HOME, EDGE, MARGIN]))).select("run", "u", "v")
+    joined = connected_components(edges.select("run", F.col("u").alias("node")).distinct(), edges)
+    labels = (
+        tested.where(F.col("kind").isin(HOME, EDGE))
+        .join(joined.select("run", F.col("node").alias("u"), "comp"), ["run", "u"], "left")
+        .select("run", F.col("v").alias("node"), F.coalesce("comp", "u").alias("comp"))
     )
-    far_end = cells.select(
-        "run",
-        *[F.col(c).alias(f"n{i}") for i, c in enumerate(cs)],
-        F.col("node").alias("v"),
-        F.col("box").alias("b"),
-    )
-    tested = (
-        _neighbour_cells(cells.withColumnsRenamed({"node": "u", "box": "a"}), d, half=True)
-        .join(far_end, ["run", *_cell_names(d, "n")])
-        .withColumn("_t", _box_test(d))
-        .where("_t IS NULL OR _t = 1")
-        .select("run", "eps", "u", "v", "_t")
-    )
-    tested = settle(tested)
-    edges = tested.where("_t = 1").select("run", "u", "v")
-    labels = connected_components(cells.select("run", "node"), edges)
+    labels = settle(labels if unique else labels.distinct())
 
     # Pairs the boxes left open matter only while their cells are in different components.
-    opened = tested.where("_t IS NULL").select("run", "eps", "u", "v")
-    own = core.join(cells.select("run", *cs, "node"), ["run", *cs])
+    opened = tested.where(F.col("kind") == OPEN).select("run", "eps", "u", "v")
     level = 0
     while True:
         if opened.isEmpty():
@@ -137,15 +205,15 @@ def _link_cells(core: DataFrame, d: int) -> DataFrame:
         if opened.isEmpty():
             return labels
         level += 1
-        scale = SPLIT**level
-        side = _side(F.col("eps"), d) / scale
+        side = _side(F.col("eps"), d) / SPLIT**level
         wanted = (
             opened.select("run", F.col("u").alias("node"))
             .unionByName(opened.select("run", F.col("v").alias("node")))
             .distinct()
         )
         subs = [F.floor(F.col(f"x{i}") / side).alias(f"s{i}") for i in range(d)]
-        inside = own.join(wanted, ["run", "node"], "left_semi").select(
+        asked = settle(cells.select("run", *cs, "node").join(wanted, ["run", "node"], "left_semi"))
+        inside = core.join(asked, ["run", *cs]).select(
             "run", "node", "id", *[f"x{i}" for i in range(d)], *subs
         )
         sub = _cell_names(d, "s")
@@ -213,6 +281,87 @@ def _numbered(labels: DataFrame) -> DataFrame:
     return labels.join(numbers, ["run", "comp"]).select("run", "node", "cluster")
 
 
+def _placed(points: DataFrame, feats: list[str], id: str, part: Column) -> DataFrame:
+    xs = _cell_names(len(feats), "x")
+    return points.select(part.alias("part"), F.col(id).alias("id"), *[(F.col(f).cast("double") + F.lit(0.0)).alias(x) for f, x in zip(feats, xs)])
+
+
+@dataclass
+class Neighbours:
+    """Blocks of points, and `kd2` of each: what every radius needs to know of them."""
+
+    blocks: Blocks
+    points: DataFrame
+
+
+def neighbours(df: DataFrame, feats: list[str], id: str, k: int = MIN_PTS, part: Column | None = None, block: int = blocks.BLOCK) -> Neighbours:
+    """The k-distances of all rows, once for all runs over them; each value of `part` is a subset of its own."""
+    made = blocks.build(_placed(df, feats, id, F.lit("all") if part is None else part), len(feats), block)
+    return Neighbours(made, blocks.k_distances(made, k))
+
+
+def _odd_cores(state: DataFrame, odd: DataFrame, d: int, min_pts: int) -> DataFrame:
+    """run, _p, _core of points whose id names several points: each takes the sum of their neighbours beyond the own cell."""
+    cs, xs, ns = _cell_names(d), _cell_names(d, "x"), _cell_names(d, "n")
+    cells = settle(state.groupBy("run", *cs).agg(F.sum("w").alias("cell_n")))
+    mine = settle(state.join(odd, ["part", "_p"], "left_semi").join(cells, ["run", *cs]))
+    # Sparse cells whose surroundings could still reach min_pts.
+    sparse = settle(mine.where(F.col("cell_n") < min_pts).select("run", *cs, "cell_n").distinct())
+    around = settle(
+        _neighbour_cells(sparse, d).join(
+            cells.select("run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], F.col("cell_n").alias("nbr_n")), ["run", *ns]
+        )
+    )
+    hopeful = around.groupBy("run", *cs, "cell_n").agg(F.sum("nbr_n").alias("_more")).where(F.col("_more") + F.col("cell_n") >= min_pts)
+    asked = settle(around.select("run", *cs, *ns).join(hopeful.select("run", *cs), ["run", *cs], "left_semi"))
+    query = spread(asked, 20_000).join(mine, ["run", *cs]).select("run", "eps", "id", *ns, *[F.col(x).alias(f"q{i}") for i, x in enumerate(xs)])
+    others = state.select("run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], *xs, "w")
+    close = sq_distance([F.col(f"q{i}") for i in range(d)], [F.col(x) for x in xs]) <= F.col("eps") * F.col("eps")
+    reached = query.join(others, ["run", *ns]).where(close).groupBy("run", "id").agg(F.sum("w").alias("_far_n"))
+    enough = F.col("cell_n") + F.coalesce("_far_n", F.lit(0)) >= min_pts
+    return settle(mine.join(reached, ["run", "id"], "left").select("run", "_p", enough.alias("_core")))
+
+
+def _labels(near: Neighbours, runs: DataFrame, id: str, min_pts: int) -> DataFrame:
+    """DBSCAN for every row of `runs` (run, part, eps) over the points of its part: run, eps, <id>, cluster.
+
+    A point is core if its k-th row (k = `min_pts`) is within eps. Core points of a cell are linked with each
+    other, cells by their boxes; the other points look for core points in the blocks that their ball meets.
+    """
+    made, d = near.blocks, near.blocks.d
+    cs, xs = _cell_names(d), _cell_names(d, "x")
+    state = near.points.join(runs, "part").withColumns(dict(zip(cs, _cells([F.col(x) for x in xs], _side(F.col("eps"), d)))))
+    within = F.coalesce(F.col("kd2") <= F.col("eps") * F.col("eps"), F.lit(False))
+    if made.odd is not None:
+        state = state.join(_odd_cores(state, made.odd, d, min_pts), ["run", "_p"], "left")
+        within = F.coalesce("_core", within)
+        state = settle(state.withColumn("core", within).drop("_core"))
+    else:
+        state = state.withColumn("core", within)
+    core, loose = state.where("core"), state.where("NOT core")
+    cells = settle(
+        _boxes(core, ["run", "eps", *cs], d).select("run", "eps", *cs, F.col("rep.id").alias("node"), _box(d).alias("box"))
+    )
+    numbered = _numbered(_link_cells(cells, core, d, made.odd is None))
+    cell_label = settle(cells.join(numbered, ["run", "node"]).select("run", *cs, "cluster"))
+    inner = settle(core.join(cell_label, ["run", *cs], "left").select("run", "eps", "part", "_b", "_p", *xs, "w", "id", "cluster"))
+
+    # Border points: not core, but near a core point.
+    border = blocks.lowest_label(made, runs, loose, inner.where("cluster IS NOT NULL"))
+    key = "_p"
+    if made.odd is not None:
+        key = "id"
+        border = border.join(loose.select("run", "_p", "id"), ["run", "_p"]).groupBy("run", "id").agg(F.min("cluster").alias("cluster"))
+    outer = loose.join(border, ["run", key], "left")
+    own = ["run", "eps", "part", "_p", "w", "id", F.coalesce("cluster", F.lit(-1)).alias("cluster")]
+    labelled = settle(inner.select(*own).unionByName(outer.select(*own)))
+    out = labelled.where("w = 1").select("run", "eps", "id", "cluster")
+    if made.copies is not None:
+        out = out.unionByName(made.copies.join(labelled.where("w > 1").drop("id"), ["part", "_p"]).select("run", "eps", "id", "cluster"))
+    lost = made.lost.join(runs, "part").select("run", "eps", "id", F.lit(-1).alias("cluster"))
+    return out.unionByName(lost).select("run", "eps", F.col("id").alias(id), "cluster")
+
+
 def dbscan_runs(
     points: DataFrame, feats: list[str], id: str, min_pts: int = MIN_PTS
 ) -> DataFrame:
@@ -222,105 +371,18 @@ def dbscan_runs(
     point itself; clusters are numbered by their smallest core id, and a border point belongs to
     the lowest-numbered cluster that reaches it.
     """
-    d = len(feats)
-    cs, xs, ns = _cell_names(d), _cell_names(d, "x"), _cell_names(d, "n")
-    named = points.select(
-        "run", "eps", F.col(id).alias("id"),
-        *[(F.col(f) + F.lit(0.0)).alias(x) for f, x in zip(feats, xs)],
-    )
-    uniq = settle(
-        named.groupBy("run", "eps", *xs)
-        .agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id"))
-        .withColumns(dict(zip(cs, _cells([F.col(x) for x in xs], _side(F.col("eps"), d)))))
-    )
-    cells = settle(uniq.groupBy("run", *cs).agg(F.sum("w").alias("cell_n")))
-
-    # Sparse cells whose surroundings could still reach min_pts.
-    sparse = cells.where(F.col("cell_n") < min_pts)
-    around = _neighbour_cells(sparse, d).join(
-        cells.select(
-            "run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], F.col("cell_n").alias("nbr_n")
-        ),
-        ["run", *ns],
-    )
-    around = settle(around)
-    hopeful = (
-        around.groupBy("run", *cs, "cell_n")
-        .agg(F.sum("nbr_n").alias("_more"))
-        .where(F.col("_more") + F.col("cell_n") >= min_pts)
-        .select("run", *cs)
-    )
-    targets = around.select("run", *cs, *ns)
-    asked = settle(targets.join(hopeful, ["run", *cs], "left_semi"))
-    query = spread(asked, 20_000).join(uniq, ["run", *cs]).select(
-        "run", "eps", "id", *ns, *[F.col(x).alias(f"q{i}") for i, x in enumerate(xs)]
-    )
-    others = uniq.select(
-        "run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], *xs, "w"
-    )
-    close = sq_distance(
-        [F.col(f"q{i}") for i in range(d)], [F.col(x) for x in xs]
-    ) <= F.col("eps") * F.col("eps")
-    reached = (
-        query.join(others, ["run", *ns])
-        .where(close)
-        .groupBy("run", "id")
-        .agg(F.sum("w").alias("_far_n"))
-    )
-    state = settle(
-        uniq.join(cells, ["run", *cs])
-        .join(reached, ["run", "id"], "left")
-        .withColumn("core", F.col("cell_n") + F.coalesce("_far_n", F.lit(0)) >= min_pts)
-        .drop("_far_n")
-    )
-    core = state.where("core")
-    numbered = _numbered(_link_cells(core, d))
-    homes = core.groupBy("run", *cs).agg(F.min("id").alias("node"))
-    cell_label = settle(homes.join(numbered, ["run", "node"]).select("run", *cs, "cluster"))
-
-    # Border points: not core, but near a core point of their own or a neighbouring cell.
-    loose = state.where("NOT core")
-    own = loose.join(cell_label, ["run", *cs]).select("run", "id", "cluster")
-    nearby = (
-        spread(targets, 20_000)
-        .join(loose, ["run", *cs])
-        .select("run", "eps", "id", *ns, *[F.col(x).alias(f"q{i}") for i, x in enumerate(xs)])
-        .join(
-            cell_label.select("run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], "cluster"),
-            ["run", *ns],
-        )
-        .join(
-            core.select("run", *[F.col(c).alias(n) for c, n in zip(cs, ns)], *xs), ["run", *ns]
-        )
-        .where(close)
-        .select("run", "id", "cluster")
-    )
-    border = own.unionByName(nearby).groupBy("run", "id").agg(F.min("cluster").alias("cluster"))
-    labelled = (
-        core.join(cell_label, ["run", *cs])
-        .select("run", *xs, "cluster")
-        .unionByName(loose.join(border, ["run", "id"]).select("run", *xs, "cluster"))
-    )
-    return (
-        named.join(labelled, ["run", *xs], "left")
-        .select(
-            "run", "eps", F.col("id").alias(id),
-            F.coalesce("cluster", F.lit(-1)).alias("cluster"),
-        )
-    )
+    runs = settle(points.select("run", F.col("run").alias("part"), F.col("eps").cast("double").alias("eps")).distinct())
+    return _labels(neighbours(points, feats, id, min_pts, F.col("run")), runs, id, min_pts)
 
 
-def _as_runs(df: DataFrame, feats: list[str], id: str, eps_of: dict[str, float]) -> DataFrame:
-    """Rows of every run with its eps; the runs are a handful of constants."""
-    entries = F.array(
-        *[F.struct(F.lit(r).alias("run"), F.lit(float(e)).alias("eps")) for r, e in eps_of.items()]
-    )
-    return df.select(id, *feats, F.inline(entries))
+def _constant_runs(df: DataFrame, runs: dict[str, tuple[str, float]]) -> DataFrame:
+    """run, part, eps of a handful of runs."""
+    return df.sparkSession.createDataFrame([(r, p, float(e)) for r, (p, e) in runs.items()], "run string, part string, eps double")
 
 
 def dbscan(df: DataFrame, feats: list[str], id: str, eps: float, min_pts: int = MIN_PTS) -> DataFrame:
     """Add `cluster` to the rows (-1 = noise)."""
-    labels = dbscan_runs(_as_runs(df, feats, id, {"all": eps}), feats, id, min_pts)
+    labels = _labels(neighbours(df, feats, id, min_pts), _constant_runs(df, {"all": ("all", eps)}), id, min_pts)
     return df.join(labels.select(id, "cluster"), id)
 
 
@@ -329,94 +391,28 @@ def dbscan_full(df: DataFrame, feats: list[str], id: str, eps: float, min_pts: i
     return dbscan(df, feats, id, eps, min_pts)
 
 
-def _near_blocks(df: DataFrame, id: str, feats: list[str], k: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of nearby rows, laid out for the block pairs that can hold a k-th nearest row.
+def _row_distances(near: Neighbours, id: str, k: int) -> DataFrame:
+    """part, <id>, k_dist of all rows whose part has `k`. An id of several rows has one, over the distances of all of them."""
+    made, xs = near.blocks, _cell_names(near.blocks.d, "x")
+    points = near.points
+    out = points.where("w = 1").select("part", "_p", "id", "kd2")
+    if made.copies is not None:
+        out = out.unionByName(made.copies.join(points.where("w > 1").select("part", "_p", "kd2"), ["part", "_p"]))
+    several = settle(out.groupBy("part", "id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("part").alias("_part"), F.col("id").alias("_id")))
+    if not several.isEmpty():
+        same = (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("_id"))
+        twice = settle(out.join(several, same, "left_semi").groupBy("part", "_p", "id").agg(F.count(F.lit(1)).alias("_m")))
+        most = F.coalesce("kd2", F.lit(float("inf"))).alias("_most")
+        lists = blocks.k_lists(made, points.join(twice.select("part", "_p").distinct(), ["part", "_p"], "left_semi").select("part", "_p", *xs, most), ["_p"], k)
+        weights = twice.join(lists, "_p").withColumn("_w", F.transform("_w", lambda w: w * F.col("_m")))
+        merged = blocks.kth(weights, ["part", "id"], k)
+        out = out.join(several, same, "left_anti").select("part", "id", "kd2").unionByName(merged)
+    return out.where("kd2 IS NOT NULL").select("part", F.col("id").alias(id), F.sqrt("kd2").alias("k_dist"))
 
-    Rows are ordered along a space-filling curve and cut into ranges of about `block` rows. The k-th
-    nearest row within the own block bounds the distance, so block j matters to block i only when
-    their boxes are no farther apart than the largest bound of i. Gives the rows of i and of j, by (_i, _j).
-    """
-    import numpy as np
 
-    blocks = max(1, -(-df.count() // block))
-    d = len(feats)
-    bits = min(10, 60 // d)
-    ends = df.agg(*[F.min(c).alias(f"_a{i}") for i, c in enumerate(feats)], *[F.max(c).alias(f"_z{i}") for i, c in enumerate(feats)])
-    code = F.lit(0).cast("long")
-    for i, c in enumerate(feats):
-        span = F.col(f"_z{i}") - F.col(f"_a{i}")
-        step = F.when(span > 0, F.floor((F.col(c) - F.col(f"_a{i}")) / span * (2**bits - 1))).otherwise(F.lit(0)).cast("long")
-        for bit in range(bits):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(step, bit).bitwiseAND(F.lit(1)), bit * d + i))
-    coded = attach_one_row(df.select(id, *feats), ends).select(id, *feats, code.alias("_code"))
-    ranged = coded.repartitionByRange(blocks, "_code", F.xxhash64(id)) if blocks > 1 else coded.coalesce(1)
-    rows = settle(ranged.select(id, *feats, F.spark_partition_id().alias("_b")))
-
-    def bound(own: pd.DataFrame) -> pd.DataFrame:
-        x = own[feats].to_numpy(float)
-        most = np.inf
-        if len(x) >= k:
-            most = 0.0
-            for start in range(0, len(x), 256):
-                part = x[start : start + 256]
-                d2 = np.zeros((len(part), len(x)))
-                for f in range(x.shape[1]):
-                    diff = part[:, f, None] - x[None, :, f]
-                    d2 += diff * diff
-                most = max(most, np.partition(d2, k - 1, axis=1)[:, k - 1].max())
-        return pd.DataFrame({"_b": [own["_b"].iloc[0]], "_most": [most], "_lo": [x.min(axis=0).tolist()], "_hi": [x.max(axis=0).tolist()]})
-
-    boxes = settle(rows.groupBy("_b").applyInPandas(bound, "_b int, _most double, _lo array<double>, _hi array<double>"))
-    i = boxes.select(F.col("_b").alias("_i"), "_most", F.col("_lo").alias("_li"), F.col("_hi").alias("_hi_i"))
-    j = boxes.select(F.col("_b").alias("_j"), F.col("_lo").alias("_lj"), F.col("_hi").alias("_hi_j"))
-    apart = None
-    for f in range(d):
-        gap = F.greatest(F.col("_li")[f] - F.col("_hi_j")[f], F.col("_lj")[f] - F.col("_hi_i")[f], F.lit(0.0))
-        apart = gap * gap if apart is None else apart + gap * gap
-    pairs = settle(i.join(j, apart <= F.col("_most") * (1 + 1e-9)).select("_i", "_j"))
-    fresh = [F.col(c).alias(c) for c in (id, *feats)]  # new identities, so both sides can meet
-    left = rows.join(pairs, F.col("_b") == F.col("_i")).select(id, *feats, "_i", "_j")
-    right = rows.join(pairs, F.col("_b") == F.col("_j")).select(*fresh, F.col("_i").alias("_i"), F.col("_j").alias("_j"))
-    return left, right
-
-
-def k_distance(df: DataFrame, feats: list[str], id: str, k: int = MIN_PTS, block: int = 4000) -> DataFrame:
-    """Distance from each row to its k-th nearest row, the row itself counted as the first.
-
-    Only pairs of blocks that can hold such a row are compared; each returns at most k distances a row.
-    """
-    import numpy as np
-
-    left, right = _near_blocks(df, id, feats, k, block)
-
-    def partial(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({id: a[id].iloc[:0], "_d": []})
-        xa, xb = a[feats].to_numpy(float), b[feats].to_numpy(float)
-        m = min(k, len(xb))
-        out = []
-        for start in range(0, len(xa), 256):
-            part = xa[start : start + 256]
-            d2 = np.zeros((len(part), len(xb)))
-            for f in range(xa.shape[1]):
-                diff = part[:, f, None] - xb[None, :, f]
-                d2 += diff * diff
-            out.extend(np.partition(d2, m - 1, axis=1)[:, :m].tolist())
-        return pd.DataFrame({id: a[id].to_numpy(), "_d": out})
-
-    id_type = df.schema[id].dataType.simpleString()
-    parts = (
-        left.groupBy("_i", "_j")
-        .cogroup(right.groupBy("_i", "_j"))
-        .applyInPandas(partial, f"`{id}` {id_type}, _d array<double>")
-    )
-    nearest = F.array_sort(F.flatten(F.collect_list("_d")))
-    return settle(
-        parts.groupBy(id)
-        .agg(nearest.alias("_d"))
-        .where(F.size("_d") >= k)
-        .select(id, F.sqrt(F.col("_d")[k - 1]).alias("k_dist"))
-    )
+def k_distance(df: DataFrame, feats: list[str], id: str, k: int = MIN_PTS, block: int = blocks.BLOCK) -> DataFrame:
+    """Distance from each row to its k-th nearest row, the row itself counted as the first."""
+    return settle(_row_distances(neighbours(df, feats, id, k, block=block), id, k).drop("part"))
 
 
 def eps_from_kdist(kdist: DataFrame, q: float = 0.9, floor: float = 0.1) -> DataFrame:
@@ -440,9 +436,9 @@ def run_scores(labels: DataFrame) -> DataFrame:
 
 
 def eps_grid_labels(df: DataFrame, feats: list[str], id: str, candidates: list[float], min_pts: int = MIN_PTS) -> DataFrame:
-    """DBSCAN labels for all candidates from one plan."""
-    runs = {str(e): e for e in candidates}
-    return dbscan_runs(_as_runs(df, feats, id, runs), feats, id, min_pts)
+    """DBSCAN labels for all candidates from one plan; the k-distances are found once."""
+    runs = _constant_runs(df, {str(e): ("all", e) for e in candidates})
+    return _labels(neighbours(df, feats, id, min_pts), runs, id, min_pts)
 
 
 def eps_grid_scores(df: DataFrame, feats: list[str], id: str, candidates: list[float], min_pts: int = MIN_PTS) -> DataFrame:
@@ -462,9 +458,9 @@ def eps_grid_select(scores: DataFrame) -> DataFrame:
 
 
 def eps_autotune_runs(
-    df: DataFrame, feats: list[str], id: str, start: dict[str, float], tries: int = 5, min_pts: int = MIN_PTS
+    near: Neighbours, id: str, start: dict[str, float], tries: int = 5, min_pts: int = MIN_PTS
 ) -> tuple[dict[str, tuple[float, bool]], dict[str, DataFrame]]:
-    """Tune eps for several runs side by side; `df` has a `run` column.
+    """Tune eps for several runs side by side; each run is a part of `near`.
 
     A run is done when its noise is below one half and it has more than one cluster. Too much
     noise multiplies eps by 1.5, too few clusters by 0.8. `tries` is part of the method's definition:
@@ -473,9 +469,8 @@ def eps_autotune_runs(
     eps, done, labels = dict(start), {}, {}
 
     def cluster(names: list[str]) -> DataFrame:
-        values = F.create_map(*[F.lit(x) for r in names for x in (r, float(eps[r]))])
-        rows = df.where(F.col("run").isin(names)).withColumn("eps", values[F.col("run")])
-        return keep(dbscan_runs(rows, feats, id, min_pts))
+        runs = _constant_runs(near.points, {r: (r, eps[r]) for r in names})
+        return keep(_labels(near, runs, id, min_pts))
 
     for _ in range(tries):
         names = [r for r in eps if r not in done]
@@ -500,8 +495,7 @@ def eps_autotune_runs(
 
 def eps_autotune(df: DataFrame, feats: list[str], id: str, eps0: float, tries: int = 5, min_pts: int = MIN_PTS) -> DataFrame:
     """One row: the chosen eps, whether it met the conditions, and what it gives."""
-    runs = df.select(id, *feats, F.lit("all").alias("run"))
-    done, labels = eps_autotune_runs(runs, feats, id, {"all": eps0}, tries, min_pts)
+    done, labels = eps_autotune_runs(neighbours(df, feats, id, min_pts), id, {"all": eps0}, tries, min_pts)
     eps, converged = done["all"]
     return run_scores(labels["all"]).select(
         F.lit(eps).alias("eps"),
@@ -553,9 +547,9 @@ def nn_label_join(
     )
 
 
-def start_eps(df: DataFrame, feats: list[str], id: str, min_pts: int = MIN_PTS) -> float:
-    """The radius tuning starts from; with fewer than `min_pts` rows, the floor of `eps_from_kdist`."""
-    row = eps_from_kdist(k_distance(df, feats, id, min_pts)).first()
+def start_eps(near: Neighbours, id: str, part: str, min_pts: int = MIN_PTS) -> float:
+    """The radius tuning of a part starts from; with fewer than `min_pts` rows, the floor of `eps_from_kdist`."""
+    row = eps_from_kdist(settle(_row_distances(near, id, min_pts).where(F.col("part") == part))).first()
     return row["eps"] if row else 0.1
 
 
@@ -572,8 +566,9 @@ def dbscan_scalable(
     names = [r["run"] for r in rows.select("run").where("run IS NOT NULL").distinct().limit(MOST_RUNS + 1).collect()]
     if len(names) > MOST_RUNS:
         raise ValueError(f"{run} has more than {MOST_RUNS} values")
-    start = {r: start_eps(rows.where(F.col("run") == r), feats, id, min_pts) for r in names}
-    chosen, labels = eps_autotune_runs(rows.select(id, *feats, "run"), feats, id, start, min_pts=min_pts)
+    near = neighbours(rows.where("run IS NOT NULL"), feats, id, min_pts, F.col("run"))
+    start = {r: start_eps(near, id, r, min_pts) for r in names}
+    chosen, labels = eps_autotune_runs(near, id, start, min_pts=min_pts)
     every = None
     for r in names:
         own = labels[r].select(id, "run", "cluster")
