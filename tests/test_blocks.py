@@ -11,6 +11,7 @@ def test_k_distance_sends_few_rows_on_and_merges_rows_of_one_id(spark, monkeypat
     ids = np.arange(len(x))
     ids[100:110] = 7  # one id of several rows: its distances are taken together
     df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "row_id": ids}))
+    df = df.unionByName(spark.createDataFrame([(None, 0.5, 9999)], "a double, b double, row_id long"))
     sent, plain = [], blocks.together
 
     def counted(a, b, keys, tasks):
@@ -20,7 +21,8 @@ def test_k_distance_sends_few_rows_on_and_merges_rows_of_one_id(spark, monkeypat
 
     monkeypatch.setattr(blocks, "together", counted)
     got = density.k_distance(df, ["a", "b"], "row_id", 20, block=200).toPandas().set_index("row_id").k_dist
-    assert sent and sent[0] < 2 * len(x)  # every row met every near block, 9 and more times its number, before
+    assert np.isnan(got.pop(9999))  # a row without a whole position
+    assert sent and sent[0] < 3 * len(x)  # before, every row met every block near its own
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     for i in np.unique(ids):
         assert np.isclose(got[i], np.sort(d[ids == i].ravel())[19])

@@ -193,7 +193,7 @@ def _link_cells(cells: DataFrame, core: DataFrame, d: int, unique: bool) -> Data
         .join(joined.select("run", F.col("node").alias("u"), "comp"), ["run", "u"], "left")
         .select("run", F.col("v").alias("node"), F.coalesce("comp", "u").alias("comp"))
     )
-    labels = settle(labels if unique else labels.distinct())
+    labels = settle(labels)
 
     # Pairs the boxes left open matter only while their cells are in different components.
     opened = tested.where(F.col("kind") == OPEN).select("run", "eps", "u", "v")
@@ -392,7 +392,10 @@ def dbscan_full(df: DataFrame, feats: list[str], id: str, eps: float, min_pts: i
 
 
 def _row_distances(near: Neighbours, id: str, k: int) -> DataFrame:
-    """part, <id>, k_dist of all rows whose part has `k`. An id of several rows has one, over the distances of all of them."""
+    """part, <id>, k_dist of all rows whose part has `k`; NULL for a row without a whole position.
+
+    An id of several rows has one, over the distances of all of them.
+    """
     made, xs = near.blocks, _cell_names(near.blocks.d, "x")
     points = near.points
     out = points.where("w = 1").select("part", "_p", "id", "kd2")
@@ -407,7 +410,11 @@ def _row_distances(near: Neighbours, id: str, k: int) -> DataFrame:
         weights = twice.join(lists, "_p").withColumn("_w", F.transform("_w", lambda w: w * F.col("_m")))
         merged = blocks.kth(weights, ["part", "id"], k)
         out = out.join(several, same, "left_anti").select("part", "id", "kd2").unionByName(merged)
-    return out.where("kd2 IS NOT NULL").select("part", F.col("id").alias(id), F.sqrt("kd2").alias("k_dist"))
+    sizes = made.boxes.select("part", "n").unionByName(made.lost.select("part", F.lit(1).cast("long").alias("n")))
+    enough = sizes.groupBy("part").agg(F.sum("n").alias("_n")).where(F.col("_n") >= k)
+    lost = made.lost.join(enough, "part", "left_semi").select("part", "id").distinct()
+    out = out.where("kd2 IS NOT NULL").select("part", "id", "kd2").unionByName(lost.withColumn("kd2", F.lit(None).cast("double")))
+    return out.select("part", F.col("id").alias(id), F.sqrt("kd2").alias("k_dist"))
 
 
 def k_distance(df: DataFrame, feats: list[str], id: str, k: int = MIN_PTS, block: int = blocks.BLOCK) -> DataFrame:
