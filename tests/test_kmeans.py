@@ -105,6 +105,41 @@ def test_silhouette_exact(spark, block):
         assert got == pytest.approx(np.mean(score), abs=1e-9)
 
 
+def test_silhouette_sends_a_row_to_few_tasks_and_keeps_odd_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    pdf = pd.DataFrame({"row_id": [str(i) for i in range(n)], "a": rng.random(n), "b": rng.integers(0, 5, n) * 1.0})
+    pdf["cluster"] = (pdf.a * 3).astype(int)
+    sent, plain = [], kmeans.together
+
+    def counted(a, b, keys, tasks):
+        sent.append(a.count() + b.count())
+        return plain(a, b, keys, tasks)
+
+    monkeypatch.setattr(kmeans, "together", counted)
+    got = kmeans.silhouette(spark.createDataFrame(pdf), ["a", "b"], "cluster", "row_id").first().silhouette
+    assert sent and sent[0] <= 25  # pairs of whole blocks; before, each row went to every block as a row of its own, on both sides
+    x, c = pdf[["a", "b"]].to_numpy(), pdf.cluster.to_numpy()
+    score = 0.0
+    for s in range(0, n, 500):
+        d = np.sqrt(((x[s : s + 500, None] - x[None]) ** 2).sum(2))
+        sums = np.stack([d[:, c == g].sum(1) for g in range(3)], axis=1)
+        size, own = np.bincount(c), c[s : s + 500]
+        inside = sums[np.arange(len(own)), own] / (size[own] - 1)
+        means = sums / size
+        means[np.arange(len(own)), own] = np.inf
+        near = means.min(1)
+        score += ((near - inside) / np.maximum(near, inside)).sum()
+    assert got == pytest.approx(score / n, abs=1e-9)
+
+    # A row without a class counts with 0 and is in nobody's sums; rows of one id are one; a row without an id is no row.
+    rows = [("a", 0.0, 0), ("b", 1.0, 0), ("c", 5.0, 1), ("c", 7.0, 1), ("d", None, None), (None, 5.0, 1)]
+    got = kmeans.silhouette(spark.createDataFrame(rows, "row_id string, x double, cluster int"), ["x"], "cluster", "row_id", 2).first().silhouette
+    near, own = np.array([17 / 3, 14 / 3, 11 / 2]), np.array([1.0, 1.0, (2 + 0 + 4) / 2])
+    near[2] = ((5 + 4) + (7 + 6)) / 2
+    assert got == pytest.approx((((near - own) / np.maximum(near, own)).sum() + 0.0) / 4, abs=1e-9)
+
+
 def test_sample_is_exact_and_reproducible(spark):
     df = spark.range(20_000).withColumnRenamed("id", "row_id")
     a = scaling.sample_n(df, "row_id", 500)

@@ -2,12 +2,14 @@
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattspark.operators.blocks import together
 from wattspark.operators.common import (
     attach_one_row,
     broadcast_if_small,
@@ -23,6 +25,10 @@ from wattspark.operators.scaling import scaled_names, standardize
 from wattspark.schema import POWER, RANK_LABELS
 
 OUTLIER_FEATURES = [POWER, "hour", "day_num", "encoded_pci_bus_id"]
+# Of the exact silhouette: rows of a block at most and (with many clusters or few rows) at least, sums of a block at most,
+# blocks of a small table, distances at once.
+BLOCK, LEAST_BLOCK, PAIR_SUMS, SPREAD, TILE = 32_768, 4096, 2**22, 12, (32, 1024)
+NO_CLASS = np.iinfo(np.int64).max  # sorts last
 
 
 def kmeans(
@@ -242,74 +248,119 @@ def tightness(radius: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(df: DataFrame, id: str, cols: list[str], block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows split into blocks of about `block` rows and laid out for a block-by-block comparison.
+def _segments(c: np.ndarray, step: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """Pieces of at most `step` of the sorted classes `c`: start, end, number of the first class, where its classes begin."""
+    number = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]])) if len(c) else c
+    pieces = []
+    for s in range(0, len(c), step):
+        part = number[s : s + step]
+        begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        pieces.append((s, s + len(part), int(part[0]), begins))
+    return pieces
 
-    Left rows of block i are sent once to every j, right rows of block j to every i; a task then
-    holds one (i, j) pair, whatever the size of the table. No row pairs are materialised.
+
+def _pair_sums(a: tuple, b: tuple, both: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per point of `a` the summed distance to each class of `b`, and (if `both`) the other way: points, classes, sums.
+
+    A side is (coordinates by feature, classes, point numbers), sorted by class; points without a class come last
+    and are summed for, but not summed up. Tiles of `TILE` fit a core's cache, and each distance is computed once.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    tagged = settle(df.select(id, *cols).withColumn("_b", F.pmod(F.xxhash64(id), F.lit(blocks))))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    spread = tagged.select("*", other.alias("_o"))
-    fresh = [F.col(c).alias(c) for c in (id, *cols)]  # new identities, so both sides can meet
-    left = spread.select(id, *cols, F.col("_b").alias("_i"), F.col("_o").alias("_j"))
-    right = spread.select(*fresh, F.col("_o").alias("_i"), F.col("_b").alias("_j"))
-    return left, right
+    (xa, ca, pa_), (xb, cb, pb) = a, b
+    na, nb = (int((c != NO_CLASS).sum()) for c in (ca, cb))
+    ga, gb = np.unique(ca[:na]), np.unique(cb[:nb])
+    to_b, to_a = np.zeros((len(ca), len(gb))), np.zeros((len(cb), len(ga)))
+    columns = _segments(cb, TILE[1])
+    d2_, diff_ = np.empty(TILE), np.empty(TILE)  # made once: fresh ones would cost as much as the distances
+    for s, e, first_a, begin_a in _segments(ca, TILE[0]):
+        held_a = begin_a[begin_a < na - s]
+        for t, u, first_b, begin_b in columns:
+            d2, diff = d2_[: e - s, : u - t], diff_[: e - s, : u - t]
+            np.subtract(xa[0, s:e, None], xb[0, None, t:u], out=d2)
+            np.multiply(d2, d2, out=d2)
+            for f in range(1, len(xa)):
+                np.subtract(xa[f, s:e, None], xb[f, None, t:u], out=diff)
+                np.multiply(diff, diff, out=diff)
+                np.add(d2, diff, out=d2)
+            dist = np.sqrt(d2, out=d2)
+            held_b = begin_b[begin_b < nb - t]
+            if len(begin_b) == len(held_b) == 1:
+                to_b[s:e, first_b] += dist.sum(axis=1)
+            elif len(held_b):
+                to_b[s:e, first_b : first_b + len(held_b)] += np.add.reduceat(dist[:, : nb - t], held_b, axis=1)
+            if both and len(begin_a) == len(held_a) == 1:
+                to_a[t:u, first_a] += dist.sum(axis=0)
+            elif both and len(held_a):
+                to_a[t:u, first_a : first_a + len(held_a)] += np.add.reduceat(dist[: na - s], held_a, axis=0).T
+    out = [(pa_, gb, to_b)]
+    return [*out, (pb, ga, to_a)] if both else out
+
+
+def _packed(df: DataFrame, d: int, blocks: int) -> DataFrame:
+    """One row per block: coordinates by feature, classes and point numbers as bytes, sorted by class."""
+    xs = [f"_x{i}" for i in range(d)]
+
+    def pack(t: pa.Table) -> pa.Table:
+        c = t["_c"].fill_null(NO_CLASS).to_numpy()
+        order = np.argsort(c, kind="stable")
+        x = np.stack([t[x].cast(pa.float64()).fill_null(np.nan).to_numpy()[order] for x in xs])
+        found = [x.tobytes(), c[order].astype(np.int64).tobytes(), t["_p"].to_numpy()[order].tobytes()]
+        return pa.table({"_b": t["_b"][:1], **{n: pa.array([v], pa.binary()) for n, v in zip(("_x", "_c", "_p"), found)}})
+
+    table = df.select("_b", "_p", F.col("_c").cast("long").alias("_c"), *xs)
+    return settle(table.repartition(blocks, "_b").groupBy("_b").applyInArrow(pack, "_b int, _x binary, _c binary, _p binary"))
 
 
 def silhouette(
-    df: DataFrame, feats: list[str], cluster: str, id: str, block: int = 4000
+    df: DataFrame, feats: list[str], cluster: str, id: str, block: int | None = None
 ) -> DataFrame:
     """Mean Euclidean silhouette over all rows, exact.
 
-    The work is quadratic by definition, spread over block pairs; `silhouette_sq` is linear.
+    The work is quadratic by definition: rows are cut into even blocks, each pair of blocks is one group that
+    computes its distances once for both sides; `silhouette_sq` is linear. The size of a block depends on the
+    number of clusters, as a pair gives a sum per row and cluster.
     """
-    import numpy as np
-
     d = len(feats)
-    left, right = block_pairs(df, id, [*feats, cluster], block)
-
-    def partial(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({id: a[id].iloc[:0], "_c": [], "_s": []})
-        xa, xb = a[feats].to_numpy(float), b[feats].to_numpy(float)
-        groups = np.unique(b[cluster].to_numpy())
-        masks = [b[cluster].to_numpy() == g for g in groups]
-        sums = np.empty((len(a), len(groups)))
-        for start in range(0, len(a), 512):
-            part = xa[start : start + 512]
-            d2 = np.zeros((len(part), len(xb)))
-            for f in range(d):
-                diff = part[:, f, None] - xb[None, :, f]
-                d2 += diff * diff
-            dist = np.sqrt(d2)
-            for g, m in enumerate(masks):
-                sums[start : start + 512, g] = dist[:, m].sum(axis=1)
-        return pd.DataFrame(
-            {
-                id: np.repeat(a[id].to_numpy(), len(groups)),
-                "_c": np.tile(groups, len(a)).astype("int32"),
-                "_s": sums.ravel(),
-            }
-        )
-
-    id_type = df.schema[id].dataType.simpleString()
-    parts = (
-        left.groupBy("_i", "_j")
-        .cogroup(right.groupBy("_i", "_j"))
-        .applyInPandas(partial, f"`{id}` {id_type}, _c int, _s double")
+    classes = F.col(cluster).cast("int")
+    sizes = settle(df.groupBy(classes.alias("_c")).agg(F.count(F.lit(1)).alias("_n")))
+    rows, several = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    rows = rows or 0
+    block = block or min(BLOCK, max(LEAST_BLOCK, min(PAIR_SUMS // max(several, 1), rows // SPREAD)))
+    blocks = max(1, -(-rows // block))
+    # Numbers are fixed by the written table.
+    laid = df.select(F.col(id).alias("_id"), classes.alias("_c"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
+    tagged = settle(
+        laid.repartition(blocks).select("*", F.spark_partition_id().alias("_b"), F.monotonically_increasing_id().alias("_p"))
     )
-    sizes = settle(
-        df.groupBy(F.col(cluster).cast("int").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    packed = _packed(tagged, d, blocks)
+    # A block meets itself and every later one, in which it is the left side.
+    number = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    spread = packed.withColumn("_o", number)
+    left = spread.where("_b <= _o").select(F.col("_b").alias("_i"), F.col("_o").alias("_j"), "_x", "_c", "_p")
+    right = spread.where("_b > _o").select(F.col("_o").alias("_i"), F.col("_b").alias("_j"), "_x", "_c", "_p")
+
+    def side(t: pa.Table) -> tuple:
+        x, c, p = (np.frombuffer(t[n][0].as_py(), dtype) for n, dtype in (("_x", float), ("_c", np.int64), ("_p", np.int64)))
+        return x.reshape(d, -1), c, p
+
+    def partial(a: pa.Table, b: pa.Table) -> pa.Table:
+        left = side(a)
+        found = _pair_sums(left, side(b) if b.num_rows else left, b.num_rows > 0)
+        p = [np.repeat(p, len(g)) for p, g, _ in found]
+        c = [np.tile(g, len(p)) for p, g, _ in found]
+        s = [sums.ravel() for _, _, sums in found]
+        return pa.table({"_p": np.concatenate(p), "_c": np.concatenate(c).astype(np.int32), "_s": np.concatenate(s)})
+
+    parts = together(left, right, ["_i", "_j"], blocks * (blocks + 1) // 2 if blocks < 100 else 5000).applyInArrow(
+        partial, "_p bigint, _c int, _s double"
     )
-    sums = parts.groupBy(id, "_c").agg(F.sum("_s").alias("_s")).join(sizes, "_c")
-    own = df.select(id, F.col(cluster).cast("int").alias("_own"))
+    # Rows whose id repeats are one, with the sums of all of them.
+    point = parts.groupBy("_p", "_c").agg(F.sum("_s").alias("_s"))
+    sums = point.join(tagged.select("_p", "_id"), "_p").groupBy("_id", "_c").agg(F.sum("_s").alias("_s")).join(sizes, "_c")
+    own = tagged.select("_id", F.col("_c").alias("_own"))
     mine = F.col("_c") == F.col("_own")
     scored = (
-        sums.join(own, id)
-        .groupBy(id)
+        sums.join(own, "_id")
+        .groupBy("_id")
         .agg(
             F.max(F.when(mine, F.col("_n"))).alias("_own_n"),
             F.max(F.when(mine & (F.col("_n") > 1), F.col("_s") / (F.col("_n") - 1))).alias("_a"),
