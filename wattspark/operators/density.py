@@ -66,13 +66,20 @@ def _neighbour_cells(cells: DataFrame, d: int, half: bool = False, prefix: str =
     ).drop("_o")
 
 
-def _boxes(points: DataFrame, keys: list[str], d: int) -> DataFrame:
-    """Bounding box and one real point per group of core points."""
+def _boxes(points: DataFrame, keys: list[str], d: int, unique: bool) -> DataFrame:
+    """Bounding box and one real point, that of the smallest id, per group of core points.
+
+    With `unique` ids the point is found column by column, which Spark aggregates by hash; a struct it would sort for.
+    """
     xs = [f"x{i}" for i in range(d)]
     aggs = []
     for x in xs:
         aggs += [F.min(x).alias(f"{x}_lo"), F.max(x).alias(f"{x}_hi")]
-    return points.groupBy(*keys).agg(*aggs, F.min(F.struct("id", *xs)).alias("rep"))
+    if not unique:
+        return points.groupBy(*keys).agg(*aggs, F.min(F.struct("id", *xs)).alias("rep"))
+    first = [F.min("id").alias("_id"), *[F.min_by(x, "id").alias(f"_{x}") for x in xs]]
+    rep = F.struct(F.col("_id").alias("id"), *[F.col(f"_{x}").alias(x) for x in xs])
+    return points.groupBy(*keys).agg(*aggs, *first).withColumn("rep", rep).drop("_id", *[f"_{x}" for x in xs])
 
 
 def _box_test(d: int) -> Column:
@@ -218,7 +225,7 @@ def _link_cells(cells: DataFrame, core: DataFrame, d: int, unique: bool) -> Data
         )
         sub = _cell_names(d, "s")
         boxes = settle(
-            _boxes(inside, ["run", "node", *sub], d).select("run", "node", *sub, _box(d).alias("box"))
+            _boxes(inside, ["run", "node", *sub], d, unique).select("run", "node", *sub, _box(d).alias("box"))
         )
 
         def end(name: str, box: str, parent: str) -> DataFrame:
@@ -340,7 +347,7 @@ def _labels(near: Neighbours, runs: DataFrame, id: str, min_pts: int) -> DataFra
         state = state.withColumn("core", within)
     core, loose = state.where("core"), state.where("NOT core")
     cells = settle(
-        _boxes(core, ["run", "eps", *cs], d).select("run", "eps", *cs, F.col("rep.id").alias("node"), _box(d).alias("box"))
+        _boxes(core, ["run", "eps", *cs], d, made.odd is None).select("run", "eps", *cs, F.col("rep.id").alias("node"), _box(d).alias("box"))
     )
     numbered = _numbered(_link_cells(cells, core, d, made.odd is None))
     cell_label = settle(cells.join(numbered, ["run", "node"]).select("run", *cs, "cluster"))
@@ -376,8 +383,9 @@ def dbscan_runs(
 
 
 def _constant_runs(df: DataFrame, runs: dict[str, tuple[str, float]]) -> DataFrame:
-    """run, part, eps of a handful of runs."""
-    return df.sparkSession.createDataFrame([(r, p, float(e)) for r, (p, e) in runs.items()], "run string, part string, eps double")
+    """run, part, eps of a handful of runs, sent to every task: a shuffle by `part` would put all points of a part into one."""
+    made = df.sparkSession.createDataFrame([(r, p, float(e)) for r, (p, e) in runs.items()], "run string, part string, eps double")
+    return F.broadcast(made)
 
 
 def dbscan(df: DataFrame, feats: list[str], id: str, eps: float, min_pts: int = MIN_PTS) -> DataFrame:
