@@ -18,6 +18,7 @@ from wattspark.operators.common import settle
 
 BLOCK = 10_000
 LEAF = 32
+SUB_BITS = 9  # of a point's number within a small box: a block's own box overlaps with many others, its small boxes with few
 SLACK = 1 + 1e-9  # box gaps are rounded, the distances decide
 
 
@@ -30,6 +31,7 @@ class Blocks:
     copies: DataFrame | None  # part, _p, id of all rows that share a place with others
     lost: DataFrame  # part, id of rows without a whole position
     odd: DataFrame | None  # part, _p of places whose id is null or names another place too
+    subs: DataFrame  # part, _b, _subs: lo0.., hi0.. of each small box of the block, one after the other
 
 
 def axes(d: int, name: str = "x") -> list[str]:
@@ -55,6 +57,8 @@ def build(rows: DataFrame, d: int, block: int = BLOCK) -> Blocks:
         )
     )
     boxes = settle(points.groupBy("part", "_b").agg(F.sum("w").alias("n"), *bounds))
+    small = points.groupBy("part", "_b", F.shiftright("_p", SUB_BITS).alias("_s")).agg(*bounds)
+    subs = settle(small.groupBy("part", "_b").agg(F.flatten(F.collect_list(F.array(*lo, *hi))).alias("_subs")))
     many = settle(points.where("w > 1").select("part", "_p", *xs))
     copies = None if many.isEmpty() else settle(good.join(many, ["part", *xs]).select("part", "_p", "id"))
     twins = settle(points.groupBy("part", "id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR id IS NULL").select("part", "id"))
@@ -63,7 +67,7 @@ def build(rows: DataFrame, d: int, block: int = BLOCK) -> Blocks:
         t = twins.select(F.col("part").alias("_part"), F.col("id").alias("_id"))
         odd = settle(points.join(t, (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("part", "_p"))
     lost = rows.where(f"NOT ({whole})").select("part", "id")
-    return Blocks(d, count, points, boxes, copies, lost, odd)
+    return Blocks(d, count, points, boxes, copies, lost, odd, subs)
 
 
 def together(a: DataFrame, b: DataFrame, keys: list[str], tasks: int):
@@ -152,53 +156,51 @@ def k_distances(b: Blocks, k: int) -> DataFrame:
     reach = box_gap(d, [F.col(f"_{c}") for c in lo], [F.col(f"_{c}") for c in hi], lo, hi)
     near = settle(
         i.join(b.boxes, "part").where((F.col("_i") != F.col("_b")) & ((F.col("_n") < k) | (reach <= span * SLACK)))
-        .select("part", F.col("_i").alias("_b"), F.col("_b").alias("_j"), *lo, *hi)
+        .join(b.subs, ["part", "_b"]).select("part", F.col("_i").alias("_b"), F.col("_b").alias("_j"), "_subs")
     )
 
+    part_type = b.points.schema["part"].dataType.simpleString()
+
     def own(points: pa.Table, boxes: pa.Table) -> pa.Table:
         points = points.take(pa.array(np.argsort(points["_p"].to_numpy())))
         x, w = _matrix(points, xs), points["w"].to_numpy()
-        at, blo, bhi = boxes["_j"].to_numpy(), _matrix(boxes, lo), _matrix(boxes, hi)
+        subs = boxes["_subs"].combine_chunks()
+        corners = subs.flatten().to_numpy().reshape(-1, 2 * d)
+        at, blo, bhi = np.repeat(boxes["_j"].to_numpy(), subs.value_lengths().to_numpy(zero_copy_only=False) // (2 * d)), corners[:, :d], corners[:, d:]
         leaves, n = _Leaves(x) if len(x) else None, len(x)
-        kd2, to, to_n, dist, weight, list_n = np.empty(n), [], [], [], [], []
+        kd2, to, to_n = np.empty(n), [], []
         step = max(LEAF, 2 * k)
         for s in range(0, n, LEAF):
             q = x[s : s + LEAF]
             around = slice(max(0, s - step), s + LEAF + step)
             most = _bound(q, x[around], w[around], k)
             c = leaves.near(q, most)
-            d2, ws, kth = _nearest(q, x[c], w[c], k)
+            kth = _nearest(q, x[c], w[c], k)[2]
             kd2[s : s + LEAF] = kth
             some = np.flatnonzero(_gap(q.min(axis=0), q.max(axis=0), blo, bhi) <= kth.max() * SLACK)
             meets = _gap(q[:, None], q[:, None], blo[None, some], bhi[None, some]) < kth[:, None] * SLACK
-            goes = meets.any(axis=1)
-            to.append(np.broadcast_to(at[some], meets.shape)[meets])
+            first = np.flatnonzero(np.diff(at[some], prepend=-1))  # small boxes of a block lie together
+            meets = np.logical_or.reduceat(meets, first, axis=1) if len(first) else meets
+            to.append(np.broadcast_to(at[some][first], meets.shape)[meets])
             to_n.append(meets.sum(axis=1))
-            dist.append(d2[goes].ravel())
-            weight.append(ws[goes].ravel())
-            list_n.append(np.where(goes, d2.shape[1], 0))
         cat = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
         return (
             points.append_column("kd2", pa.array(kd2, pa.float64()))
             .append_column("_t", _lists(cat(to_n), cat(to), pa.int32()))
-            .append_column("_d", _lists(cat(list_n), cat(dist), pa.float64()))
-            .append_column("_w", _lists(cat(list_n), cat(weight), pa.int64()))
-            .select([*points.column_names, "kd2", "_t", "_d", "_w"])
+            .select([*points.column_names, "kd2", "_t"])
         )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in b.points.schema)
     first = settle(
-        together(b.points, near, ["part", "_b"], b.count).applyInArrow(own, f"{schema}, kd2 double, _t array<int>, _d array<double>, _w array<bigint>")
+        together(b.points, near, ["part", "_b"], b.count).applyInArrow(own, f"{schema}, kd2 double, _t array<int>")
     )
-    done = first.where("size(_t) = 0").drop("_t", "_d", "_w")
-    going = first.where("size(_t) > 0")
 
     def other(queries: pa.Table, points: pa.Table) -> pa.Table:
         keys, counts, dist, weight = [], [], [], []
         if queries.num_rows and points.num_rows:
             queries = queries.take(pa.array(np.argsort(queries["_p"].to_numpy())))
             points = points.take(pa.array(np.argsort(points["_p"].to_numpy())))
-            x, w, q, p, most = _matrix(points, xs), points["w"].to_numpy(), _matrix(queries, xs), queries["_p"].to_numpy(), queries["kd2"].to_numpy()
+            x, w, q, most = _matrix(points, xs), points["w"].to_numpy(), _matrix(queries, xs), queries["kd2"].to_numpy()
             leaves = _Leaves(x)
             for s in range(0, len(q), LEAF):
                 e = slice(s, s + LEAF)
@@ -208,38 +210,46 @@ def k_distances(b: Blocks, k: int) -> DataFrame:
                 d2, ws, _ = _nearest(q[e], x[c], w[c], k)
                 inside = d2 < most[e, None]
                 has = inside.any(axis=1)
-                keys.append(p[e][has])
+                keys.append(np.arange(s, s + len(has))[has])
                 counts.append(inside.sum(axis=1)[has])
                 dist.append(d2[inside])
                 weight.append(ws[inside])
         cat = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-        arrays = [pa.array(cat(keys), pa.int64()), _lists(cat(counts), cat(dist), pa.float64()), _lists(cat(counts), cat(weight), pa.int64())]
-        return pa.Table.from_arrays(arrays, names=["_p", "_d", "_w"])
+        kept = queries.select(["part", "_h", "_p"]).take(pa.array(cat(keys), pa.int64()))
+        return kept.append_column("_d", _lists(cat(counts), cat(dist), pa.float64())).append_column("_w", _lists(cat(counts), cat(weight), pa.int64()))
 
     def merge(points: pa.Table, lists: pa.Table) -> pa.Table:  # a list's point is always in the same group
+        if not lists.num_rows:
+            return points
         points = points.take(pa.array(np.argsort(points["_p"].to_numpy())))
-        key, dist, weight = [], [], []
-        for t in (points, lists):
-            d = t["_d"].combine_chunks()
-            key.append(np.repeat(t["_p"].to_numpy(), d.value_lengths().to_numpy(zero_copy_only=False)))
-            dist.append(d.flatten().to_numpy())
-            weight.append(t["_w"].combine_chunks().flatten().to_numpy())
+        x, w, kd2, found = _matrix(points, xs), points["w"].to_numpy(), points["kd2"].to_numpy().copy(), lists["_d"].combine_chunks()
+        # The own lists are found again, for these points only: to store and send them all would be most of the data.
+        far = np.searchsorted(points["_p"].to_numpy(), lists["_p"].to_numpy())
+        again, leaves = np.unique(far), _Leaves(x)
+        key, dist = [np.repeat(far, found.value_lengths().to_numpy(zero_copy_only=False))], [found.flatten().to_numpy()]
+        weight = [lists["_w"].combine_chunks().flatten().to_numpy()]
+        for s in range(0, len(again), LEAF):
+            own = again[s : s + LEAF]
+            c = leaves.near(x[own], kd2[own].max())
+            d2, ws, _ = _nearest(x[own], x[c], w[c], k)
+            key.append(np.repeat(own, d2.shape[1]))
+            dist.append(d2.ravel())
+            weight.append(ws.ravel())
         key, dist, weight = (np.concatenate(v) for v in (key, dist, weight))
         order = np.lexsort((dist, key))
         key, dist, weight = key[order], dist[order], weight[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         total = np.cumsum(weight)
         before = np.repeat(total[first] - weight[first], np.diff(np.append(first, len(key))))
-        kd2 = np.minimum.reduceat(np.where(total - before >= k, dist, np.inf), first)
-        return points.drop_columns(["kd2", "_t", "_d", "_w"]).append_column("kd2", pa.array(kd2, pa.float64()))
-
-    asked = going.select("part", F.explode("_t").alias("_b"), "_p", *xs, "kd2")
-    far = together(asked, b.points, ["part", "_b"], b.count).applyInArrow(other, "_p bigint, _d array<double>, _w array<bigint>")
-    group = F.pmod(F.xxhash64("_p"), F.lit(b.count)).alias("_g")
-    merged = together(going.select("*", group), far.select("*", group), ["_g"], b.count).applyInArrow(
-        lambda points, lists: merge(points.drop_columns(["_g"]), lists), f"{schema}, kd2 double"
+        kd2[key[first]] = np.minimum.reduceat(np.where(total - before >= k, dist, np.inf), first)
+        return points.drop_columns(["kd2"]).append_column("kd2", pa.array(kd2, pa.float64()))
+
+    asked = first.select("part", F.col("_b").alias("_h"), F.explode("_t").alias("_b"), "_p", *xs, "kd2")
+    far = together(asked, b.points, ["part", "_b"], b.count).applyInArrow(
+        other, f"part {part_type}, _h int, _p bigint, _d array<double>, _w array<bigint>"
     )
-    return settle(done.unionByName(merged).withColumn("kd2", _finite("kd2")))
+    merged = together(first.drop("_t"), far.withColumnRenamed("_h", "_b"), ["part", "_b"], b.count).applyInArrow(merge, f"{schema}, kd2 double")
+    return settle(merged.withColumn("kd2", _finite("kd2")))
 
 
 def _finite(c: str) -> Column:
