@@ -29,6 +29,34 @@ def test_k_distance_sends_few_rows_on_and_merges_rows_of_one_id(spark, monkeypat
     assert len(got) == len(np.unique(ids))
 
 
+def test_own_lists_are_not_sent(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.random((1500, 3))
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "row_id": range(len(x))}))
+    sides, plain = [], blocks.together
+
+    def seen(a, b, keys, tasks):
+        sides.append(a.columns)
+        return plain(a, b, keys, tasks)
+
+    monkeypatch.setattr(blocks, "together", seen)
+    got = density.k_distance(df, ["a", "b", "c"], "row_id", 20, block=150).toPandas().set_index("row_id").k_dist
+    assert sides and not any("_d" in s for s in sides)  # before, each point that went on was shuffled with its list
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 19]
+    assert np.allclose(got.loc[range(len(x))], d)
+
+
+def test_runs_are_broadcast_and_boxes_hashed(spark):
+    points = spark.range(50).selectExpr("string(id % 2) AS part", "id", "double(id) AS x0", "double(id % 7) AS x1")
+    runs = density._constant_runs(points, {"0": ("0", 0.5), "1": ("1", 0.25)})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan(points.join(runs, "part"))  # before, a part was one task
+    hashed, sorted_ = (density._boxes(points, ["part"], 2, unique) for unique in (True, False))
+    assert "SortAggregate" not in plan(hashed)
+    as_set = lambda df: {str(r.asDict(True)) for r in df.select("part", "x0_lo", "x0_hi", "x1_lo", "x1_hi", "rep").collect()}
+    assert as_set(hashed) == as_set(sorted_)
+
+
 def test_smallest_linked():
     a, b = np.array([5, 1, 8, 7]), np.array([4, 4, 9, 8])
     assert smallest_linked(10, a, b).tolist() == [0, 1, 2, 3, 1, 1, 6, 7, 7, 7]
