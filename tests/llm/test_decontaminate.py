@@ -1,6 +1,10 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from wattspark.llm import decontaminate as d
@@ -110,6 +114,44 @@ def test_slices_of_the_benchmark(spark, monkeypatch):
     assert found(d.with_matches(df, b), "doc_id") == want(docs, items)
 
 
+def test_stored_blocks_are_small_and_lie_alone(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    # As in prose, few words make most of the text.
+    docs = [(i, " ".join(vocab[int(3000 * r.random() ** 4)] for _ in range(1000))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = settle(d.build_index(df, block_words=100_000), d.STORED)
+    blocks = [sum(len(x) if isinstance(x, bytes | bytearray) else 4 * len(x) for x in row) for row in index.collect()]
+    # What the JVM passes on of a block is less than its text.
+    assert len(blocks) > 2 and sum(blocks) < 0.6 * sum(len(t) for _, t in docs)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in index.inputFiles()]
+    assert sum(groups) == len(blocks)
+    b = spark.createDataFrame([(1, " ".join(docs[7][1].split()[5:30]))], "item_id long, text string")
+    assert {r.doc_key for r in d.search_index(index, b).collect() if r.matches} == {7}
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(3)
+    for x in ([], [0], [2**31 - 1, 0, 2**31 - 1], r.integers(0, 2**31, 1000), np.sort(r.integers(0, 9999, 1000))):
+        assert d.unpacked_numbers(pa.py_buffer(d.packed(np.array(x, np.int64)))).tolist() == list(x)
+
+
+def test_a_block_full_of_matches_keeps_them_as_arrays():
+    cycle = [b"w%d" % i for i in range(10)]
+    texts = pa.array([b" ".join(cycle * 100)] * 100, pa.binary())
+    phrases = d.Phrases([(str(k), b" ".join(cycle * 2)) for k in range(2)], 10)
+    block = d.Postings.of(texts)
+    tracemalloc.start()
+    try:
+        found = block.matches(phrases, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [len(x) for x in found] == [2 * 991] * 100
+    # Below 200 bytes a match; as Python objects they took 367.
+    assert peak < 200 * 2 * 991 * 100
+
+
 def test_digest_columns(spark):
     docs, items = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")

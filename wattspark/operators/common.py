@@ -16,17 +16,17 @@ _kept: list[DataFrame] = []
 BROADCAST_ROWS = 200_000
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     The plan starts anew, lost executors cost nothing, and the stored table has a real size: a
     later join on it is broadcast by Spark only when it is below
     `spark.sql.autoBroadcastJoinThreshold`; a larger one takes the shuffle join with AQE skew
-    handling.
+    handling. `options` go to the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
